@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op8_packing
 from .token_store import op4_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_store": op4_token_store,
+    "op8_packing": op8_packing,
 }
 #: Only what SQL can express at all; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
