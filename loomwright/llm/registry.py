@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op8_packing
 from .token_store import op4_token_store
+from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_store": op4_token_store,
+    "op5_toxicity": op5_toxicity,
     "op8_packing": op8_packing,
 }
 #: Only what SQL can express at all; the others are tested against brute force in tests/llm.
