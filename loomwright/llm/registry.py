@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op9_language
+from .media import op10_media
 from .packing import op8_packing
 from .token_store import op4_token_store
 from .toxicity import op5_toxicity
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
+    "op10_media": op10_media,
 }
 #: Only what SQL can express at all; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
