@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op9_language
 from .media import op10_media
+from .near_dedup import op7_near_dedup
 from .packing import op8_packing
 from .token_store import op4_token_store
 from .toxicity import op5_toxicity
@@ -15,6 +16,7 @@ from .toxicity import op5_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_store": op4_token_store,
     "op5_toxicity": op5_toxicity,
+    "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_media": op10_media,
