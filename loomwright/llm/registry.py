@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op9_language
 from .media import op10_media
+from .mixing import op2_mixing
 from .near_dedup import op7_near_dedup
 from .packing import op8_packing
+from .quality import op3_quality
 from .substring import op1_substring_dedup
 from .token_store import op4_token_store
 from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_token_store": op4_token_store,
     "op5_toxicity": op5_toxicity,
     "op7_near_dedup": op7_near_dedup,
