@@ -81,7 +81,7 @@ def mix_plan(
     weight: list[float] = []
     if live:
         weight = weights_at(shares, solve_exponent(shares, budget / total, target_entropy, max_repeat))
-    rows = [(r["src"], r["total"], w, w * budget, min(MAX_BLOCKS, -(-r["total"] // block_tokens))) for r, w in zip(live, weight, strict=True)]
+    rows = [(r["src"], r["total"], w, float(round(w * budget)), min(MAX_BLOCKS, -(-r["total"] // block_tokens))) for r, w in zip(live, weight, strict=True)]
     rows += [(r["src"], 0, 0.0, 0.0, 1) for r in totals if r["total"] <= 0]
     kind = docs.schema[source].dataType.simpleString()
     per_source = spark.createDataFrame(rows, f"src {kind}, total long, weight double, quota double, blocks long")
