@@ -64,3 +64,11 @@ def components(edges: DataFrame) -> DataFrame:
         kind = edges.schema["a"].dataType.simpleString()
         return spark.createDataFrame([], f"node {kind}, root {kind}")
     return label
+
+
+def relabelled(label: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, root) after some roots have been merged to others; nodes that were alone before appear by themselves."""
+    to = merged.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    old = label.join(to, F.col("root") == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
+    new = merged.join(label.select(F.col("node").alias("__old")), F.col("node") == F.col("__old"), "left_anti")
+    return store(old.unionByName(new), "labels")[0]

@@ -5,11 +5,14 @@ the second, one fixed permutation of the ring, is read from there at K successiv
 gives all K signature coordinates. Bands of ROWS coordinates are the candidate keys: at Jaccard 0.8 a pair misses all
 of them with a probability of 5e-6.
 
-Documents with equal sets form a class and enter once, by the smallest doc_id. Links are found in two rounds:
+Documents with equal sets form a class and enter once, by the smallest doc_id. Links are found in rounds:
   1. each class is verified against the smallest class that shares a band key with it;
-  2. then, in every bucket that still holds several components, all pairs between different components are verified.
+  2. PIVOT_ROUNDS times, in every bucket that still holds several components, each class outside its component is
+     verified against a member of the bucket drawn by hash;
+  3. then all pairs between different components of a bucket are verified.
 So every candidate pair is either in one component already or has been verified; a bucket of many copies of one text
-costs one verification a member. Verification compares full sets.
+costs few verifications a member. Verification compares full sets. Sets are built only for documents that a sieve of
+fixed size passes, made of the ids in buckets; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MIX_A, Words, fresh, list_column, mix64, read_table, remove, slices, store
-from .components import components
+from .components import components, relabelled
 
 BANDS, ROWS, RING = 40, 6, 1 << 20
+PIVOT_ROUNDS = 3
 K = BANDS * ROWS
 
 
@@ -71,18 +75,43 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """Adds the set as an array of longs to (key, text)."""
+SIEVE_BITS = 1 << 26
+
+
+def _spread(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(SIEVE_BITS - 1)).astype(np.int64)
+
+
+def sieve_of_ids(ids: DataFrame) -> np.ndarray:
+    """A bit array of fixed size that passes all ids of a column `id`, and few others."""
+
+    def positions(batches):
+        for batch in batches:
+            at = np.unique(_spread(batch.column(0).to_numpy()))
+            words, first = np.unique(at >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    words = ids.mapInArrow(positions, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(SIEVE_BITS >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _sets(docs: DataFrame, words: int, sieve: np.ndarray) -> DataFrame:
+    """(id, set array<bigint>) of the documents (id, text) that a sieve passes."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def make(batches):
         for batch in slices(batches, "text", 1 << 20):
-            h, offs = shingle_sets(batch.column(batch.schema.get_field_index("text")), words)
-            keep = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, list_column(h.view(np.int64), offs, pa.int64())], names=[*names, "set"])
+            at = _spread(batch.column(0).fill_null(0).to_numpy())
+            wanted = (sent.value[at >> 6] >> (at & 63) & 1).astype(bool) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            if wanted.any():
+                batch = batch.filter(pa.array(wanted))
+                h, offs = shingle_sets(batch.column(1), words)
+                yield pa.RecordBatch.from_arrays([batch.column(0), list_column(h.view(np.int64), offs, pa.int64())], names=["id", "set"])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(make, ", ".join([*kept, "set array<bigint>"]))
+    return docs.mapInArrow(make, "id long, set array<bigint>")
 
 
 def _features(docs: DataFrame, words: int) -> DataFrame:
@@ -119,54 +148,72 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     Documents whose sets' Jaccard similarity is at least percent / 100 are linked; component_id is the smallest doc_id
     reachable, and kept marks the row that has it. Null and empty texts, and texts without words, have an empty set
     and link with nothing. Rows without a doc_id are never linked, have no component and are kept. Rows that share a
-    doc_id share its component and its mark. Other columns are not read.
+    doc_id are one document, with the smallest of their texts, and share its result. Other columns are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
+    source = rows
+    if repeated:
+        one = rows.where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+        source = one.unionByName(rows.where("id is null"))
     table, _ = store(_features(source, words), "features")
     usable = table.where("id is not null and n_shingles > 0")
-    classes, class_path = store(usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    # one row for a class; its band keys are those of any of its rows
-    reps = usable.groupBy("k1", "k2").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("rep"))
-    keyed, keyed_path = store(reps.select("rep", F.explode("bands").alias("key")), "bands")
+    # a class is entered by its smallest id; any of its rows has its band keys
+    classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    classes, classes_path = store(classes, "classes")
+    keyed, keyed_path = store(classes.select("rep", F.explode("bands").alias("key")), "bands")
     heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     members, members_path = store(keyed.join(heads, "key"), "buckets")
     remove(spark, keyed_path)
 
-    first, first_path = store(members.where("rep > head").groupBy(F.col("rep").alias("a")).agg(F.min("head").alias("b")), "first")
-    ids = first.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    texts = source.join(ids, source.id == ids["__id"], "left_semi").dropDuplicates(["id"])
-    sets, sets_path = store(_sets(texts, words), "sets", codec="none")
+    first = members.where("rep > head").groupBy(F.col("rep").alias("a")).agg(F.min("head").alias("b"))
+    first, first_path = store(first, "pairs")
+    sets, sets_path = store(_sets(source, words, sieve_of_ids(first.select(F.explode(F.array("a", "b")).alias("id")))), "sets", codec="none")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        return pairs.join(left, "a").join(right, "b").where(_linked(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
-
-    edges, _ = store(verified(first), "links")
-    label = components(edges)
-    named = members.join(label, members.rep == label.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest, rest_path = store(named.join(several, "key"), "unsettled")
-    other = rest.select("key", F.col("rep").alias("rep2"), F.col("root").alias("root2"))
-    pairs = (
-        rest.join(other, "key")
-        .where("root < root2")
-        .select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more, _ = store(verified(pairs), "links")
-    if more.limit(1).count():
-        label = components(edges.unionByName(more))
-    remove(spark, members_path, rest_path, sets_path, first_path)
-
-    found = classes.join(label, classes.rep == label.node, "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
-    grouped = usable.drop("bands").join(found, ["k1", "k2"]).select("id", "n_shingles", "component_id")
+        return pairs.join(left, "a").join(right, "b").where(_linked(F.col("set_a"), F.col("set_b"), percent)).drop("set_a", "set_b")
+
+    label = components(store(verified(first), "links")[0])
+    paths = [members_path, first_path, sets_path]
+    for turn in range(PIVOT_ROUNDS + 1):
+        named = members.join(label, members.rep == label.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        rest, path = store(named.join(several, "key"), "unsettled")
+        paths.append(path)
+        if not rest.limit(1).count():
+            break
+        if turn < PIVOT_ROUNDS:  # every unsettled bucket has a pivot of its own
+            draw = F.xxhash64("rep", "key", F.lit(turn))
+            other = rest.groupBy("key").agg(F.min_by(F.struct("rep", "root"), draw).alias("p")).select("key", F.col("p.rep").alias("rep2"), F.col("p.root").alias("root2"))
+        else:
+            other = rest.select("key", F.col("rep").alias("rep2"), F.col("root").alias("root2"))
+        different = (F.col("root") < F.col("root2")) if turn == PIVOT_ROUNDS else (F.col("root") != F.col("root2"))
+        mine = rest.withColumnRenamed("key", "key1")
+        pairs = mine.join(other, (F.col("key1") == F.col("key")) & different).select(
+            F.greatest("rep", "rep2").alias("a"),
+            F.least("rep", "rep2").alias("b"),
+            F.greatest("root", "root2").alias("root_a"),
+            F.least("root", "root2").alias("root_b"),
+        )
+        found, path = store(verified(pairs.distinct()).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "links")
+        paths.append(path)
+        if found.limit(1).count():
+            label = relabelled(label, components(found))
+    remove(spark, *paths)
+
+    comps = classes.join(label, classes.rep == label.node, "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
+    grouped = usable.drop("bands").join(comps, ["k1", "k2"]).select("id", "n_shingles", "component_id")
     alone = table.where("id is null or n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return grouped.unionByName(alone).select(
+    out = grouped.unionByName(alone).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.expr("id = component_id"), F.lit(True)).alias("kept")
     )
+    if repeated:
+        ids = rows.where("id is not null").select(F.col("id").alias("__id"))
+        out = ids.join(out, F.col("__id") == F.col("doc_id")).drop("__id").unionByName(out.where("doc_id is null"))
+    return out
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
