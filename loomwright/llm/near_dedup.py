@@ -9,7 +9,8 @@ Documents with equal sets form a class and enter once, by the smallest doc_id. L
   1. each class is verified against the smallest class that shares a band key with it;
   2. PIVOT_ROUNDS times, in every bucket that still holds several components, each class outside its component is
      verified against a member of the bucket drawn by hash;
-  3. then all pairs between different components of a bucket are verified.
+  3. then all pairs between different components of a bucket are verified, each once, but for those that their sizes,
+     sketches or differences from a common pivot rule out.
 So every candidate pair is either in one component already or has been verified; a bucket of many copies of one text
 costs few verifications a member. Verification compares full sets. Sets are built only for documents that a sieve of
 fixed size passes, made of the ids in buckets; no text is shuffled.
@@ -28,7 +29,9 @@ from .common import MIX_A, Words, fresh, list_column, mix64, read_table, remove,
 from .components import components, relabelled
 
 BANDS, ROWS, RING = 40, 6, 1 << 20
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+SKETCH = 4
+WORDS_OF_DIFFERENCE = 4
 K = BANDS * ROWS
 
 
@@ -63,8 +66,8 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The BANDS band keys of a set."""
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The BANDS band keys of a set, and the lowest bits of its K coordinates in SKETCH words."""
     place = (shingles >> np.uint64(64 - RING.bit_length() + 1)).astype(np.int64)
     ring, low = _ring(), np.full(K, RING, np.uint32)
     for at in range(0, len(place), 2048):
@@ -72,7 +75,10 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         key = mix64(key * MIX_A + low[r::ROWS].astype(np.uint64) + np.uint64(1))
-    return key.view(np.int64)
+    sketch = np.packbits((low & 1).astype(np.uint8).reshape(SKETCH, -1), axis=1, bitorder="little")
+    wide = np.zeros((SKETCH, 8), np.uint8)
+    wide[:, : sketch.shape[1]] = sketch
+    return key.view(np.int64), wide.view(np.int64)[:, 0]
 
 
 SIEVE_BITS = 1 << 26
@@ -115,26 +121,26 @@ def _sets(docs: DataFrame, words: int, sieve: np.ndarray) -> DataFrame:
 
 
 def _features(docs: DataFrame, words: int) -> DataFrame:
-    """id, n_shingles, two halves of a key of the set, band keys (none for an empty set)."""
+    """id, n_shingles, two halves of a key of the set, its sketch and band keys (none for an empty set)."""
 
     def make(batches):
         for batch in slices(batches, "text", 1 << 20):
             h, offs = shingle_sets(batch.column(1), words)
             n = np.diff(offs)
-            bands = [band_keys(h[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True) if b > a]
+            made = [signature(h[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True) if b > a]
             sums = [
                 np.concatenate([[0], np.cumsum(mix64(h + np.uint64(salt)))]).astype(np.uint64)
                 for salt in (0x1234567, 0x89ABCDEF0)
             ]
             halves = [(s[offs[1:]] - s[offs[:-1]]).view(np.int64) for s in sums]
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
-            flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(halves[0]), pa.array(halves[1]), list_column(flat, ends, pa.int64())],
-                names=["id", "n_shingles", "k1", "k2", "bands"],
-            )
+            flat = np.concatenate([b for b, _ in made]) if made else np.zeros(0, np.int64)
+            sketch = np.concatenate([b for _, b in made]) if made else np.zeros(0, np.int64)
+            columns = [batch.column(0), pa.array(n), pa.array(halves[0]), pa.array(halves[1])]
+            columns += [list_column(sketch, ends // BANDS * SKETCH, pa.int64()), list_column(flat, ends, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "k1", "k2", "sketch", "bands"])
 
-    return docs.mapInArrow(make, "id long, n_shingles long, k1 long, k2 long, bands array<bigint>")
+    return docs.mapInArrow(make, "id long, n_shingles long, k1 long, k2 long, sketch array<bigint>, bands array<bigint>")
 
 
 def _linked(a: Column, b: Column, percent: int) -> Column:
@@ -142,6 +148,41 @@ def _linked(a: Column, b: Column, percent: int) -> Column:
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
+def _bitmap(elements: Column) -> Column:
+    """A hashed bitmap of an array of longs, as an array of WORDS_OF_DIFFERENCE longs."""
+    word = lambda w: F.aggregate(
+        F.filter(elements, lambda x: F.pmod(F.shiftright(x, 6), F.lit(WORDS_OF_DIFFERENCE)) == w),
+        F.lit(0).cast("long"),
+        lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))),
+    )
+    return F.array(*[word(w) for w in range(WORDS_OF_DIFFERENCE)])
+
+
+def _common_bound(part: str) -> Column:
+    """At most how many elements two difference sets share, by their bitmaps and sizes (columns of both sides)."""
+    words = range(WORDS_OF_DIFFERENCE)
+    shared = sum((F.bit_count(F.col(f"{part}_bits")[w].bitwiseAND(F.col(f"{part}_bits2")[w])) for w in words), F.lit(0))
+    spare = [F.col(f"{part}_n{side}") - sum((F.bit_count(F.col(f"{part}_bits{side}")[w]) for w in words), F.lit(0)) for side in ("", "2")]
+    return shared + F.least(*spare)
+
+
+def _may_link(percent: int) -> Column:
+    """False only for pairs that can't reach the similarity.
+
+    By size; by sketches, if they differ in more bits than those of two sets at the threshold, whose expected number
+    is exceeded by 5.6 deviations with a probability of about 1e-7; and, where both have been compared with the same pivot P of n shingles, by their differences from it: with m
+    of P missing and a more than P, of which two sets share s_m and s_a, the similarity is
+    i / (n - m + a + n - m' + a' - i) with i = n - m - m' + s_m + s_a shared shingles.
+    """
+    t, differ = F.lit(percent), (1 - percent / 100) / 2
+    max_apart = int(K * differ + 5.6 * (K * differ * (1 - differ)) ** 0.5)
+    size = 100 * F.least("n_set", "n_set2") >= t * F.greatest("n_set", "n_set2")
+    apart = sum((F.bit_count(F.col("sketch")[w].bitwiseXOR(F.col("sketch2")[w])) for w in range(SKETCH)), F.lit(0))
+    both = F.col("n_pivot") - F.col("miss_n") - F.col("miss_n2") + _common_bound("miss") + _common_bound("more")
+    linked = 100 * both >= t * (F.col("n_set") + F.col("n_set2") - both)
+    return size & (apart <= max_apart) & (F.col("pivot").isNull() | F.col("pivot2").isNull() | (F.col("pivot") != F.col("pivot2")) | linked)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -160,9 +201,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     table, _ = store(_features(source, words), "features")
     usable = table.where("id is not null and n_shingles > 0")
     # a class is entered by its smallest id; any of its rows has its band keys
-    classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sketch", "n_shingles"), "id").alias("r"))
+    classes = classes.select("k1", "k2", "rep", "r.*")
     classes, classes_path = store(classes, "classes")
-    keyed, keyed_path = store(classes.select("rep", F.explode("bands").alias("key")), "bands")
+    keyed, keyed_path = store(classes.select("rep", F.posexplode("bands").alias("band", "key")), "bands")
     heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     members, members_path = store(keyed.join(heads, "key"), "buckets")
     remove(spark, keyed_path)
@@ -176,10 +218,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
         return pairs.join(left, "a").join(right, "b").where(_linked(F.col("set_a"), F.col("set_b"), percent)).drop("set_a", "set_b")
 
+    def described(rest: DataFrame) -> DataFrame:
+        """Of each class in unsettled buckets: size, sketch, band keys in short, and its differences from its pivot."""
+        reps = rest.select(F.col("rep").alias("a")).distinct()
+        mine = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
+        pivot = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+        compared = reps.join(first, "a").join(mine, "a").join(pivot, "b")
+        compared = compared.select("a", "b", F.size("set_b").alias("n_pivot"), F.array_except("set_b", "set_a").alias("miss"), F.array_except("set_a", "set_b").alias("more"))
+        compared = compared.select(
+            "a", F.col("b").alias("pivot"), "n_pivot",
+            F.size("miss").alias("miss_n"), F.size("more").alias("more_n"),
+            _bitmap(F.col("miss")).alias("miss_bits"), _bitmap(F.col("more")).alias("more_bits"),
+        )
+        kinds = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_set"), "sketch", F.transform("bands", lambda x: F.hash(x)).alias("marks"))
+        return reps.join(kinds, "a").join(compared, "a", "left").withColumnRenamed("a", "rep")
+
     label = components(store(verified(first), "links")[0])
     paths = [members_path, first_path, sets_path]
     for turn in range(PIVOT_ROUNDS + 1):
-        named = members.join(label, members.rep == label.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        named = members.join(label, members.rep == label.node, "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("root"))
         several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         rest, path = store(named.join(several, "key"), "unsettled")
         paths.append(path)
@@ -187,12 +244,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
             break
         if turn < PIVOT_ROUNDS:  # every unsettled bucket has a pivot of its own
             draw = F.xxhash64("rep", "key", F.lit(turn))
-            other = rest.groupBy("key").agg(F.min_by(F.struct("rep", "root"), draw).alias("p")).select("key", F.col("p.rep").alias("rep2"), F.col("p.root").alias("root2"))
-        else:
-            other = rest.select("key", F.col("rep").alias("rep2"), F.col("root").alias("root2"))
-        different = (F.col("root") < F.col("root2")) if turn == PIVOT_ROUNDS else (F.col("root") != F.col("root2"))
-        mine = rest.withColumnRenamed("key", "key1")
-        pairs = mine.join(other, (F.col("key1") == F.col("key")) & different).select(
+            pivots = rest.groupBy("key").agg(F.min_by(F.struct("rep", "root"), draw).alias("p"))
+            pivots = pivots.select(F.col("key").alias("key2"), F.col("p.rep").alias("rep2"), F.col("p.root").alias("root2"))
+            pairs = rest.join(pivots, (F.col("key") == F.col("key2")) & (F.col("root") != F.col("root2")))
+        else:  # each pair in the first band that it shares, if nothing rules it out
+            known, path = store(described(rest), "described")
+            paths.append(path)
+            full = rest.join(known, "rep")
+            other = full.select(*(F.col(c).alias(f"{c}2") for c in full.columns))
+            shared = F.array_position(F.zip_with("marks", "marks2", lambda x, y: x == y), True)
+            here = (F.col("key") == F.col("key2")) & (F.col("root") < F.col("root2")) & _may_link(percent) & (shared == F.col("band") + 1)
+            pairs = full.join(other, here)
+        pairs = pairs.select(
             F.greatest("rep", "rep2").alias("a"),
             F.least("rep", "rep2").alias("b"),
             F.greatest("root", "root2").alias("root_a"),
@@ -205,7 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     remove(spark, *paths)
 
     comps = classes.join(label, classes.rep == label.node, "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
-    grouped = usable.drop("bands").join(comps, ["k1", "k2"]).select("id", "n_shingles", "component_id")
+    grouped = usable.drop("bands", "sketch").join(comps, ["k1", "k2"]).select("id", "n_shingles", "component_id")
     alone = table.where("id is null or n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = grouped.unionByName(alone).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.expr("id = component_id"), F.lit(True)).alias("kept")
