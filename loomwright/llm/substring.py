@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, fresh, mix64, range_hash, read_table, slices
+from .common import Words, fresh, mix64, range_hash, read_table, slices, store
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
 
@@ -76,8 +76,10 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataF
 
     found = docs.mapInArrow(spans, "hash long, id long, key long, at int, n int")
     place = F.struct("id", "key", "at")
+    # written first: a join with a table can split a hot hash, a join with an aggregate can't
     many = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    later = found.join(many.select(F.col("hash").alias("__hash"), "first"), F.col("hash") == F.col("__hash"))
+    many, _ = store(many.select(F.col("hash").alias("__hash"), "first"), "repeated-spans")
+    later = found.join(many, F.col("hash") == F.col("__hash"))
     later = later.where(~F.struct("id", "key", "at").eqNullSafe(F.col("first")))
     # by document: at most one row a sentence, whatever the number of copies
     return later.groupBy("id", "key").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
