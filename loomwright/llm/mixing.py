@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, read_table, store
@@ -55,22 +55,10 @@ def solve_exponent(shares: list[float], budget_ratio: float, target_entropy: flo
 
 
 def mix_plan(
-    docs: DataFrame,
-    tokens: Column,
-    doc_id: str,
-    text: str,
-    source: str,
-    budget_tokens: int | None,
-    target_entropy: float,
-    max_repeat: float,
-    block_tokens: int,
-    max_sources: int,
-    seed: int,
-) -> tuple[DataFrame, Column, Column]:
-    """The plan (source, blocks, block, epoch, before, cut, ...), a document's hash, and its tokens."""
-    spark = docs.sparkSession
-    mark = F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed))
-    measured = docs.select(F.col(source).alias("src"), tokens.cast("long").alias("tokens"), mark.alias("mark"))
+    measured: DataFrame, budget_tokens: int | None, target_entropy: float, max_repeat: float, block_tokens: int, max_sources: int, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """Of the documents' (src, tokens, mark): the plan, a row per (source, epoch, block), and the sources' block counts."""
+    spark = measured.sparkSession
     totals = measured.groupBy("src").agg(F.sum("tokens").alias("total")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources or group them")
@@ -83,7 +71,7 @@ def mix_plan(
         weight = weights_at(shares, solve_exponent(shares, budget / total, target_entropy, max_repeat))
     rows = [(r["src"], r["total"], w, float(round(w * budget)), min(MAX_BLOCKS, -(-r["total"] // block_tokens))) for r, w in zip(live, weight, strict=True)]
     rows += [(r["src"], 0, 0.0, 0.0, 1) for r in totals if r["total"] <= 0]
-    kind = docs.schema[source].dataType.simpleString()
+    kind = measured.schema["src"].dataType.simpleString()
     per_source = spark.createDataFrame(rows, f"src {kind}, total long, weight double, quota double, blocks long")
     # at most max_sources rows
     per_source = F.broadcast(per_source.withColumnRenamed("src", "psrc"))
@@ -123,7 +111,7 @@ def mix_plan(
         F.when(F.col("total") > 0, (F.col("epoch") * F.col("total") + F.col("before")) / F.col("quota")).otherwise(0.0).alias("at"),
     )
     plan, _ = store(plan, "mix-plan")
-    return plan, mark, per_source
+    return plan, per_source
 
 
 def mixed(
@@ -138,36 +126,47 @@ def mixed(
     max_sources: int = 100_000,
     seed: int = 7,
     prefix: str = "mix_",
+    with_text: bool = True,
 ) -> DataFrame:
     """docs, each row once per epoch that it is dealt to, with mix_epoch, mix_block, mix_weight, mix_tokens and mix_at.
 
+    Without with_text the text is left out, and the texts are read once instead of twice.
+
     mix_at runs from 0 to 1 along each source's stream; ordered by it, sources interleave at their target weights. A
     text's tokens are its runs of characters other than white space; null and empty texts have none and follow their
     block. Without a budget it is the number of all tokens. A null source is a source. A source without any token is
     used once. Rows with the same doc_id and text are dealt alike. Columns with the names of the new ones are replaced.
     """
-    tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long")
     kept = docs.drop(*(prefix + c for c in ("epoch", "block", "weight", "tokens", "at")))
-    plan, mark, per_source = mix_plan(kept, tokens, doc_id, text, source, budget_tokens, target_entropy, max_repeat, block_tokens, max_sources, seed)
-    own = fresh(kept, "mark"), fresh(kept, "source"), fresh(kept, "blocks")
-    sized = per_source.select(F.col("psrc").alias(own[1]), F.col("blocks").alias(own[2]))
-    dealt = kept.withColumn(own[0], mark).join(F.broadcast(sized), kept[source].eqNullSafe(F.col(own[1]))).drop(own[1])
-    renamed = plan.select(*(F.col(c).alias(f"__plan_{c}") for c in plan.columns))
-    here = kept[source].eqNullSafe(F.col("__plan_psrc")) & (F.pmod(F.col(own[0]), F.col(own[2])) == F.col("__plan_block"))
-    out = dealt.join(renamed, here).where(F.col("__plan_cut").isNull() | (F.col(own[0]) <= F.col("__plan_cut")))
+    counted, mark, src, blocks = (fresh(kept, c) for c in ("tokens", "mark", "source", "blocks"))
+    measured = kept.withColumn(counted, F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long"))
+    measured = measured.withColumn(mark, F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)))
+    columns = kept.columns
+    if not with_text:
+        columns = [c for c in columns if c != text]
+        measured, _ = store(measured.drop(text), "measured")
+    sizes = measured.select(F.col(source).alias("src"), F.col(counted).alias("tokens"), F.col(mark).alias("mark"))
+    if with_text:
+        sizes, _ = store(sizes, "measured")
+    plan, per_source = mix_plan(sizes, budget_tokens, target_entropy, max_repeat, block_tokens, max_sources, seed)
+    sized = per_source.select(F.col("psrc").alias(src), F.col("blocks").alias(blocks))
+    dealt = measured.join(F.broadcast(sized), F.col(source).eqNullSafe(F.col(src))).drop(src)  # a row a source, bounded above
+    plan = plan.select(*(F.col(c).alias(f"__plan_{c}") for c in plan.columns))
+    here = F.col(source).eqNullSafe(F.col("__plan_psrc")) & (F.pmod(F.col(mark), F.col(blocks)) == F.col("__plan_block"))
+    out = dealt.join(plan, here).where(F.col("__plan_cut").isNull() | (F.col(mark) <= F.col("__plan_cut")))
     return out.select(
-        *(kept[c] for c in kept.columns),
+        *columns,
         F.col("__plan_epoch").alias(f"{prefix}epoch"),
         F.col("__plan_block").alias(f"{prefix}block"),
         F.col("__plan_weight").alias(f"{prefix}weight"),
-        tokens.alias(f"{prefix}tokens"),
+        F.col(counted).alias(f"{prefix}tokens"),
         F.col("__plan_at").alias(f"{prefix}at"),
     )
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixed(docs).drop("text")
+    return mixed(docs, with_text=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
