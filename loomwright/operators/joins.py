@@ -34,15 +34,16 @@ def similar_within_book(
 
     The floor is lower for persons and for names that are alike (string similarity over one half).
     """
-    return _similar(entities, floor, person_floor, ease, least_string, same_book=True)
+    return similar_pairs(entities, True, floor, person_floor, ease, least_string, guard=True)
 
 
 def similar_across_books(entities: DataFrame, floor: float = 0.84, person_floor: float = 0.80, ease: float = 0.03) -> DataFrame:
     """Match candidates between books, of one category: a, b, book_a, book_b, sim, string_sim."""
-    return _similar(entities, floor, person_floor, ease, 0.0, same_book=False)
+    return similar_pairs(entities, False, floor, person_floor, ease, 0.0, guard=False)
 
 
-def _similar(entities: DataFrame, floor: float, person_floor: float, ease: float, least_string: float, same_book: bool) -> DataFrame:
+def similar_pairs(entities: DataFrame, same_book: bool, floor: float, person_floor: float, ease: float, least_string: float, guard: bool) -> DataFrame:
+    """The blocked theta join under both of the above; guard drops implausible merges."""
     a, b = renamed(entities, "_a"), renamed(entities, "_b")
     on = F.col("category_a") == F.col("category_b")
     if same_book:
@@ -54,7 +55,7 @@ def _similar(entities: DataFrame, floor: float, person_floor: float, ease: float
     found = found.where(F.col("sim") >= base - ease)
     found = found.withColumn("string_sim", string_similarity(F.col("name_a"), F.col("name_b")))
     found = found.where((F.col("sim") >= base - F.when(F.col("string_sim") > 0.5, ease).otherwise(0.0)) & (F.col("string_sim") >= least_string))
-    if same_book:
+    if guard:
         found = found.where(plausible_merge(F.col("name_a"), F.col("name_b"), F.col("category_a")))
     return found.select(
         F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("book_id_a").alias("book_a"), F.col("book_id_b").alias("book_b"), "sim", "string_sim"

@@ -1 +1,433 @@
-from .views import Views, query  # noqa: F401
+"""Joins (J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.similarity import char_jaccard, cosine
+from ..operators import joins as ops
+from .filters import _SIM
+from .views import Views, query
+
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+
+
+def vectors(v: Views) -> DataFrame:
+    """Vector entities: book_id, id, name, category, vector; every vector's name is a part's."""
+    e = v.embeddings.select("vec_id", "embedding", "label")
+    names = v.part.select("p_partkey", "p_name")
+    return e.join(names, F.col("vec_id") == F.col("p_partkey")).select(
+        (F.col("vec_id") % 5).alias("book_id"), F.col("vec_id").alias("id"), F.col("p_name").alias("name"), F.col("label").cast("string").alias("category"), F.col("embedding").alias("vector")
+    )
+
+
+_VEC = ", vec AS (SELECT vec_id % 5 AS book_id, vec_id AS id, p_name AS name, CAST(label AS VARCHAR) AS category, embedding AS vector FROM embeddings JOIN part ON vec_id = p_partkey)"
+
+
+def _similar_sql(on: str, floor: float, least: float) -> str:
+    pairs = f", p AS (SELECT a.id AS a, b.id AS b, a.name AS na, b.name AS nb, {_DOT.format(a='a.vector', b='b.vector')} AS dp FROM vec a JOIN vec b ON a.category = b.category AND {on})"
+    sim = _SIM.format(a="na", b="nb", keep="a, b, dp", src="p")
+    return _VEC + pairs + sim + f"SELECT a, b, round(dp, 6) AS sim, round(sim, 6) AS string_sim FROM simd WHERE dp >= {floor} - CASE WHEN sim > 0.5 THEN 0.05 ELSE 0 END AND sim >= {least}"
+
+
+@query("j01_within_book", _similar_sql("a.book_id = b.book_id AND a.id < b.id", 0.25, 0.0))
+def j01(v: Views) -> DataFrame:
+    pairs = ops.similar_pairs(vectors(v), same_book=True, floor=0.25, person_floor=0.2, ease=0.05, least_string=0.0, guard=False)
+    return pairs.select("a", "b", F.round("sim", 6).alias("sim"), F.round("string_sim", 6).alias("string_sim"))
+
+
+@query("j02_cross_book", _similar_sql("a.book_id < b.book_id", 0.30, 0.0))
+def j02(v: Views) -> DataFrame:
+    pairs = ops.similar_across_books(vectors(v), floor=0.30, person_floor=0.25, ease=0.05)
+    return pairs.select("a", "b", F.round("sim", 6).alias("sim"), F.round("string_sim", 6).alias("string_sim"))
+
+
+_KNN = f"""
+, s AS (SELECT vec_id AS id, embedding AS e, label FROM embeddings WHERE vec_id % 2 = 0), t AS (SELECT vec_id AS nbr, embedding AS e, label FROM embeddings WHERE vec_id % 2 = 1)
+, knn AS (SELECT id, nbr, s.label AS la, t.label AS lb, round({_DOT.format(a='s.e', b='t.e')}, 4) AS sim FROM s, t)
+, top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr) AS rank FROM knn QUALIFY rank <= 10)
+"""
+
+
+def _halves(v: Views) -> tuple[DataFrame, DataFrame]:
+    e = v.embeddings
+    even = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return even, e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("nbr"), "embedding", F.col("label").alias("nbr_label"))
+
+
+def _top10(v: Views) -> DataFrame:
+    even, odd = _halves(v)
+    return ops.nearest(even, odd, "id", "nbr", "embedding", 10)
+
+
+@query("j03_knn_post_filter", _KNN + "SELECT id, nbr, sim, CAST(rank AS INTEGER) AS rank FROM top WHERE la = lb")
+def j03(v: Views) -> DataFrame:
+    even, odd = _halves(v)
+    named = _top10(v).join(even.select("id", "label"), "id").join(odd.select("nbr", "nbr_label"), "nbr")
+    return named.where("label = nbr_label").select("id", "nbr", "sim", "rank")
+
+
+_BOTH = (
+    _KNN
+    + ", back AS (SELECT *, row_number() OVER (PARTITION BY nbr ORDER BY sim DESC, id) AS r2 FROM knn QUALIFY r2 <= 10)"
+    ", both_ways AS (SELECT id, nbr, max(sim) AS sim FROM (SELECT id, nbr, sim FROM top UNION ALL SELECT id, nbr, sim FROM back) GROUP BY 1, 2)"
+)
+
+
+def _both_ways(v: Views) -> DataFrame:
+    even, odd = _halves(v)
+    back = ops.nearest(odd.drop("nbr_label"), even.drop("label"), "nbr", "id", "embedding", 10).select("id", "nbr", "sim")
+    union = _top10(v).select("id", "nbr", "sim").unionByName(back)
+    return ops.best_unordered(union, "id", "nbr", "sim")
+
+
+@query("j04_bidirectional_union", _BOTH + "SELECT id, nbr, sim FROM both_ways")
+def j04(v: Views) -> DataFrame:
+    return _both_ways(v)
+
+
+@query("j05_greedy_matching")
+def j05(v: Views) -> DataFrame:
+    return ops.greedy_matching(_both_ways(v), "id", "nbr", "sim")
+
+
+@query(
+    "j06_outer_merge",
+    ", a AS (SELECT entity_id, cnt FROM att WHERE book_id = 1), b AS (SELECT entity_id, cnt FROM att WHERE book_id = 2) SELECT coalesce(CAST(a.entity_id AS VARCHAR), 'book2_' || b.entity_id) AS key, coalesce(a.cnt, 0) + coalesce(b.cnt, 0) AS total, (a.cnt IS NOT NULL)::INT + (b.cnt IS NOT NULL)::INT AS book_count FROM a FULL OUTER JOIN b ON a.entity_id = b.entity_id",
+)
+def j06(v: Views) -> DataFrame:
+    a = v.att.where("book_id = 1").select("entity_id", F.col("cnt").alias("ca"))
+    b = v.att.where("book_id = 2").select(F.col("entity_id").alias("eb"), F.col("cnt").alias("cb"))
+    j = a.join(b, F.col("entity_id") == F.col("eb"), "full")
+    return j.select(
+        F.coalesce(F.col("entity_id").cast("string"), F.concat(F.lit("book2_"), F.col("eb").cast("string"))).alias("key"),
+        (F.coalesce("ca", F.lit(0)) + F.coalesce("cb", F.lit(0))).alias("total"),
+        (F.col("ca").isNotNull().cast("int") + F.col("cb").isNotNull().cast("int")).alias("book_count"),
+    )
+
+
+@query(
+    "j07_member_book",
+    "SELECT a.entity_id, a.book_id, coalesce(b.title, 'Book ' || a.book_id) AS title, b.year FROM att a LEFT JOIN (SELECT * FROM book WHERE book_id % 2 = 0) b ON a.book_id = b.book_id",
+)
+def j07(v: Views) -> DataFrame:
+    b = v.book.where("book_id % 2 = 0").select(F.col("book_id").alias("bid"), "title", "year")
+    j = v.att.select("entity_id", "book_id").join(b, F.col("book_id") == F.col("bid"), "left")
+    return j.select("entity_id", "book_id", F.coalesce("title", F.concat(F.lit("Book "), F.col("book_id").cast("string"))).alias("title"), "year")
+
+
+@query("j08_singletons", "SELECT id FROM entity e WHERE NOT EXISTS (SELECT 1 FROM att a WHERE a.entity_id = e.id AND a.cnt >= 50)")
+def j08(v: Views) -> DataFrame:
+    members = v.att.where("cnt >= 50").select(F.col("entity_id").alias("id"))
+    return ops.singletons(v.entity.select("id"), members, ["id"])
+
+
+@query(
+    "j09_entity_page",
+    "SELECT e.id, b.title, b.year, a.cnt FROM entity e JOIN att a ON a.entity_id = e.id JOIN book b ON a.book_id = b.book_id WHERE e.name = 'red gear' ORDER BY b.year, b.title",
+)
+def j09(v: Views) -> DataFrame:
+    e = v.entity.where("name = 'red gear'").select("id")
+    j = e.join(v.att.select("entity_id", "book_id", "cnt"), F.col("id") == F.col("entity_id")).join(v.book, "book_id")
+    return j.select("id", "title", "year", "cnt").orderBy("year", "title")
+
+
+@query("j10_book_entities", "SELECT e.id, e.name, a.cnt FROM att a JOIN entity e ON a.entity_id = e.id WHERE a.book_id = 3 ORDER BY a.cnt DESC, e.id")
+def j10(v: Views) -> DataFrame:
+    j = v.att.where("book_id = 3").join(v.entity.select("id", "name"), F.col("entity_id") == F.col("id"))
+    return j.select("id", "name", "cnt").orderBy(F.desc("cnt"), "id")
+
+
+_ASK = ", ask AS (SELECT p_partkey AS q, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 2) ELSE split_part(p_name, ' ', 1) END AS slug FROM part)"
+
+
+def _asked(v: Views) -> DataFrame:
+    words = F.split("p_name", " ")
+    slug = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, words[1]).otherwise(words[0])
+    return v.part.select(F.col("p_partkey").alias("q"), slug.alias("slug"))
+
+
+@query(
+    "j11_slug_lookup",
+    _ASK
+    + ", full_names AS (SELECT name, min(id) AS id FROM entity GROUP BY 1), firsts AS (SELECT split_part(name, ' ', 1) AS name, min(id) AS id FROM entity GROUP BY 1) SELECT q, coalesce(f.id, g.id) AS id, CASE WHEN f.id IS NOT NULL THEN 1 WHEN g.id IS NOT NULL THEN 2 END AS tier FROM ask LEFT JOIN full_names f ON slug = f.name LEFT JOIN firsts g ON slug = g.name",
+)
+def j11(v: Views) -> DataFrame:
+    full = v.entity.groupBy(F.col("name").alias("k")).agg(F.min("id").alias("id"))
+    first = v.entity.groupBy(F.split("name", " ")[0].alias("k")).agg(F.min("id").alias("id"))
+    a = _asked(v).join(full.select(F.col("k").alias("k1"), F.col("id").alias("v1")), F.col("slug") == F.col("k1"), "left")
+    a = a.join(first.select(F.col("k").alias("k2"), F.col("id").alias("v2")), F.col("slug") == F.col("k2"), "left")
+    tier = F.when(F.col("v1").isNotNull(), 1).when(F.col("v2").isNotNull(), 2)
+    return a.select("q", F.coalesce("v1", "v2").alias("id"), tier.alias("tier"))
+
+
+@query(
+    "j12_id_remap",
+    ", old AS (SELECT id, lower(name) AS k, category FROM entity WHERE id % 2 = 0), new AS (SELECT lower(name) AS k, category, max(id) AS nid FROM entity WHERE id % 2 = 1 GROUP BY 1, 2) SELECT old.id, nid FROM old JOIN new ON old.k = new.k AND old.category = new.category",
+)
+def j12(v: Views) -> DataFrame:
+    old = v.entity.where("id % 2 = 0").select("id", F.lower("name").alias("k"), "category")
+    new = v.entity.where("id % 2 = 1").groupBy(F.lower("name").alias("k"), "category").agg(F.max_by("id", "id").alias("nid"))
+    return old.join(new, ["k", "category"]).select("id", "nid")
+
+
+@query(
+    "j13_member_overlap",
+    ", w AS (SELECT a.cluster_id AS new_id, b.cluster_id AS old_id, 3 * count(*) AS score FROM (SELECT DISTINCT cluster_id, subcategory FROM member) a JOIN (SELECT DISTINCT cluster_id, subcategory FROM member) b ON a.subcategory = b.subcategory AND a.cluster_id < b.cluster_id WHERE a.cluster_id < 40 AND b.cluster_id < 80 GROUP BY 1, 2) SELECT new_id, old_id, score FROM w WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY score DESC, old_id) = 1",
+)
+def j13(v: Views) -> DataFrame:
+    m = v.member.select("cluster_id", "subcategory").distinct()
+    a = m.where("cluster_id < 40").select(F.col("cluster_id").alias("new_id"), "subcategory")
+    b = m.where("cluster_id < 80").select(F.col("cluster_id").alias("old_id"), F.col("subcategory").alias("s"))
+    w = a.join(b, (F.col("subcategory") == F.col("s")) & (F.col("new_id") < F.col("old_id"))).groupBy("new_id", "old_id").agg((3 * F.count("*")).alias("score"))
+    order = Window.partitionBy("new_id").orderBy(F.desc("score"), "old_id")
+    return w.where("score >= 3").withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+
+
+@query(
+    "j14_name_index",
+    ", ix AS (SELECT name AS k, min(cluster_id) AS v FROM (SELECT canonical_name AS name, cluster_id FROM cluster) GROUP BY 1), f AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '.,' ELSE replace(p_name, 'l', '1') END AS found FROM part) SELECT f.id, coalesce(a.v, b.v, c.v) AS v, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN c.v IS NOT NULL THEN 3 END AS tier FROM f LEFT JOIN ix a ON lower(found) = a.k LEFT JOIN ix b ON regexp_replace(lower(found), '[.,;:]+$', '') = b.k LEFT JOIN ix c ON replace(lower(found), '1', 'l') = c.k",
+)
+def j14(v: Views) -> DataFrame:
+    ix = v.cluster.groupBy(F.col("canonical_name").alias("k")).agg(F.min("cluster_id").alias("v"))
+    kind = F.col("p_partkey") % 3
+    found = F.when(kind == 0, F.upper("p_name")).when(kind == 1, F.concat("p_name", F.lit(".,"))).otherwise(F.replace("p_name", F.lit("l"), F.lit("1")))
+    f = v.part.select(F.col("p_partkey").alias("id"), F.lower(found).alias("found"))
+    c = F.col("found")
+    tiers = [c, F.regexp_replace(c, "[.,;:]+$", ""), F.replace(c, F.lit("1"), F.lit("l"))]
+    return ops.tiered_lookup(f, ix, tiers, "k", "v").select("id", "v", "tier")
+
+
+@query("j15_unambiguous_names", "SELECT name FROM (SELECT p_name AS name, p_type FROM part WHERE p_partkey < 120) WHERE length(name) >= 4 GROUP BY name HAVING count(DISTINCT p_type) = 1")
+def j15(v: Views) -> DataFrame:
+    g = v.part.where("p_partkey < 120 and length(p_name) >= 4").groupBy(F.col("p_name").alias("name"))
+    return g.agg(F.countDistinct("p_type").alias("n")).where("n = 1").select("name")
+
+
+@query(
+    "j16_dictionary_tagging",
+    r", dict AS (SELECT * FROM (VALUES ('the'), ('that'), ('une'), ('der'), ('para')) t(term)), w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS w FROM documents) SELECT doc_id, w AS term, count(*) AS n FROM w JOIN dict ON w = term GROUP BY 1, 2",
+)
+def j16(v: Views) -> DataFrame:
+    from ..operators.text import tag_terms
+
+    return tag_terms(v.documents.select("doc_id", "text"), ["the", "that", "une", "der", "para"])
+
+
+@query(
+    "j17_co_citation",
+    ", top AS (SELECT w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE length(w) >= 4 GROUP BY w ORDER BY count(*) DESC, w LIMIT 20), ex AS (SELECT DISTINCT item_id, w AS person, lower(text) AS t FROM benchmark, top WHERE contains(lower(text), w)) SELECT least(person, o.w) AS source, greatest(person, o.w) AS target, count(*) AS weight FROM ex, top o WHERE person <> o.w AND contains(t, o.w) GROUP BY 1, 2",
+)
+def j17(v: Views) -> DataFrame:
+    words = v.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("w")).where("length(w) >= 4")
+    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(20)
+    persons = top.select(F.col("w").alias("person"), F.regexp_replace("w", r"([.,])", r"\\$1").alias("pattern"))
+    texts = v.benchmark.select(F.lower("text").alias("text"))
+    ex = texts.join(F.broadcast(persons), F.col("text").contains(F.col("person")) | F.expr("text rlike pattern")).select("person", "text")
+    return ops.co_citations(ex, persons)
+
+
+@query(
+    "j18_excerpt_page",
+    ", b AS (SELECT item_id, array_to_string(string_split(text, ' ')[3:8], ' ') AS chunk FROM benchmark) SELECT item_id, min(doc_id) AS page FROM b JOIN documents ON contains(text, chunk) GROUP BY 1",
+)
+def j18(v: Views) -> DataFrame:
+    from ..operators.text import containing_page
+
+    chunk = F.array_join(F.slice(F.split("text", " "), 3, 6), " ")
+    excerpts = v.benchmark.select("item_id", chunk.alias("chunk"))
+    return containing_page(excerpts, v.documents.select(F.col("doc_id").alias("page"), "text"), "item_id", "chunk")
+
+
+@query("j19_leaf_page", "SELECT a.entity_id, a.book_id, b.year AS printed FROM att a LEFT JOIN book b ON a.book_id = b.book_id AND b.book_id < 50")
+def j19(v: Views) -> DataFrame:
+    b = v.book.where("book_id < 50").select("book_id", F.col("year").alias("printed"))
+    return v.att.select("entity_id", "book_id").join(b, "book_id", "left")
+
+
+@query(
+    "j20_label_validation",
+    ", t AS (SELECT id, lower(name) AS n, lower(subcategory) AS s, lower(category) AS c FROM entity) SELECT id, (n = c OR contains(n, c) OR contains(c, n) OR len(list_intersect(list_distinct(string_split(n, '')), list_distinct(string_split(c, '')))) / len(list_distinct(list_concat(string_split(n, ''), string_split(c, '')))) > 0.4) AS valid FROM t",
+)
+def j20(v: Views) -> DataFrame:
+    n, c = F.lower("name"), F.lower("category")
+    return v.entity.select("id", ((n == c) | n.contains(c) | c.contains(n) | (char_jaccard(n, c) > 0.4)).alias("valid"))
+
+
+@query("j21_first_match", "SELECT e.id, min(c.cluster_id) AS cluster_id FROM entity e LEFT JOIN cluster c ON e.name = c.canonical_name GROUP BY e.id")
+def j21(v: Views) -> DataFrame:
+    first = v.cluster.groupBy("canonical_name").agg(F.min("cluster_id").alias("cluster_id"))
+    return v.entity.select("id", "name").join(first, F.col("name") == F.col("canonical_name"), "left").select("id", "cluster_id")
+
+
+@query(
+    "j22_variant_pruning",
+    ", m AS (SELECT cluster_id, list_sort(list(DISTINCT subcategory)) AS vs FROM member GROUP BY 1), clean AS (SELECT list(DISTINCT subcategory) AS ok FROM entity WHERE cnt >= 49) SELECT cluster_id, array_to_string(list_filter(vs, lambda x: list_contains(ok, x)), ',') AS variants FROM m, clean",
+)
+def j22(v: Views) -> DataFrame:
+    clean = v.entity.where("cnt >= 49").agg(F.collect_set("subcategory").alias("ok"))  # the distinct brands
+    m = v.member.groupBy("cluster_id").agg(F.array_sort(F.collect_set("subcategory")).alias("vs"))
+    kept = F.filter("vs", lambda x: F.array_contains("ok", x))
+    return m.crossJoin(F.broadcast(clean)).select("cluster_id", F.array_join(kept, ",").alias("variants"))
+
+
+@query(
+    "j23_curated_match",
+    ", cur AS (SELECT category, name, min(id) AS pos FROM entity WHERE id % 5 = 0 GROUP BY 1, 2), byname AS (SELECT name, min(pos) AS pos FROM cur GROUP BY 1) SELECT e.id, coalesce(a.pos, b.pos) AS pos FROM entity e LEFT JOIN cur a ON e.category = a.category AND e.name = a.name LEFT JOIN byname b ON e.name = b.name",
+)
+def j23(v: Views) -> DataFrame:
+    cur = v.entity.where("id % 5 = 0").groupBy("category", "name").agg(F.min("id").alias("p1"))
+    by_name = cur.groupBy("name").agg(F.min("p1").alias("p2"))
+    j = v.entity.select("id", "category", "name").join(cur, ["category", "name"], "left").join(by_name, "name", "left")
+    return j.select("id", F.coalesce("p1", "p2").alias("pos"))
+
+
+_WC = ", m AS (SELECT DISTINCT cnt AS cluster_id, id % 7 AS book_id, name FROM entity)"
+
+
+def _by_size(v: Views) -> DataFrame:
+    return v.entity.select(F.col("cnt").alias("cluster_id"), (F.col("id") % 7).alias("book_id"), "name").distinct()
+
+
+@query(
+    "j24_within_cluster_pairs",
+    _WC + "SELECT DISTINCT least(a.name, b.name) AS name_a, greatest(a.name, b.name) AS name_b FROM m a JOIN m b ON a.cluster_id = b.cluster_id AND a.book_id < b.book_id AND a.name <> b.name",
+)
+def j24(v: Views) -> DataFrame:
+    return ops.within_cluster_pairs(_by_size(v))
+
+
+@query(
+    "j25_hard_negatives",
+    ", n AS (SELECT canonical_name AS name, cluster_id, category, substr(lower(canonical_name), 1, 3) AS p FROM cluster), j AS (SELECT a.name AS name_a, b.name AS name_b, a.cluster_id AS cluster_id_a, b.cluster_id AS cluster_id_b, round(levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS dist, a.category = b.category AS same FROM n a JOIN n b ON a.p = b.p AND a.cluster_id < b.cluster_id) SELECT name_a, name_b, cluster_id_a, cluster_id_b, dist, round((1 - dist) * CASE WHEN same THEN 1.2 ELSE 1.0 END, 6) AS score FROM j WHERE dist BETWEEN 0.12 AND 0.45 AND NOT contains(name_a, name_b) AND NOT contains(name_b, name_a)",
+)
+def j25(v: Views) -> DataFrame:
+    return ops.hard_negatives(v.cluster.select(F.col("canonical_name").alias("name"), "cluster_id", "category"))
+
+
+@query(
+    "j26_shared_books",
+    ", m AS (SELECT DISTINCT cluster_id, book_id, category FROM member WHERE book_id < 20) SELECT a.book_id AS book_a, b.book_id AS book_b, count(*) AS shared, count(*) FILTER (a.category = 'PROMO') AS promo FROM m a JOIN m b ON a.cluster_id = b.cluster_id AND a.book_id < b.book_id GROUP BY 1, 2",
+)
+def j26(v: Views) -> DataFrame:
+    m = v.member.where("book_id < 20").select("cluster_id", "book_id", "category").distinct()
+    b = m.select(F.col("cluster_id").alias("c2"), F.col("book_id").alias("book_b"))
+    j = m.join(b, (F.col("cluster_id") == F.col("c2")) & (F.col("book_id") < F.col("book_b")))
+    return j.groupBy(F.col("book_id").alias("book_a"), "book_b").agg(F.count("*").alias("shared"), F.count_if(F.col("category") == "PROMO").alias("promo"))
+
+
+_NN = ", k AS (SELECT a AS id, b AS nbr, sim FROM edge UNION ALL SELECT b, a, sim FROM edge)"
+
+
+def _neighbours(v: Views) -> DataFrame:
+    e = v.edge
+    return e.select(F.col("a").alias("id"), F.col("b").alias("nbr"), "sim").unionByName(e.select(F.col("b").alias("id"), F.col("a").alias("nbr"), "sim"))
+
+
+@query(
+    "j27_neighbour_links",
+    _NN + "SELECT DISTINCT x.id, least(x.nbr, y.nbr) AS a, greatest(x.nbr, y.nbr) AS b FROM k x JOIN k y ON x.id = y.id AND x.nbr < y.nbr JOIN edge e ON e.a = x.nbr AND e.b = y.nbr WHERE e.sim > 0.3",
+)
+def j27(v: Views) -> DataFrame:
+    k = _neighbours(v).select("id", "nbr")
+    pairs = k.join(k.select("id", F.col("nbr").alias("nbr2")), "id").where("nbr < nbr2")
+    links = v.edge.where("sim > 0.3").select(F.col("a").alias("nbr"), F.col("b").alias("nbr2"))
+    return pairs.join(links, ["nbr", "nbr2"], "left_semi").select("id", F.col("nbr").alias("a"), F.col("nbr2").alias("b")).distinct()
+
+
+@query("j28_ego_network", "SELECT a, b, sim FROM edge WHERE a = (SELECT min(a) FROM edge) OR b = (SELECT min(a) FROM edge)")
+def j28(v: Views) -> DataFrame:
+    ego = v.edge.agg(F.min("a").alias("ego"))
+    return v.edge.join(F.broadcast(ego), (F.col("a") == F.col("ego")) | (F.col("b") == F.col("ego"))).select("a", "b", "sim")
+
+
+@query(
+    "j29_alias_resolution",
+    "SELECT id, CASE WHEN name = 'red gear' THEN 'crimson gear' WHEN name = 'old bolt' THEN 'bolt' ELSE name END AS person FROM entity WHERE name NOT IN ('hot rod')",
+)
+def j29(v: Views) -> DataFrame:
+    alias = v.spark.createDataFrame([("red gear", "crimson gear"), ("old bolt", "bolt")], "alias string, person string")
+    left = v.entity.join(v.spark.createDataFrame([("hot rod",)], "name string"), "name", "left_anti")
+    j = left.join(F.broadcast(alias), F.col("name") == F.col("alias"), "left")
+    return j.select("id", F.coalesce("person", "name").alias("person"))
+
+
+@query(
+    "j30_registry_scores",
+    ", s AS (SELECT lower(canonical_name) AS k, max(book_count) AS score FROM stats GROUP BY 1) SELECT e.id, coalesce(a.score, b.score, 0) AS score FROM entity e LEFT JOIN s a ON lower(e.subcategory) = a.k LEFT JOIN s b ON lower(e.name) = b.k",
+)
+def j30(v: Views) -> DataFrame:
+    s = v.stats.groupBy(F.lower("canonical_name").alias("k")).agg(F.max("book_count").alias("score"))
+    a, b = s.select(F.col("k").alias("ka"), F.col("score").alias("sa")), s.select(F.col("k").alias("kb"), F.col("score").alias("sb"))
+    j = v.entity.join(a, F.lower("subcategory") == F.col("ka"), "left").join(b, F.lower("name") == F.col("kb"), "left")
+    return j.select("id", F.coalesce("sa", "sb", F.lit(0)).alias("score"))
+
+
+@query("j31_citation_validation", "SELECT id FROM entity WHERE id IN (SELECT entity_id FROM att WHERE cnt >= 80) ORDER BY id LIMIT 8")
+def j31(v: Views) -> DataFrame:
+    cited = v.att.where("cnt >= 80").select(F.col("entity_id").alias("id"))
+    return v.entity.select("id").join(cited, "id", "left_semi").orderBy("id").limit(8)
+
+
+@query(
+    "j32_near_duplicate_clusters",
+    ", c AS (SELECT cluster_id, canonical_name AS n, category, list(DISTINCT book_id) AS books FROM member GROUP BY 1, 2, 3) SELECT a.cluster_id AS a, b.cluster_id AS b, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)), 6) AS sim FROM c a JOIN c b ON a.category = b.category AND a.cluster_id < b.cluster_id WHERE round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)), 6) >= 0.7 AND len(list_intersect(a.books, b.books)) > 0",
+)
+def j32(v: Views) -> DataFrame:
+    c = v.member.groupBy("cluster_id", "canonical_name", "category").agg(F.collect_set("book_id").alias("books"), F.collect_set("name").alias("names"))
+    return ops.near_duplicate_clusters(c, floor=0.7, place_floor=0.75)
+
+
+@query(
+    "j33_key_merges",
+    "SELECT category, canonical_name AS k, arg_max(cluster_id, total_mentions * 100000 - cluster_id) AS primary_id, count(*) AS merged FROM (SELECT category, split_part(canonical_name, ' ', 2) AS canonical_name, cluster_id, total_mentions FROM stats) GROUP BY 1, 2",
+)
+def j33(v: Views) -> DataFrame:
+    s = v.stats.withColumn("k", F.split("canonical_name", " ")[1])
+    lead = F.max_by("cluster_id", F.struct("total_mentions", -F.col("cluster_id")))
+    return s.groupBy("category", "k").agg(lead.alias("primary_id"), F.count("*").alias("merged"))
+
+
+@query(
+    "j34_full_cosine",
+    f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT.format(a='a.embedding', b='b.embedding')} / (sqrt({_DOT.format(a='a.embedding', b='a.embedding')}) * sqrt({_DOT.format(a='b.embedding', b='b.embedding')})), 5) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 10 = 0",
+)
+def j34(v: Views) -> DataFrame:
+    # a stated query set against all rows
+    a = v.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    b = v.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 5).alias("sim"))
+
+
+@query(
+    "j35_expert_labels",
+    "SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'REVIEW' WHEN l.quality = (d.n_chars > 500)::INT THEN 'AGREE' ELSE 'DISAGREE' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+)
+def j35(v: Views) -> DataFrame:
+    l = v.labels.select(F.col("doc_id").alias("lid"), "quality")  # noqa: E741
+    j = v.documents.select("doc_id", "n_chars").join(l, F.col("doc_id") == F.col("lid"), "left")
+    agree = F.col("quality") == (F.col("n_chars") > 500).cast("int")
+    return j.select("doc_id", F.when(F.col("quality").isNull(), "REVIEW").when(agree, "AGREE").otherwise("DISAGREE").alias("status"))
+
+
+@query("j36_pair_lookup", "SELECT p.a, p.b, e.sim FROM (SELECT a, b FROM edge UNION ALL SELECT a, b + 1 FROM edge) p LEFT JOIN edge e ON p.a = e.a AND p.b = e.b")
+def j36(v: Views) -> DataFrame:
+    e = v.edge.select("a", "b")
+    asked = e.unionByName(e.select("a", (F.col("b") + 1).alias("b")))
+    return asked.join(v.edge.select("a", "b", "sim"), ["a", "b"], "left")
+
+
+@query(
+    "j37_marked_excerpts",
+    ", x AS (SELECT conv_id, turn, text, substr(text, 1, 100) AS k FROM conversations WHERE length(text) >= 80 AND regexp_matches(lower(text), '(^|[^\\p{L}])(the|que|und)([^\\p{L}]|$)')) SELECT conv_id, turn FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) = 1",
+)
+def j37(v: Views) -> DataFrame:
+    x = v.conversations.where((F.length("text") >= 80) & F.lower("text").rlike(r"(^|[^\p{L}])(the|que|und)([^\p{L}]|$)"))
+    order = Window.partitionBy(F.substring("text", 1, 100)).orderBy("conv_id", "turn")
+    return x.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("conv_id", "turn")
+
+
+@query("j38_load_by_id", "SELECT book_id, title, language, year FROM book WHERE book_id = 42")
+def j38(v: Views) -> DataFrame:
+    return v.book.where("book_id = 42")
