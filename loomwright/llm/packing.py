@@ -103,18 +103,19 @@ def packed(
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = 1 << 18,
     group_tokens: int = 1 << 22,
+    max_memo: int = 600_000,
 ) -> DataFrame:
     """One row per piece of a document in a sequence, see SCHEMA; ids are unsigned 32-bit little-endian integers.
 
     Null texts are empty documents: end_id alone. Null and repeated doc_ids, and repeated rows, are documents like
-    others. Very long texts fill as many windows as they need. Ties of length go by place in the partition. Other
+    others. max_memo bounds the words that a worker remembers, and with them its memory. Very long texts fill as many windows as they need. Ties of length go by place in the partition. Other
     columns are not read. An empty table gives no rows.
     """
 
     def sequences(batches):
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, max_memo)
         width, base = enc.dtype.itemsize, TaskContext.get().partitionId() << 40
         end, made, steps = np.array([end_id], enc.dtype).tobytes(), 0, 0
         keys, raws, total = [], [], 0

@@ -162,8 +162,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, max_memo: int = 600_000) -> Encoder:
     """This worker's encoder for a tokenizer file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, max_memo)
     return _ENCODERS[path]

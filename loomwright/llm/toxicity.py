@@ -116,18 +116,20 @@ def fit(texts: list[str], toxic: np.ndarray, max_features: int = 1 << 16, min_z:
         share = (n1 + smooth) / (n1 + n0 + 2 * smooth)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
 
-    def distinct(wanted: np.ndarray) -> np.ndarray:
-        """The n-grams of each wanted text once, all together."""
-        out = []
-        for i in wanted:
+    # candidates come from the toxic texts, one order at a time; a sieve then finds them in the clean ones
+    kept = []
+    for k in range(len(ORDERS)):
+        grams = []
+        for i in np.flatnonzero(toxic == 1):
             points, _ = folded(pa.array([texts[i]], pa.string()))
-            out.append(np.unique(np.concatenate(list(gram_hashes(points)))))
-        return np.concatenate(out)
-
-    # candidates come from the toxic texts; a sieve then finds them in the clean ones
-    keys, count1 = np.unique(distinct(np.flatnonzero(toxic == 1)), return_counts=True)
-    often = count1 >= max(2, min(5, n1 // 40))
-    keys, count1 = keys[often], count1[often]
+            grams.append(np.unique(list(gram_hashes(points))[k]))
+        found, count = np.unique(np.concatenate(grams), return_counts=True)
+        often = count >= max(2, min(5, n1 // 40))
+        kept.append((found[often], count[often]))
+        del grams, found, count
+    keys, count1 = (np.concatenate(part) for part in zip(*kept, strict=True))
+    order = np.argsort(keys)
+    keys, count1 = keys[order], count1[order]
     if not len(keys):
         return fit([], np.zeros(0))
     rows, cols, sieve = [], [], sieve_of(keys)
