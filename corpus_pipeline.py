@@ -17,7 +17,8 @@ from loomwright.llm.tokenise import tokenizer_path
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in full training sequences, with their ids."""
-    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"))
+    # workers still hold what earlier stages left, so the memo is smaller than when packing runs alone
+    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"), max_memo=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
