@@ -65,11 +65,11 @@ def similar_pairs(entities: DataFrame, same_book: bool, floor: float, person_flo
 def nearest(df: DataFrame, others: DataFrame, key: str, other_key: str, vector: str, k: int, digits: int = 4) -> DataFrame:
     """For each row of df, the k rows of others with the largest dot product: key, other_key, sim, rank.
 
-    Ties after rounding go to the smaller other_key. `others` is compared in whole; it should be the smaller side.
+    The keys have different names; rows with equal keys are not neighbours. Ties after rounding go to the smaller other_key. `others` is compared in whole; it should be the smaller side.
     """
     a = df.select(F.col(key), F.col(vector).alias("__va"))
     b = others.select(F.col(other_key), F.col(vector).alias("__vb"))
-    pairs = a.join(b, F.col(key) != F.col(other_key)) if key != other_key else a.crossJoin(b)
+    pairs = a.join(b, F.col(key) != F.col(other_key))
     scored = pairs.withColumn("sim", F.round(dot(F.col("__va"), F.col("__vb")), digits)).drop("__va", "__vb")
     order = Window.partitionBy(key).orderBy(F.desc("sim"), other_key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

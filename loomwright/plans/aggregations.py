@@ -1 +1,335 @@
-from .views import Views, query  # noqa: F401
+"""Aggregations (A)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.normalise import strip_honorific, surname
+from ..operators import aggregates as ops
+from ..operators.graph import person_edges
+from ..operators.ranking import first_k
+from .functions import _TITLED, titled
+from .views import Views, query
+
+
+@query(
+    "a01_entity_aggregation",
+    ", m AS (SELECT lower(trim(p_name)) AS k, p_name AS name, p_type AS category, p_brand AS context, p_partkey AS seq FROM part) SELECT replace(k, ' ', '_') AS id, arg_max(category, seq) AS category, count(*) AS cnt, array_to_string(list_sort(list(DISTINCT context))[1:3], ',') AS brands FROM m WHERE length(k) >= 2 GROUP BY k",
+)
+def a01(v: Views) -> DataFrame:
+    m = v.part.select(F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.lit("X").alias("subcategory"), F.col("p_brand").alias("context"), F.col("p_partkey").alias("seq"))
+    e = ops.aggregate_entities(m, ["seq"], contexts=10_000)
+    return e.select("id", "category", "cnt", F.array_join(F.slice(F.array_sort("contexts"), 1, 3), ",").alias("brands"))
+
+
+@query(
+    "a02_entity_merge",
+    "SELECT category, name AS key, arg_max(id, cnt * 100000 - id) AS id, CAST(sum(cnt) AS BIGINT) AS cnt FROM entity GROUP BY 1, 2",
+)
+def a02(v: Views) -> DataFrame:
+    e = v.entity.withColumn("key", F.col("name"))
+    keyed = e.withColumn("group", F.concat_ws("|", "category", "key"))
+    return ops.merge_entities(keyed, "group").select("category", F.col("name").alias("key"), "id", "cnt")
+
+
+@query(
+    "a03_honorific_merge",
+    _TITLED
+    + r", h AS (SELECT id, lower(trim(regexp_replace(rtrim(n, ','), '(?i)^(mr|mrs|dr)\.?\s+', ''))) AS key, category, cnt, lower(regexp_extract(n, '(?i)^(mr|mrs|ms)\.?\s', 1)) AS title, rtrim(n, ',') AS n FROM t JOIN entity USING (id)), f AS (SELECT *, max((title = 'mr')::INT) OVER w + max((title IN ('mrs', 'ms'))::INT) OVER w = 2 AS clash FROM h WINDOW w AS (PARTITION BY key, category)) SELECT key, category, arg_max(n, cnt * 100000 - id) AS name, CAST(sum(cnt) AS BIGINT) AS cnt, count(*) AS merged FROM f GROUP BY key, category, CASE WHEN clash THEN id ELSE -1 END",
+)
+def a03(v: Views) -> DataFrame:
+    e = titled(v).select("id", F.rtrim(F.regexp_replace("n", ",$", "")).alias("name"), "category", "cnt")
+    return ops.honorific_merge(e, strip_honorific(F.col("name")), F.regexp_extract("name", r"(?i)^(mr|mrs|ms)\.?\s", 1))
+
+
+@query(
+    "a04_surname_merge",
+    ", s AS (SELECT split_part(name, ' ', 2) AS surname, name, subcategory, cnt, id FROM entity), g AS (SELECT surname, subcategory, sum(cnt) AS s FROM s GROUP BY 1, 2), d AS (SELECT surname, subcategory FROM g QUALIFY row_number() OVER (PARTITION BY surname ORDER BY s DESC, subcategory) = 1) SELECT s.surname, CAST(sum(cnt) AS BIGINT) AS cnt, d.subcategory FROM s JOIN d ON s.surname = d.surname GROUP BY s.surname, d.subcategory HAVING sum(cnt) >= 100",
+)
+def a04(v: Views) -> DataFrame:
+    return ops.surname_merge(v.entity, surname(F.col("name")), 100).select("surname", "cnt", "subcategory")
+
+
+@query("a05_cluster_stats", "SELECT cluster_id, book_count, total_mentions, members FROM stats")
+def a05(v: Views) -> DataFrame:
+    return v.stats.select("cluster_id", "book_count", "total_mentions", "members")
+
+
+@query("a06_category_counts", "SELECT category, subcategory, count(*) AS n FROM entity GROUP BY 1, 2")
+def a06(v: Views) -> DataFrame:
+    return v.entity.groupBy("category", "subcategory").agg(F.count("*").alias("n"))
+
+
+@query("a07_category_share", "SELECT category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM entity), 4) AS pct FROM entity GROUP BY 1")
+def a07(v: Views) -> DataFrame:
+    return ops.share(v.entity.groupBy("category").agg(F.count("*").alias("n")), "n")
+
+
+@query(
+    "a08_book_stats",
+    "SELECT b.book_id, count(DISTINCT m.cluster_id) AS clusters, CAST(coalesce(sum(m.cnt), 0) AS BIGINT) AS mentions, round(100.0 * count(DISTINCT m.cluster_id) / (SELECT count(*) FROM cluster), 4) AS coverage FROM book b LEFT JOIN (SELECT * FROM member WHERE book_id % 3 = 0) m ON b.book_id = m.book_id GROUP BY 1",
+)
+def a08(v: Views) -> DataFrame:
+    per_book = v.member.where("book_id % 3 = 0").groupBy("book_id").agg(F.countDistinct("cluster_id").alias("c"), F.sum("cnt").alias("m"))
+    all_clusters = v.cluster.agg(F.count("*").alias("n"))
+    j = v.book.select("book_id").join(per_book, "book_id", "left").crossJoin(F.broadcast(all_clusters))
+    return j.select("book_id", F.coalesce("c", F.lit(0)).alias("clusters"), F.coalesce("m", F.lit(0)).cast("long").alias("mentions"), F.round(100 * F.coalesce("c", F.lit(0)) / F.col("n"), 4).alias("coverage"))
+
+
+@query("a09_size_histogram", "SELECT book_count, count(*) AS clusters, round(100.0 * count(*) / (SELECT count(*) FROM stats), 4) AS pct FROM stats GROUP BY 1")
+def a09(v: Views) -> DataFrame:
+    return ops.share(v.stats.groupBy("book_count").agg(F.count("*").alias("clusters")), "clusters")
+
+
+@query(
+    "a10_enrichment_coverage",
+    "SELECT d.lang, count(*) AS total, count(*) FILTER (WHERE l.quality = 1) AS with_quality, count(*) FILTER (WHERE l.toxic = 1) AS with_toxic, count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1",
+)
+def a10(v: Views) -> DataFrame:
+    l = v.labels.select(F.col("doc_id").alias("lid"), "quality", "toxic")  # noqa: E741
+    j = v.documents.select("doc_id", "lang").join(l, F.col("doc_id") == F.col("lid"), "left")
+    return ops.coverage(j, ["lang"], {"with_quality": F.col("quality") == 1, "with_toxic": F.col("toxic") == 1, "labelled": F.col("lid").isNotNull()})
+
+
+@query(
+    "a11_xref_stats",
+    "SELECT o_orderpriority AS link_type, count(*) AS refs, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS reversed, count(DISTINCT o_custkey) AS clusters, round(100.0 * count(*) / (SELECT count(*) FROM orders), 4) AS pct FROM orders GROUP BY 1",
+)
+def a11(v: Views) -> DataFrame:
+    g = v.orders.groupBy(F.col("o_orderpriority").alias("link_type")).agg(
+        F.count("*").alias("refs"), F.count_if(F.col("o_orderkey") % 2 == 1).alias("reversed"), F.countDistinct("o_custkey").alias("clusters")
+    )
+    return ops.share(g, "refs")
+
+
+@query(
+    "a12_similarity_histogram",
+    "SELECT CASE WHEN sim < 0.32 THEN 'a' WHEN sim < 0.34 THEN 'b' WHEN sim < 0.36 THEN 'c' ELSE 'd' END AS bucket, count(*) AS n FROM edge WHERE sim >= 0.30 AND sim < 1.01 GROUP BY 1",
+)
+def a12(v: Views) -> DataFrame:
+    return ops.bucket_histogram(v.edge, "sim", [0.30, 0.32, 0.34, 0.36, 1.01], ["a", "b", "c", "d"])
+
+
+@query(
+    "a13_language_category",
+    ", g AS (SELECT b.language, m.category, count(*) AS entities, CAST(sum(m.cnt) AS BIGINT) AS mentions FROM member m JOIN book b ON m.book_id = b.book_id GROUP BY 1, 2) SELECT *, round(100.0 * mentions / sum(mentions) OVER (PARTITION BY language), 4) AS pct FROM g",
+)
+def a13(v: Views) -> DataFrame:
+    j = v.member.join(v.book.select("book_id", "language"), "book_id")
+    g = j.groupBy("language", "category").agg(F.count("*").alias("entities"), F.sum("cnt").cast("long").alias("mentions"))
+    return ops.share(g, "mentions", by=["language"])
+
+
+@query("a14_clusters_per_book", "SELECT book_id, category, count(DISTINCT cluster_id) AS n FROM member GROUP BY 1, 2")
+def a14(v: Views) -> DataFrame:
+    return v.member.dropDuplicates(["book_id", "cluster_id"]).groupBy("book_id", "category").agg(F.count("*").alias("n"))
+
+
+@query("a15_relative", ", g AS (SELECT book_id, category, sum(cnt) AS t FROM member GROUP BY 1, 2) SELECT book_id, category, round(100.0 * t / sum(t) OVER (PARTITION BY book_id), 4) AS pct FROM g")
+def a15(v: Views) -> DataFrame:
+    g = v.member.groupBy("book_id", "category").agg(F.sum("cnt").alias("t"))
+    return ops.share(g, "t", by=["book_id"]).select("book_id", "category", "pct")
+
+
+@query(
+    "a16_trace_density",
+    ", t AS (SELECT book_id, sum(cnt) AS total FROM member GROUP BY 1), x AS (SELECT cluster_id, book_id, max(cnt) AS cnt FROM member GROUP BY 1, 2) SELECT x.cluster_id, b.year, x.book_id, round(1000.0 * x.cnt / t.total, 6) AS density FROM x JOIN t ON x.book_id = t.book_id JOIN book b ON x.book_id = b.book_id WHERE x.cluster_id < 30",
+)
+def a16(v: Views) -> DataFrame:
+    total = v.member.groupBy("book_id").agg(F.sum("cnt").alias("total"))
+    x = v.member.where("cluster_id < 30").groupBy("cluster_id", "book_id").agg(F.max("cnt").alias("cnt"))
+    j = x.join(total, "book_id").join(v.book.select("book_id", "year"), "book_id")
+    return j.select("cluster_id", "year", "book_id", F.round(1000 * F.col("cnt") / F.col("total"), 6).alias("density"))
+
+
+@query(
+    "a17_trace_comparison",
+    ", m AS (SELECT DISTINCT m.cluster_id, m.book_id, b.year, b.language FROM member m JOIN book b ON m.book_id = b.book_id WHERE m.cluster_id IN (0, 1)) SELECT CAST(min(year) AS INTEGER) AS first_year, CAST(max(year) AS INTEGER) AS last_year, count(DISTINCT language) AS languages, (SELECT count(*) FROM (SELECT book_id FROM m WHERE cluster_id = 0 INTERSECT SELECT book_id FROM m WHERE cluster_id = 1)) AS shared FROM m",
+)
+def a17(v: Views) -> DataFrame:
+    m = v.member.where("cluster_id in (0, 1)").select("cluster_id", "book_id").distinct().join(v.book, "book_id")
+    shared = m.groupBy("book_id").agg(F.countDistinct("cluster_id").alias("n")).agg(F.count_if(F.col("n") == 2).alias("shared"))
+    whole = m.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.countDistinct("language").alias("languages"))
+    return whole.crossJoin(shared)
+
+
+@query("a18_member_rollup", "SELECT cluster_id, book_id, CAST(sum(cnt) AS BIGINT) AS cnt, arg_min(subcategory, entity_id) AS first_sub FROM member GROUP BY 1, 2")
+def a18(v: Views) -> DataFrame:
+    return v.member.groupBy("cluster_id", "book_id").agg(F.sum("cnt").cast("long").alias("cnt"), F.min_by("subcategory", "entity_id").alias("first_sub"))
+
+
+@query(
+    "a19_variants_by_language",
+    "SELECT m.cluster_id, b.language, array_to_string(list_sort(list(DISTINCT m.subcategory)), ',') AS variants, CAST(sum(m.cnt) AS BIGINT) AS mentions FROM member m JOIN book b ON m.book_id = b.book_id WHERE m.cluster_id < 20 GROUP BY 1, 2",
+)
+def a19(v: Views) -> DataFrame:
+    j = v.member.where("cluster_id < 20").join(v.book.select("book_id", "language"), "book_id")
+    return j.groupBy("cluster_id", "language").agg(F.array_join(F.array_sort(F.collect_set("subcategory")), ",").alias("variants"), F.sum("cnt").cast("long").alias("mentions"))
+
+
+@query("a20_persons_across_books", "SELECT entity_id, CAST(sum(cnt) AS BIGINT) AS cnt, count(DISTINCT book_id) AS books, min(book_id) AS first_book FROM att GROUP BY 1")
+def a20(v: Views) -> DataFrame:
+    return v.att.groupBy("entity_id").agg(F.sum("cnt").cast("long").alias("cnt"), F.countDistinct("book_id").alias("books"), F.min("book_id").alias("first_book"))
+
+
+_PAIRS = ", o AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), w AS (SELECT a.s AS source, b.s AS target, count(*) AS weight, array_to_string(list(a.k ORDER BY a.k)[1:3], ',') AS samples FROM o a JOIN o b ON a.k = b.k AND a.s < b.s GROUP BY 1, 2)"
+
+
+@query("a21_edge_weights", _PAIRS + "SELECT source, target, weight, samples FROM w WHERE weight >= 8")
+def a21(v: Views) -> DataFrame:
+    o = v.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).distinct()
+    e = person_edges(o, "k", "s", samples=3, least=8)
+    return e.withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
+
+
+@query("a22_degree", "SELECT n, count(*) AS degree FROM (SELECT a AS n FROM edge UNION ALL SELECT b FROM edge) GROUP BY 1")
+def a22(v: Views) -> DataFrame:
+    return v.edge.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("degree"))
+
+
+@query("a23_registry_metadata", "SELECT count(*) AS entities, CAST(sum(cnt) AS BIGINT) AS mentions, count(DISTINCT category) AS categories, (SELECT count(*) FROM att) AS attestations FROM entity")
+def a23(v: Views) -> DataFrame:
+    e = v.entity.agg(F.count("*").alias("entities"), F.sum("cnt").cast("long").alias("mentions"), F.countDistinct("category").alias("categories"))
+    return e.crossJoin(v.att.agg(F.count("*").alias("attestations")))
+
+
+@query(
+    "a24_facets",
+    "SELECT 'category' AS facet, category AS val, count(*) AS n FROM entity GROUP BY 2 UNION ALL SELECT 'subcategory', subcategory, count(*) FROM entity GROUP BY 2 UNION ALL SELECT 'size', CAST(cnt AS VARCHAR), count(*) FROM entity GROUP BY 2",
+)
+def a24(v: Views) -> DataFrame:
+    # one pass: every row gives one value to each facet
+    facets = F.map_from_arrays(F.array(*map(F.lit, ["category", "subcategory", "size"])), F.array("category", "subcategory", F.col("cnt").cast("string")))
+    return v.entity.select(F.explode(facets).alias("facet", "val")).groupBy("facet", "val").agg(F.count("*").alias("n"))
+
+
+@query("a25_mega_excerpts", "SELECT substr(text, 1, 30) AS k, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 3")
+def a25(v: Views) -> DataFrame:
+    return v.documents.groupBy(F.substring("text", 1, 30).alias("k")).agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@query("a26_xref_dedupe", "SELECT o_custkey, o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, lower(o_orderpriority), o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def a26(v: Views) -> DataFrame:
+    k = [F.col("o_custkey"), F.lower("o_orderpriority"), F.col("o_orderstatus")]
+    return ops.dedupe_best(v.orders, k, [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query(
+    "a27_xref_distribution",
+    ", c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT max(n) AS hi, min(n) AS lo, list(n ORDER BY n DESC)[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS mid FROM c",
+)
+def a27(v: Views) -> DataFrame:
+    # counts of counts: as many rows as there are different counts, however many clusters there are
+    c = v.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("k").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = c.withColumn("upto", upto).withColumn("total", total)
+    return placed.agg(F.max("n").alias("hi"), F.min("n").alias("lo"), F.max(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("n"))).alias("mid"))
+
+
+_PR = ", t AS (SELECT l.quality = 1 AS truth, d.n_chars > 800 AS hit, d.lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id), c AS (SELECT lang, count(*) FILTER (WHERE truth AND hit) AS tp, count(*) FILTER (WHERE NOT truth AND hit) AS fp, count(*) FILTER (WHERE truth AND NOT hit) AS fn FROM t GROUP BY 1)"
+
+
+@query("a28_precision_recall", _PR + "SELECT lang, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c")
+def a28(v: Views) -> DataFrame:
+    l = v.labels.select(F.col("doc_id").alias("lid"), "quality")  # noqa: E741
+    j = v.documents.join(l, F.col("doc_id") == F.col("lid"))
+    return ops.precision_recall(j, F.col("quality") == 1, F.col("n_chars") > 800, ["lang"])
+
+
+@query(
+    "a29_set_overlap",
+    ", s AS (SELECT category, list(DISTINCT name) FILTER (cnt < 30) AS x, list(DISTINCT name) FILTER (cnt > 20) AS y FROM entity GROUP BY 1), p AS (SELECT len(list_intersect(x, y)) / len(x) AS p, len(list_intersect(x, y)) / len(y) AS r FROM s) SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(2 * p * r / (p + r)), 6) AS f1 FROM p",
+)
+def a29(v: Views) -> DataFrame:
+    s = v.entity.groupBy("category").agg(F.collect_set(F.when(F.col("cnt") < 30, F.col("name"))).alias("x"), F.collect_set(F.when(F.col("cnt") > 20, F.col("name"))).alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    p = s.select((both / F.size("x")).alias("p"), (both / F.size("y")).alias("r"))
+    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    return p.agg(F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg(f1), 6).alias("f1"))
+
+
+@query(
+    "a30_threshold_counts",
+    "SELECT category, count(*) AS n, count(*) FILTER (WHERE sim >= 0.32) AS over32, count(*) FILTER (WHERE sim >= 0.35) AS over35, round(avg(sim), 5) AS mean FROM edge GROUP BY 1",
+)
+def a30(v: Views) -> DataFrame:
+    return v.edge.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("sim") >= 0.32).alias("over32"), F.count_if(F.col("sim") >= 0.35).alias("over35"), F.round(F.avg("sim"), 5).alias("mean"))
+
+
+@query("a31_separation", "SELECT round(avg(CASE WHEN l.quality = 1 THEN d.n_chars END) - avg(CASE WHEN l.quality = 0 THEN d.n_chars END), 4) AS gap FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def a31(v: Views) -> DataFrame:
+    l = v.labels.select(F.col("doc_id").alias("lid"), "quality")  # noqa: E741
+    j = v.documents.join(l, F.col("doc_id") == F.col("lid"))
+    mean = lambda q: F.avg(F.when(F.col("quality") == q, F.col("n_chars")))
+    return j.agg(F.round(mean(1) - mean(0), 4).alias("gap"))
+
+
+@query("a32_language_distribution", "SELECT language, count(*) AS books, CAST(min(year) AS INTEGER) AS first_year FROM book GROUP BY 1")
+def a32(v: Views) -> DataFrame:
+    return v.book.groupBy("language").agg(F.count("*").alias("books"), F.min("year").alias("first_year"))
+
+
+@query(
+    "a33_language_pairs",
+    "SELECT least(x.lang, y.lang) AS la, greatest(x.lang, y.lang) AS lb, count(*) AS n, count(*) FILTER (WHERE e.sim >= 0.33) AS high FROM edge e JOIN documents x ON e.a = x.doc_id JOIN documents y ON e.b = y.doc_id GROUP BY 1, 2",
+)
+def a33(v: Views) -> DataFrame:
+    x = v.documents.select(F.col("doc_id").alias("a"), F.col("lang").alias("x"))
+    y = v.documents.select(F.col("doc_id").alias("b"), F.col("lang").alias("y"))
+    j = v.edge.join(x, "a").join(y, "b")
+    return j.groupBy(F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb")).agg(F.count("*").alias("n"), F.count_if(F.col("sim") >= 0.33).alias("high"))
+
+
+@query(
+    "a34_pilot_summary",
+    ", g AS (SELECT split_part(name, ' ', 2) AS k, name, category, cnt, id FROM entity), n AS (SELECT k, name, sum(cnt) AS s FROM g GROUP BY 1, 2), c AS (SELECT k, category, count(*) AS m FROM g GROUP BY 1, 2) SELECT n.k, arg_max(n.name, n.s * 1000 - length(n.name)) AS canonical, (SELECT arg_max(category, m * 1000 - unicode(category)) FROM c WHERE c.k = n.k) AS category FROM n GROUP BY n.k",
+)
+def a34(v: Views) -> DataFrame:
+    g = v.entity.withColumn("k", F.split("name", " ")[1])
+    names = g.groupBy("k", "name").agg(F.sum("cnt").alias("s")).groupBy("k").agg(F.max_by("name", F.struct("s", -F.length("name"))).alias("canonical"))
+    cats = g.groupBy("k", "category").agg(F.count("*").alias("m")).groupBy("k").agg(F.max_by("category", F.struct("m", -F.ascii("category"))).alias("category"))
+    return names.join(cats, "k")
+
+
+@query("a35_category_order", "SELECT category, CAST(sum(n) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY sum(n) DESC, category) AS INTEGER) AS place FROM (SELECT book_id, category, count(*) AS n FROM member GROUP BY 1, 2) GROUP BY 1")
+def a35(v: Views) -> DataFrame:
+    per_book = v.member.groupBy("book_id", "category").agg(F.count("*").alias("n"))
+    total = per_book.groupBy("category").agg(F.sum("n").cast("long").alias("n"))  # a row a category
+    return total.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "category")))
+
+
+@query(
+    "a36_book_overview",
+    ", b AS (SELECT m.book_id, m.cluster_id, sum(m.cnt) AS t FROM member m WHERE m.book_id < 10 GROUP BY 1, 2) SELECT b.book_id, count(*) AS clusters, count(*) FILTER (WHERE s.book_count > 90) AS shared, array_to_string(list(b.cluster_id ORDER BY b.t DESC, b.cluster_id)[1:8], ',') AS top FROM b JOIN stats s ON b.cluster_id = s.cluster_id GROUP BY 1",
+)
+def a36(v: Views) -> DataFrame:
+    b = v.member.where("book_id < 10").groupBy("book_id", "cluster_id").agg(F.sum("cnt").alias("t")).join(v.stats.select("cluster_id", "book_count"), "cluster_id")
+    top = first_k(F.struct(-F.col("t"), F.col("cluster_id")), F.col("cluster_id"), 8)
+    return b.groupBy("book_id").agg(F.count("*").alias("clusters"), F.count_if(F.col("book_count") > 90).alias("shared"), F.array_join(top.cast("array<string>"), ",").alias("top"))
+
+
+@query("a37_timing_stats", "SELECT event_type, count(*) AS calls, round(sum(value), 2) AS total, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+def a37(v: Views) -> DataFrame:
+    return v.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@query("a38_by_initial", "SELECT upper(substr(name, 1, 1)) AS initial, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM entity GROUP BY 1")
+def a38(v: Views) -> DataFrame:
+    from ..operators.filters import initial_of
+
+    e = v.entity.withColumn("initial", initial_of(F.col("name"))).where("initial <> '#'")
+    return e.groupBy("initial").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+
+
+@query("a39_corpus_totals", "SELECT CAST(sum(total_mentions) AS BIGINT) AS mentions, count(*) AS clusters, count(*) FILTER (WHERE book_count >= 2 AND total_mentions >= 5 AND category <> 'PROMO') AS featured FROM stats")
+def a39(v: Views) -> DataFrame:
+    good = (F.col("book_count") >= 2) & (F.col("total_mentions") >= 5) & (F.col("category") != "PROMO")
+    return v.stats.agg(F.sum("total_mentions").cast("long").alias("mentions"), F.count("*").alias("clusters"), F.count_if(good).alias("featured"))
+
+
+@query("a40_evidence_ranking", "SELECT id, cnt FROM entity ORDER BY (id IN (5, 50, 500))::INT DESC, cnt DESC, id LIMIT 6")
+def a40(v: Views) -> DataFrame:
+    cited = F.col("id").isin(5, 50, 500)
+    return v.entity.orderBy(F.desc(cited), F.desc("cnt"), "id").limit(6).select("id", "cnt")

@@ -18,9 +18,7 @@ from .views import Views, query
 )
 def w01(v: Views) -> DataFrame:
     others = v.embeddings.select(F.col("vec_id").alias("nbr"), "embedding")
-    return nearest(v.embeddings.select(F.col("vec_id").alias("id"), "embedding"), others, "id", "nbr", "embedding", 16).where("id <> nbr").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
-    ).where("rank <= 15")
+    return nearest(v.embeddings.select(F.col("vec_id").alias("id"), "embedding"), others, "id", "nbr", "embedding", 15)
 
 
 @query(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 EDGE_FLOOR = 0.30
 
 BASE_SQL = """
-WITH entity AS (
+WITH RECURSIVE entity AS (
   SELECT p_partkey AS id, p_name AS name, p_type AS category, p_brand AS subcategory, p_size AS cnt FROM part),
 att AS (
   SELECT l_suppkey AS book_id, l_partkey AS entity_id, CAST(sum(l_quantity) AS BIGINT) AS cnt,
