@@ -54,6 +54,18 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 8) -> None:
+    """Lowers the session's Arrow batch limits where they are higher: a row of text may be long, and an executor holds
+    several batches per task on both sides of the pipe to Python."""
+    conf = spark.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if int(now.rstrip("kmg")) * scale > megabytes << 20:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc, read_table, slices
+from .common import bound_batches, id_crc, read_table, slices
 from .toxicity import folded
 
 #: Buckets of the presence vector, by order of n-gram.
@@ -133,6 +133,7 @@ def languages(
 
     Null texts and texts without a letter are `und` with score 0; so is every text when nothing can be learnt.
     """
+    bound_batches(docs.sparkSession)
     model = fit(*training_sample(docs, folds, held_out, max_texts, max_chars))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

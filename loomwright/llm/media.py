@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import new_path, read_table, slices, store, string_bytes
+from .common import bound_batches, new_path, read_table, slices, store, string_bytes
 
 CUT_BITS = 11
 DIGEST = 16
@@ -117,6 +117,7 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     A payload is a text's UTF-8 (null: none) and zeros up to a positive multiple of 64 bytes. Null and repeated doc_ids
     and repeated rows keep a row each. Other columns are not read. An empty table gives empty stores.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def digests(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, Words, fresh, list_column, mix64, read_table, remove, slices, store
+from .common import MIX_A, Words, bound_batches, fresh, list_column, mix64, read_table, remove, slices, store
 from .components import components, relabelled
 
 BANDS, ROWS, RING = 40, 6, 1 << 20
@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     and link with nothing. Rows without a doc_id are never linked, have no component and are kept. Rows that share a
     doc_id are one document, with the smallest of their texts, and share its result. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import bound_batches, read_table, slices
 from .tokenise import encoder, tokenizer_path
 
 TIERS = (4096, 2048, 1024, 512)
@@ -159,6 +159,7 @@ def packed(
         if raws:
             yield from flush()
 
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(sequences, SCHEMA)
 

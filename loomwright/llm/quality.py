@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, id_crc, read_table, slices
+from .common import Words, bound_batches, id_crc, read_table, slices
 from .linear import fit_dense_logistic, sigmoid
 
 BUCKETS = 64
@@ -192,6 +192,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_
     docs has doc_id, text, lang, source, n_chars; any may be null. Null and empty texts have zero text features. Rows
     that repeat are scored alike. Without labels of both kinds every score is the smoothed share of good labels.
     """
+    bound_batches(docs.sparkSession)
     model = co_train(*training_sample(docs, labels, max_labelled, max_pool, folds, held_out))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

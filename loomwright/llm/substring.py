@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, fresh, mix64, range_hash, read_table, slices, store
+from .common import Words, bound_batches, fresh, mix64, range_hash, read_table, slices, store
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
 
@@ -101,6 +101,7 @@ def substring_dedup(
     the same doc_id and other texts follow one another in the order of a hash of the text. A column with the name of
     the count is replaced. An empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.drop(removed)
     no_id = F.lit(-(1 << 63))
     source = kept.select(F.coalesce(F.col(doc_id).cast("long"), no_id).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))

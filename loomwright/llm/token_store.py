@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read_table, slices
+from .common import bound_batches, new_path, read_table, slices
 from .tokenise import encoder, tokenizer_path
 
 PAGES = (
@@ -114,6 +114,7 @@ def write_store(
         if ids_of:
             yield flush()
 
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(pages, PAGES).write.option("compression", "none").parquet(path)

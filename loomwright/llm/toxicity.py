@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import code_points, fresh, id_crc, read_table, slices
+from .common import bound_batches, code_points, fresh, id_crc, read_table, slices
 from .linear import fit_sparse_logistic, sigmoid
 
 ORDERS = (3, 5, 7)
@@ -193,6 +193,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 
     Every row stays, whatever its other columns; a column of that name is replaced.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(score)
     schema = T.StructType([*kept.schema.fields, T.StructField(score, T.DoubleType())])
