@@ -110,9 +110,14 @@ def repair_json(text: str) -> str | None:
     return body
 
 
-@F.pandas_udf("string")
-def repaired_json(values: pd.Series) -> pd.Series:
-    return values.map(lambda t: repair_json(t) if t is not None else None)
+def repaired_json(c: Column) -> Column:
+    """repair_json() on a column, batch by batch."""
+
+    @F.pandas_udf("string")
+    def repair(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: repair_json(t) if t is not None else None)
+
+    return repair(c)
 
 
 def find_mentions(text: str, terms: list[str], apart: int = 50, around: int = 150, widen: int = 20, most: int = 100) -> list[tuple[int, str, str]]:
@@ -184,5 +189,5 @@ def djvu_pages(xml: DataFrame, column: str = "value") -> DataFrame:
     """leaf (from 1) and text of each page of a scanned book's XML; blank pages stay."""
     objects = F.filter(F.split(F.col(column), r"(?=<OBJECT[\s>])"), lambda o: o.startswith("<OBJECT"))
     pages = xml.select(F.posexplode(objects).alias("pos", "object"))
-    words = F.transform(F.regexp_extract_all("object", F.lit(r"<WORD[^>]*>([^<]*)</WORD>"), F.lit(1)), F.trim)
+    words = F.transform(F.regexp_extract_all("object", F.lit(r"<WORD[^>]*>([^<]*)</WORD>"), F.lit(1)), lambda w: F.trim(w))
     return pages.select((F.col("pos") + 1).alias("leaf"), F.array_join(words, " ").alias("text"))
