@@ -1 +1,130 @@
-from .views import Views, query  # noqa: F401
+"""Search and ranking operators (R)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.normalise import registry_text
+from ..functions.similarity import dot
+from ..operators import search as ops
+from ..operators.filters import initial_of
+from ..operators.ranking import page
+from .joins import _DOT
+from .views import Views, query
+
+_LEX = """
+, ix AS (SELECT c.cluster_id, c.category, c.canonical_name AS n, s.total_mentions FROM cluster c JOIN stats s ON c.cluster_id = s.cluster_id)
+, lex AS (SELECT *, CASE WHEN n = '{q}' THEN 1.0 ELSE greatest(0.0,
+    CASE WHEN contains(n, '{q}') OR contains('{q}', n) THEN 0.7 + 0.3 * least(length(n), {k}) / greatest(length(n), {k}) ELSE 0 END,
+    CASE WHEN 1 - levenshtein(n, '{q}') / greatest(length(n), {k}) > 0.6 THEN (1 - levenshtein(n, '{q}') / greatest(length(n), {k})) * 0.8 ELSE 0 END,
+    CASE WHEN contains(lower(category), '{q}') OR contains('{q}', lower(category)) THEN 0.3 ELSE 0 END) END AS lexical FROM ix)
+"""
+
+
+def _index(v: Views) -> DataFrame:
+    return v.cluster.select("cluster_id", "category", "canonical_name").join(v.stats.select("cluster_id", "total_mentions"), "cluster_id")
+
+
+def _lexical(q: str):
+    return ops.cluster_score(q, F.array("canonical_name"), F.col("category"), [])
+
+
+@query("r01_lexical_score", _LEX.format(q="red gear", k=8) + "SELECT cluster_id, round(lexical, 6) AS score FROM lex")
+def r01(v: Views) -> DataFrame:
+    return _index(v).select("cluster_id", F.round(_lexical("red gear"), 6).alias("score"))
+
+
+_HYBRID = f", sem AS (SELECT e.vec_id AS cluster_id, round({_DOT.format(a='e.embedding', b='q.embedding')}, 6) AS sem FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
+
+
+@query(
+    "r02_hybrid_score",
+    _LEX.format(q="red gear", k=8) + _HYBRID + " SELECT l.cluster_id, round(CASE WHEN lexical >= 0.9 THEN 0.3 * sem + 0.7 * lexical WHEN lexical >= 0.6 THEN 0.5 * sem + 0.5 * lexical ELSE 0.65 * sem + 0.35 * lexical END, 5) AS score FROM lex l JOIN sem s ON l.cluster_id = s.cluster_id",
+)
+def r02(v: Views) -> DataFrame:
+    asked = v.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
+    sem = v.embeddings.crossJoin(F.broadcast(asked)).select(F.col("vec_id").alias("cluster_id"), F.round(dot(F.col("embedding"), F.col("q")), 6).alias("sem"))
+    return _index(v).join(sem, "cluster_id").select("cluster_id", F.round(ops.hybrid_score(_lexical("red gear"), F.col("sem")), 5).alias("score"))
+
+
+@query("r03_search", _LEX.format(q="gear", k=4) + "SELECT cluster_id, round(lexical, 6) AS score FROM lex WHERE category = 'SMALL' AND lexical > 0 ORDER BY score DESC, total_mentions DESC, cluster_id LIMIT 20")
+def r03(v: Views) -> DataFrame:
+    found = ops.search(_index(v), "gear", _lexical("gear"), 20, "SMALL", [F.desc("total_mentions"), F.col("cluster_id")])
+    return found.select("cluster_id", "score")
+
+
+_ENT = """
+, sc AS (SELECT id, name, category, cnt, CASE WHEN name = 'hot' THEN 1.0 WHEN starts_with(name, 'hot') THEN 0.95 WHEN contains(name, 'hot') OR contains('hot', name) THEN 0.75 + 0.2 * least(length(name), 3) / greatest(length(name), 3) WHEN 1 - levenshtein(name, 'hot') / greatest(length(name), 3) >= 0.65 THEN (1 - levenshtein(name, 'hot') / greatest(length(name), 3)) * 0.8 ELSE 0.0 END AS score FROM entity)
+"""
+
+
+@query("r04_entity_score", _ENT + "SELECT id, round(CAST(score AS DOUBLE), 6) AS score FROM sc WHERE score > 0.2")
+def r04(v: Views) -> DataFrame:
+    q = registry_text(F.lit("Hot"))
+    scored = v.entity.select("id", F.round(ops.entity_score(q, F.array("name"), F.col("category")), 6).alias("score"))
+    return scored.where("score > 0.2")
+
+
+@query(
+    "r05_entities_page",
+    _ENT + "SELECT id, name, round(CAST(score AS DOUBLE), 6) AS score, (SELECT count(*) FROM sc WHERE score > 0.2 AND category = 'LARGE' AND name LIKE 'h%') AS total FROM sc WHERE score > 0.2 AND category = 'LARGE' AND name LIKE 'h%' ORDER BY score DESC, cnt DESC, id LIMIT 10 OFFSET 10",
+)
+def r05(v: Views) -> DataFrame:
+    rows = v.entity.where("category = 'LARGE'").where(initial_of(F.col("name")) == "H")
+    score = F.round(ops.entity_score(registry_text(F.lit("Hot")), F.array("name"), F.col("category")), 6)
+    scored = rows.withColumn("score", score).where("score > 0.2")
+    total = scored.agg(F.count("*").alias("total"))
+    return page(scored, [F.desc("score"), F.desc("cnt"), F.col("id")], 2, 10).select("id", "name", "score").crossJoin(F.broadcast(total))
+
+
+@query(
+    "r06_evidence",
+    "SELECT id, round(CASE WHEN contains(name, 'gear') THEN 2.0 WHEN contains(lower(subcategory), 'gear') THEN 0.5 ELSE 0 END + CASE WHEN contains(name, 'hot') THEN 2.0 ELSE 0 END + CASE WHEN length(name) > 3 AND contains('what is a hot gear', name) THEN 4.0 + 3.0 ELSE 0 END + 0.05 * ln(cnt + 1), 6) AS score FROM entity ORDER BY score DESC, id LIMIT 15",
+)
+def r06(v: Views) -> DataFrame:
+    score = ops.evidence_score(["gear", "hot"], "What is a hot gear", F.col("name"), F.array("name"), F.array("subcategory"), F.col("cnt"))
+    return v.entity.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(15)
+
+
+@query(
+    "r07_semantic_candidates",
+    _HYBRID + ", t AS (SELECT cluster_id AS id, sem FROM sem WHERE cluster_id % 2 = 0 AND sem > 0.1 ORDER BY sem DESC, cluster_id LIMIT 25) SELECT t.id, e.name, t.sem FROM t JOIN entity e ON t.id = e.id",
+)
+def r07(v: Views) -> DataFrame:
+    asked = v.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    sem = v.embeddings.where("vec_id % 2 = 0").crossJoin(F.broadcast(asked))
+    sem = sem.select(F.col("vec_id").alias("id"), F.round(dot(F.col("embedding"), F.col("q")), 6).alias("sem")).where("sem > 0.1")
+    return sem.orderBy(F.desc("sem"), "id").limit(25).join(v.entity.select("id", "name"), "id")
+
+
+@query(
+    "r08_voice_excerpts",
+    ", x AS (SELECT conv_id, turn, text FROM conversations WHERE length(text) BETWEEN 80 AND 250 AND NOT contains(text, '|')), f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1), g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 40) ORDER BY conv_id) = 1) SELECT conv_id, turn FROM g ORDER BY conv_id LIMIT 3",
+)
+def r08(v: Views) -> DataFrame:
+    x = v.conversations.where(F.length("text").between(80, 250) & ~F.col("text").contains("|"))
+    x = x.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("rn = 1")
+    x = x.withColumn("rn", F.row_number().over(Window.partitionBy(F.substring("text", 1, 40)).orderBy("conv_id"))).where("rn = 1")
+    return x.orderBy("conv_id").limit(3).select("conv_id", "turn")
+
+
+@query(
+    "r09_prompt",
+    ", t AS (SELECT category, name, cnt, id, row_number() OVER (PARTITION BY category ORDER BY cnt DESC, id) AS r FROM entity QUALIFY r <= 3) SELECT category, category || ': ' || array_to_string(list(name || ' (' || cnt || ')' ORDER BY r), '; ') AS line FROM t GROUP BY 1",
+)
+def r09(v: Views) -> DataFrame:
+    from ..operators.ranking import top_per_group
+
+    t = top_per_group(v.entity, ["category"], [F.desc("cnt"), F.col("id")], 3)
+    named = F.concat("name", F.lit(" ("), F.col("cnt").cast("string"), F.lit(")"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", named.alias("x")))), lambda s: s["x"])
+    return t.groupBy("category").agg(F.array_join(listed, "; ").alias("names")).select("category", F.concat_ws(": ", "category", "names").alias("line"))
+
+
+@query("r10_translate", "SELECT item_id, 'xx:' || substr(text, 1, 20) AS answer FROM benchmark")
+def r10(v: Views) -> DataFrame:
+    from ..sources.providers import ask
+
+    heads = v.benchmark.select("item_id", F.substring("text", 1, 20).alias("text"))
+    return ask(heads, "text", lambda keys: ["xx:" + k for k in keys]).select("item_id", "answer")
