@@ -103,7 +103,7 @@ class Model:
         return sigmoid(np.bincount(rows, self.weight[cols], len(column)) + self.bias)
 
 
-def _documents_of(texts: list[str], batch: int = 256) -> Iterable[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+def _documents_of(texts: list[str], batch: int = 64) -> Iterable[tuple[int, tuple[np.ndarray, np.ndarray]]]:
     for at in range(0, len(texts), batch):
         yield at, folded(pa.array(texts[at : at + batch], pa.string()))
 
@@ -132,26 +132,27 @@ def fit(texts: list[str], toxic: np.ndarray, max_features: int = 1 << 16, min_z:
     keys, count1 = keys[order], count1[order]
     if not len(keys):
         return fit([], np.zeros(0))
-    rows, cols, sieve = [], [], sieve_of(keys)
+    sieve, count0 = sieve_of(keys), np.zeros(len(keys))
     for at, (points, starts) in _documents_of(texts):
         r, c = presence(points, starts, keys, sieve)
-        rows.append((r + at).astype(np.int32))
-        cols.append(c.astype(np.int32))
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
-    count0 = np.bincount(cols, 1 - toxic[rows], len(keys))
+        count0 += np.bincount(c, 1 - toxic[r + at], len(keys))
     share1, share0 = count1 / n1, count0 / n0
     both = (count1 + count0 + 1) / (n1 + n0 + 2)
     z = np.abs(share1 - share0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
     use = np.flatnonzero(z >= min(min_z, np.sort(z)[-min(len(z), 50)]))
     if len(use) > max_features:
         use = np.sort(use[np.argsort(-z[use], kind="stable")[:max_features]])
-    place = np.full(len(keys), -1)
-    place[use] = np.arange(len(use))
-    kept = place[cols] >= 0
-    rows, cols = rows[kept], place[cols[kept]]
-    ratio = np.log(((count1[use] + smooth) / (n1 + 2 * smooth)) / ((count0[use] + smooth) / (n0 + 2 * smooth)))
-    weight, bias = fit_sparse_logistic(rows, cols, ratio[cols], toxic, len(use), l2)
-    return Model(keys[use], weight * ratio, bias)
+    # once more for the entries of the features in use, which are few
+    keys, count1, count0 = keys[use], count1[use], count0[use]
+    rows, cols, sieve = [], [], sieve_of(keys)
+    for at, (points, starts) in _documents_of(texts):
+        r, c = presence(points, starts, keys, sieve)
+        rows.append((r + at).astype(np.int32))
+        cols.append(c.astype(np.int32))
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    ratio = np.log(((count1 + smooth) / (n1 + 2 * smooth)) / ((count0 + smooth) / (n0 + 2 * smooth)))
+    weight, bias = fit_sparse_logistic(rows, cols, ratio[cols], toxic, len(keys), l2)
+    return Model(keys, weight * ratio, bias)
 
 
 def training_sample(
