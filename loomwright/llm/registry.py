@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import op6_lz_fingerprint
 from .language import op9_language
 from .media import op10_media
 from .mixing import op2_mixing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_token_store": op4_token_store,
     "op5_toxicity": op5_toxicity,
+    "op6_lz_fingerprint": op6_lz_fingerprint,
     "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
