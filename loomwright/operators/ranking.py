@@ -54,7 +54,7 @@ def allocate_slugs(df: DataFrame, base: str, category: str, hint: str, order: li
     number = F.row_number().over(Window.partitionBy(base, "__level").orderBy(*order)) + 1
     slug = F.when(F.col("__level") == 0, F.col(base)).when(F.col("__level") == 1, by_category).when(F.col("__level") == 2, by_hint).otherwise(F.concat_ws("-", base, number.cast("string")))
     out = k.withColumn("__slug", slug).drop("__n", "__c", "__nc", "__nh", "__level")
-    again = F.row_number().over(Window.partitionBy("__slug").orderBy(F.length(base).desc(), *order))
+    again = F.row_number().over(Window.partitionBy("__slug").orderBy(*order))
     return out.withColumn("__again", again).withColumn(name, F.when(F.col("__again") > 1, F.concat(F.col("__slug"), F.lit("-x"), F.col("__again").cast("string"))).otherwise(F.col("__slug"))).drop("__slug", "__again")
 
 

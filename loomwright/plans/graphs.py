@@ -52,7 +52,8 @@ def g03(v: Views) -> DataFrame:
 
 @query("g04_edges_inside", _components_sql(" SELECT x.component, e.a, e.b, round(e.sim, 3) AS sim FROM edge e JOIN comp x ON e.a = x.node JOIN comp y ON e.b = y.node WHERE x.component = y.component AND e.a % 2 = 0"))
 def g04(v: Views) -> DataFrame:
-    return ops.edges_inside(v.edge.where("a % 2 = 0"), _named(v))
+    members = ops.connected_components(v.edge).withColumnRenamed("node", "id")
+    return ops.edges_inside(v.edge.where("a % 2 = 0"), members)
 
 
 @query("g05_near_duplicate_merge")

@@ -215,7 +215,7 @@ def u04(v: Views) -> DataFrame:
 
 @query(
     "u05_curated_first",
-    ", p AS (SELECT 0 AS pri, a, b, 1.0 AS s FROM edge WHERE (a + b) % 4 = 0 UNION ALL SELECT 1, b, a, sim FROM edge) SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(pri AS INTEGER) AS pri, CAST(s AS DOUBLE) AS s FROM p QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY pri) = 1",
+    ", p AS (SELECT 0 AS pri, a, b, CAST(1 AS DOUBLE) AS s FROM edge WHERE (a + b) % 4 = 0 UNION ALL SELECT 1, b, a, sim FROM edge) SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(pri AS INTEGER) AS pri, CAST(s AS DOUBLE) AS s FROM p QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY pri) = 1",
 )
 def u05(v: Views) -> DataFrame:
     curated = v.edge.where("(a + b) % 4 = 0").select(F.lit(0).alias("pri"), "a", "b", F.lit(1.0).alias("s"))

@@ -62,7 +62,7 @@ def s04(v: Views) -> DataFrame:
 def s05(v: Views) -> DataFrame:
     path = _path(v, "pairs")
     p = v.part.where("p_partkey < 300")
-    sinks.csv(p.select(*(F.col("p_name" if f.name == "term_a" else "p_brand").alias(f.name) for f in readers.PAIRS)), path)
+    sinks.csv(p.select(*(F.col("p_name" if c == "term_a" else "p_brand").alias(c) for c in readers.PAIR_COLUMNS)), path)
     return readers.pair_csv(v.spark, path).select("term_a", "notes")
 
 

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.text import djvu_pages
 
-MENTION = T.StructType.fromDDL("offset INT, matched_term STRING, excerpt STRING")
-ENTITY = T.StructType(
-    [
-        *T.StructType.fromDDL("id STRING, name STRING, category STRING, subcategory STRING, count INT, contexts ARRAY<STRING>, variants ARRAY<STRING>").fields,
-        T.StructField("mentions", T.ArrayType(MENTION)),
-    ]
+ENTITY = (
+    "STRUCT<id: STRING, name: STRING, category: STRING, subcategory: STRING, count: INT, contexts: ARRAY<STRING>, "
+    "variants: ARRAY<STRING>, mentions: ARRAY<STRUCT<offset: INT, matched_term: STRING, excerpt: STRING>>>"
 )
-BOOK = T.StructType.fromDDL("id STRING, title STRING, author STRING, year INT, language STRING, description STRING")
-BOOK_FILE = T.StructType([T.StructField("book", BOOK), T.StructField("entities", T.ArrayType(ENTITY)), T.StructField("stats", T.MapType(T.StringType(), T.StringType()))])
-PAIRS = T.StructType.fromDDL(", ".join(f"{c} STRING" for c in ["term_a", "lang_a", "source_a", "term_b", "lang_b", "source_b", "link_type", "modern_id", "notes"]))
+BOOK = "STRUCT<id: STRING, title: STRING, author: STRING, year: INT, language: STRING, description: STRING>"
+BOOK_FILE = f"book {BOOK}, entities ARRAY<{ENTITY}>, stats MAP<STRING, STRING>"
+PAIR_COLUMNS = ["term_a", "lang_a", "source_a", "term_b", "lang_b", "source_b", "link_type", "modern_id", "notes"]
+PAIRS = ", ".join(f"{c} STRING" for c in PAIR_COLUMNS)
 
 
 def book_files(spark: SparkSession, glob: str) -> DataFrame:
@@ -27,11 +24,11 @@ def book_files(spark: SparkSession, glob: str) -> DataFrame:
     return rows.select(F.col("book.id").alias("book_id"), F.col("book.title").alias("title"), F.col("book.language").alias("language"), F.nullif(F.col("book.year"), F.lit(0)).alias("year"), "e.*")
 
 
-def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that don't parse are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
@@ -42,7 +39,7 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), text.alias("text"))
 
 
-def pair_csv(spark: SparkSession, path: str, schema: T.StructType = PAIRS) -> DataFrame:
+def pair_csv(spark: SparkSession, path: str, schema: str = PAIRS) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
