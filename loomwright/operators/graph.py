@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import contains_either, string_similarity
-from .joins import _cut
+from .joins import cut_lineage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,22 +15,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Hooking and pointer jumping: each round every node with a smaller neighbour takes the smallest one as parent, the
     forest is flattened by jumps that halve its depth, and edges are drawn anew between roots.
     """
-    left = _cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    label = _cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    left = cut_lineage(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    label = cut_lineage(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     while left.limit(1).count():
-        parent = _cut(left.groupBy("a").agg(F.min("b").alias("root")))
+        parent = cut_lineage(left.groupBy("a").agg(F.min("b").alias("root")))
         while True:
             up = parent.select(F.col("a").alias("__up"), F.col("root").alias("__root"))
-            nxt = _cut(parent.join(up, F.col("root") == F.col("__up"), "left").select("a", F.coalesce("__root", "root").alias("root"), F.col("__root").isNotNull().alias("moved")))
+            nxt = cut_lineage(parent.join(up, F.col("root") == F.col("__up"), "left").select("a", F.coalesce("__root", "root").alias("root"), F.col("__root").isNotNull().alias("moved")))
             parent = nxt.drop("moved")
             if not nxt.where("moved").limit(1).count():
                 break
         to = parent.select(F.col("a").alias("__a"), F.col("root").alias("__r"))
         also = parent.select(F.col("a").alias("__b"), F.col("root").alias("__s"))
-        label = _cut(label.join(to, F.col("component") == F.col("__a"), "left").select("node", F.coalesce("__r", "component").alias("component")))
+        label = cut_lineage(label.join(to, F.col("component") == F.col("__a"), "left").select("node", F.coalesce("__r", "component").alias("component")))
         drawn = left.join(to, F.col("a") == F.col("__a"), "left").join(also, F.col("b") == F.col("__b"), "left")
         drawn = drawn.select(F.coalesce("__r", "a").alias("x"), F.coalesce("__s", "b").alias("y")).where("x <> y")
-        left = _cut(drawn.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        left = cut_lineage(drawn.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     return label
 
 

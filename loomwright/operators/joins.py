@@ -104,21 +104,21 @@ def greedy_matching(pairs: DataFrame, a: str = "a", b: str = "b", score: str = "
     Each round takes all edges that are the best left at both of their ends, which the sequential greedy would take
     too, and drops the edges that touch them. Rounds are few but for monotone chains.
     """
-    left = _cut(pairs.select(a, b, score))
+    left = cut_lineage(pairs.select(a, b, score))
     taken = None
     while True:
         first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc(score), a, b))
         best = left.withColumn("__ra", first(a)).withColumn("__rb", first(b)).where("__ra = 1 and __rb = 1").drop("__ra", "__rb")
-        best = _cut(best)
+        best = cut_lineage(best)
         if not best.limit(1).count():
             return taken if taken is not None else best
         taken = best if taken is None else taken.unionByName(best)
-        left = _cut(left.join(best.select(a), a, "left_anti").join(best.select(b), b, "left_anti"))
+        left = cut_lineage(left.join(best.select(a), a, "left_anti").join(best.select(b), b, "left_anti"))
 
 
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:

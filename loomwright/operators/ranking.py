@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import cut_lineage
+
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group."""
@@ -27,8 +29,10 @@ def collision_suffix(df: DataFrame, base: str, id: str, name: str) -> DataFrame:
 def global_rank(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
     """A dense number from 1 in a global order: range partitions are sorted and counted, and only the counts, one row a
     partition, are added up. `order` must not have ties."""
-    spread = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    placed = spread.sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("__m"))
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # both uses below must see the same partitions, also after a lost executor
+    placed = cut_lineage(spread.select("*", F.monotonically_increasing_id().alias("__m")))
     placed = placed.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m") - F.shiftleft("__p", 33))
     counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
