@@ -138,7 +138,7 @@ def languages(
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterable[pa.RecordBatch]):
-        for big in slices(batches, "text", 1 << 20):
+        for big in slices(batches, "text", 1 << 19):
             for at in range(0, big.num_rows, ROWS):
                 batch = big.slice(at, ROWS)
                 if sent.value is None:

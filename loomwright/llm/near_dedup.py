@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, words: int, sieve: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def make(batches):
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             at = _spread(batch.column(0).fill_null(0).to_numpy())
             wanted = (sent.value[at >> 6] >> (at & 63) & 1).astype(bool) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             if wanted.any():
@@ -124,7 +124,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
     """id, n_shingles, two halves of a key of the set, its sketch and band keys (none for an empty set)."""
 
     def make(batches):
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             h, offs = shingle_sets(batch.column(1), words)
             n = np.diff(offs)
             made = [signature(h[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True) if b > a]

@@ -166,7 +166,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_p
     seen = seen.join(F.broadcast(known), F.col("doc_id") == F.col("__id"), "left").where(F.col("__id").isNotNull() | (order < limit))
 
     def make(batches):
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             a, b = _features(batch)
             flat = np.column_stack([a, b])
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("o", "q")]
@@ -197,7 +197,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             made = [pa.array(s) for s in sent.value.score(*_features(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "score", "text_score", "meta_score"])
 

@@ -60,7 +60,7 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataF
     """Of (id, key, text): the spans to remove, as (id, key, gone array<struct<at, n>>), one row a document."""
 
     def spans(batches):
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             s = Sentences(batch.column(2), min_sentences, min_words)
             rows = pa.array(s.row)
             yield pa.RecordBatch.from_arrays(
@@ -111,7 +111,7 @@ def substring_dedup(
     joined = kept.join(gone, here, "left").select(*(kept[c] for c in kept.columns), marks_of)
 
     def cut(batches):
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, 1 << 19):
             where = batch.schema.get_field_index(text)
             column = batch.column(where)
             marks = batch.column(batch.schema.get_field_index(marks_of)).to_pylist()

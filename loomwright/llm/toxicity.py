@@ -203,7 +203,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     def score_all(batches):
         if not hold:
             hold.append(sieve_of(sent.value.keys))
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, 1 << 19):
             column = batch.column(batch.schema.get_field_index(text))
             values = sent.value.score(column, hold[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, score])
