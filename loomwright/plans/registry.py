@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregations, filters, functions, graphs, joins, mutations, ranking, rules, search, sources, streams, text, training  # noqa: F401
+from . import aggregations, build, filters, functions, graphs, joins, mutations, ranking, rules, search, sources, streams, text, training  # noqa: F401
 from .views import ORACLES, QUERIES, Views
 
 
