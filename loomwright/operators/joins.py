@@ -62,15 +62,37 @@ def similar_pairs(entities: DataFrame, same_book: bool, floor: float, person_flo
     )
 
 
-def nearest(df: DataFrame, others: DataFrame, key: str, other_key: str, vector: str, k: int, digits: int = 4) -> DataFrame:
+def nearest(df: DataFrame, others: DataFrame, key: str, other_key: str, vector: str, k: int, digits: int = 4, block: int = 512) -> DataFrame:
     """For each row of df, the k rows of others with the largest dot product: key, other_key, sim, rank.
 
-    The keys have different names; rows with equal keys are not neighbours. Ties after rounding go to the smaller other_key. `others` is compared in whole; it should be the smaller side.
+    The keys are numbers with different names; rows with equal keys are not neighbours. Ties after rounding go to the
+    smaller other_key. Both sides are packed into blocks, each pair of blocks is one matrix product in numpy, and only
+    the k best of a block leave it; the last step ranks those.
     """
-    a = df.select(F.col(key), F.col(vector).alias("__va"))
-    b = others.select(F.col(other_key), F.col(vector).alias("__vb"))
-    pairs = a.join(b, F.col(key) != F.col(other_key))
-    scored = pairs.withColumn("sim", F.round(dot(F.col("__va"), F.col("__vb")), digits)).drop("__va", "__vb")
+    import numpy as np
+    import pandas as pd
+
+    def packed(side: DataFrame, name: str, suffix: str) -> DataFrame:
+        n = max(1, -(-side.count() // block))
+        part = F.pmod(F.xxhash64(name), F.lit(n))
+        rows = side.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(part.alias("p"), F.struct(F.col(name).alias("k"), F.col(vector).alias("v")).alias("r"))
+        return rows.groupBy("p").agg(F.collect_list("r").alias("r")).select(F.col("r.k").alias(f"k{suffix}"), F.col("r.v").alias(f"v{suffix}"))
+
+    def best(batches):
+        for pdf in batches:
+            for ka, va, kb, vb in zip(pdf["ka"], pdf["va"], pdf["kb"], pdf["vb"], strict=True):
+                ka, kb = np.asarray(ka), np.asarray(kb)
+                sim = np.stack(va).astype(np.float64) @ np.stack(vb).astype(np.float64).T
+                sim[ka[:, None] == kb[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(kb, sim.shape), -np.round(sim, digits)), axis=1)[:, :k]
+                found = np.take_along_axis(sim, order, axis=1)
+                rows, cols = np.nonzero(np.isfinite(found))
+                yield pd.DataFrame({key: ka[rows], other_key: kb[order[rows, cols]], "sim": found[rows, cols]})
+
+    pairs = packed(df, key, "a").crossJoin(packed(others, other_key, "b"))  # rows are blocks
+    kinds = f"{key} {df.schema[key].dataType.simpleString()}, {other_key} {others.schema[other_key].dataType.simpleString()}, sim double"
+    spread = pairs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scored = spread.mapInPandas(best, kinds).withColumn("sim", F.round("sim", digits))
     order = Window.partitionBy(key).orderBy(F.desc("sim"), other_key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
