@@ -206,9 +206,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     classes = classes.select("k1", "k2", "rep", "r.*")
     classes, classes_path = store(classes, "classes")
     keyed, keyed_path = store(classes.select("rep", F.posexplode("bands").alias("band", "key")), "bands")
+    # what a hot key is joined with is a written table each time: such a join can be split, one with an aggregate can't
     heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads, heads_path = store(heads, "heads")
     members, members_path = store(keyed.join(heads, "key"), "buckets")
-    remove(spark, keyed_path)
+    remove(spark, keyed_path, heads_path)
 
     first = members.where("rep > head").groupBy(F.col("rep").alias("a")).agg(F.min("head").alias("b"))
     first, first_path = store(first, "pairs")
@@ -239,6 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     for turn in range(PIVOT_ROUNDS + 1):
         named = members.join(label, members.rep == label.node, "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("root"))
         several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        several, path = store(several, "several")
+        paths.append(path)
         rest, path = store(named.join(several, "key"), "unsettled")
         paths.append(path)
         if not rest.limit(1).count():
@@ -246,7 +250,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         if turn < PIVOT_ROUNDS:  # every unsettled bucket has a pivot of its own
             draw = F.xxhash64("rep", "key", F.lit(turn))
             pivots = rest.groupBy("key").agg(F.min_by(F.struct("rep", "root"), draw).alias("p"))
-            pivots = pivots.select(F.col("key").alias("key2"), F.col("p.rep").alias("rep2"), F.col("p.root").alias("root2"))
+            pivots, path = store(pivots.select(F.col("key").alias("key2"), F.col("p.rep").alias("rep2"), F.col("p.root").alias("root2")), "pivots")
+            paths.append(path)
             pairs = rest.join(pivots, (F.col("key") == F.col("key2")) & (F.col("root") != F.col("root2")))
         else:  # each pair in the first band that it shares, if nothing rules it out
             known, path = store(described(rest), "described")
