@@ -1,7 +1,9 @@
 """Substring dedup on sliding spans of sentences.
 
 A sentence ends after . ! or ? before white space, before a line feed, and before a word that begins with a capital
-letter, so a passage that was pasted into the middle of a sentence is a sentence of its own. A span is the shortest run
+letter, so a passage that was pasted into the middle of a sentence is a sentence of its own. A long sentence is parted
+further, or two texts that differ in one word of it would share nothing of it: from its ninth word on before one word in
+eight, chosen by the word's hash and so alike in every copy, and in any case every LONGEST words. A span is the shortest run
 of at least MIN_SENTENCES sentences and MIN_WORDS words from its first sentence on; one begins at every sentence from
 which such a run exists. Spans with equal words are copies. Of all copies in the corpus the one in the document with
 the smallest doc_id, at its smallest place, is first; the sentences of every other one are removed.
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import Words, bound_batches, fresh, mix64, range_hash, read_table, slices, store
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
+PARTED_FROM, ONE_IN, LONGEST = 8, 8, 24
 
 
 class Sentences:
@@ -38,6 +41,9 @@ class Sentences:
             opens[:n] |= (lead >= 65) & (lead <= 90) | (lead == 0xC3) & (after >= 0x80) & (after <= 0x9E)
             feeds = np.concatenate([[0], np.cumsum(raw == 10)])
             opens[1:n] |= feeds[start[1:]] > feeds[end[:-1]]
+            at = np.arange(n)
+            since = at - np.maximum.accumulate(np.where(opens[:n], at, 0))
+            opens[:n] |= (since >= PARTED_FROM) & (w.hashes % np.uint64(ONE_IN) == 0) | (since > 0) & (since % LONGEST == 0)
         self.first = np.flatnonzero(opens[:n])  # first word of each sentence
         self.past = np.append(self.first[1:], n)
         self.offs = np.searchsorted(self.first, w.offs)  # rows' first sentences

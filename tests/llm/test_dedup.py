@@ -84,12 +84,19 @@ def test_stage_keeps_one_of_each_group(spark, clashing, clean):
 
 
 def units(text):
+    """Words, and the first word of each sentence or part of one."""
     at = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    first = [
-        k
-        for k, (s, _) in enumerate(at)
-        if k == 0 or text[at[k - 1][1] - 1] in ".!?" or "\n" in text[at[k - 1][1] : s] or "A" <= text[s] <= "Z" or "\xc0" <= text[s] <= "\xde"
-    ]
+    hashes = Words(pa.array([text])).hashes.tolist()
+    first, since = [], 0
+    for k, (s, _) in enumerate(at):
+        lead = text[s]
+        if k == 0 or text[at[k - 1][1] - 1] in ".!?" or "\n" in text[at[k - 1][1] : s] or "A" <= lead <= "Z" or "\xc0" <= lead <= "\xde":
+            since = 0
+            first.append(k)
+        else:
+            since += 1
+            if since >= 8 and hashes[k] % 8 == 0 or since % 24 == 0:
+                first.append(k)
     return at, first
 
 
@@ -132,6 +139,14 @@ def test_shared_passage_stays_once(spark, clean):
     assert got[60] == "" and got[0] == rows[0]  # an exact copy is one span from end to end
 
 
+def test_long_sentences_are_parted(spark):
+    words = [f"word{i}" for i in range(400)]
+    other = [*(f"else{i}" for i in range(50)), *words[100:260], *(f"more{i}" for i in range(50))]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "the " * 200), (4, "the " * 90)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split() for r in substring.substring_dedup(df).collect()}
+    assert len(set(got[2]) & set(words[100:260])) < 70 and got[1] == words and len(got[4]) < 50
+
+
 def test_substring_odd_tables(spark, docs, rows, empty, all_null, clashing):
     assert substring.substring_dedup(empty).count() == 0
     assert [r["text"] for r in substring.substring_dedup(all_null).collect()] == [None] * 3
