@@ -1,4 +1,4 @@
-"""Building a concordance and its registry: from book entities to clusters, identifiers, index and checks.
+"""Building an alignment of books and its registry: from book entities to clusters, identifiers, index and checks.
 
 Relations stay normalised (entities, edges, members, clusters, attestations); nesting happens at the sink only.
 """
@@ -16,12 +16,12 @@ from ..functions.rules import is_noise_name
 from .aggregates import cluster_stats
 from .graph import connected_components, edges_inside, star_across
 from .joins import cut_lineage, similar_across_books, similar_within_book
-from .mutations import integrity, registry_checks
-from .ranking import allocate_slugs, global_rank
+from .mutations import integrity
+from .ranking import allocate_slugs, global_rank, suffixed
 
 
 @dataclass
-class Concordance:
+class Alignment:
     """clusters: cluster_id, stable_key, canonical_name, category, book_count, total_mentions, members.
     members: cluster_id, book_id, id, name, category, cnt. edges: cluster_id, a, b, sim."""
 
@@ -40,7 +40,7 @@ def deduplicated(entities: DataFrame, **floors: float) -> DataFrame:
     return grouped.groupBy("group").agg(lead.alias("e"), F.sum("cnt").cast("long").alias("cnt")).select("e.*", "cnt")
 
 
-def build_concordance(entities: DataFrame, floor: float = 0.84, person_floor: float = 0.80, ease: float = 0.03, star: dict[str, float] | None = None) -> Concordance:
+def build_alignment(entities: DataFrame, floor: float = 0.84, person_floor: float = 0.80, ease: float = 0.03, star: dict[str, float] | None = None) -> Alignment:
     """Clusters across books of entities (key, book_id, id, name, category, cnt, vector); key is unique over all books.
 
     Matches between books are joined on their category, components are validated against their largest member, and
@@ -59,27 +59,28 @@ def build_concordance(entities: DataFrame, floor: float = 0.84, person_floor: fl
         "cluster", F.col("lead.name").alias("canonical_name"), F.col("lead.category").alias("category"), "names", "book_count", "total_mentions", "members"
     )
     ranked = global_rank(clusters, [F.desc("book_count"), F.desc("total_mentions"), F.col("cluster")], "cluster_id")
-    ranked = cut_lineage(ranked.withColumn("stable_key", stable_key(F.col("category"), F.col("names"))))
+    ranked = ranked.withColumn("key_base", stable_key(F.col("category"), F.col("names")))
+    ranked = cut_lineage(suffixed(ranked, "key_base", [F.col("cluster_id")], "stable_key").drop("key_base"))
     ids = ranked.select("cluster", "cluster_id")
     inside = edges_inside(matches, kept.select("id", "component")).withColumnRenamed("component", "cluster")
-    return Concordance(ranked.drop("cluster", "names"), members.join(ids, "cluster").drop("cluster"), inside.join(ids, "cluster").drop("cluster"))
+    return Alignment(ranked.drop("cluster", "names"), members.join(ids, "cluster").drop("cluster"), inside.join(ids, "cluster").drop("cluster"))
 
 
-def build_registry(concordance: Concordance, entities: DataFrame) -> DataFrame:
+def build_registry(alignment: Alignment, entities: DataFrame) -> DataFrame:
     """Every cluster, and every entity that is in none: id, slug, canonical_name, category, book_count, total_mentions,
-    is_concordance, noise."""
-    c = concordance.clusters.select(
+    is_aligned, noise."""
+    c = alignment.clusters.select(
         stable_id(F.lit("cluster"), "stable_key").alias("id"), "canonical_name", "category", "book_count", "total_mentions",
-        F.lit(True).alias("is_concordance"), F.lit("concordance").alias("hint"),
+        F.lit(True).alias("is_aligned"), F.lit("alignment").alias("hint"),
     )
-    alone = entities.join(concordance.members.select(F.col("id").alias("key")), "key", "left_anti")
+    alone = entities.join(alignment.members.select(F.col("id").alias("key")), "key", "left_anti")
     local = alone.select(
         stable_id(F.lit("local"), F.col("book_id").cast("string"), F.col("key").cast("string")).alias("id"),
         F.col("name").alias("canonical_name"), "category", F.lit(1).cast("long").alias("book_count"), F.col("cnt").cast("long").alias("total_mentions"),
-        F.lit(False).alias("is_concordance"), F.concat(F.lit("b"), F.col("book_id").cast("string")).alias("hint"),
+        F.lit(False).alias("is_aligned"), F.concat(F.lit("b"), F.col("book_id").cast("string")).alias("hint"),
     )
     rows = c.unionByName(local).withColumn("base", slug(F.col("canonical_name"))).withColumn("kind", F.lower("category"))
-    rows = rows.withColumn("first", (~F.col("is_concordance")).cast("int"))
+    rows = rows.withColumn("first", (~F.col("is_aligned")).cast("int"))
     named = allocate_slugs(rows, "base", "kind", "hint", ["first", "id"])
     return named.withColumn("noise", is_noise_name(F.col("canonical_name"), F.col("total_mentions"))).drop("base", "kind", "hint", "first")
 
@@ -91,14 +92,21 @@ def attestations(registry_members: DataFrame, books: DataFrame) -> DataFrame:
     return j.withColumn("title", F.coalesce("title", F.concat(F.lit("Book "), F.col("book_id").cast("string"))))
 
 
-def check_concordance(concordance: Concordance) -> DataFrame:
+def check_alignment(alignment: Alignment) -> DataFrame:
     """(check, bad) of the invariants that every build must keep."""
-    nbr = concordance.edges.select(F.col("a").alias("id"), F.col("b").alias("nbr"))
-    ids = concordance.clusters.select("cluster_id")
-    known = concordance.members.select(F.col("id").alias("cluster_id")).distinct()
-    checks = registry_checks(ids, concordance.members.select("cluster_id").distinct(), nbr.limit(0))
-    checks["edges to strangers"] = nbr.join(known, F.col("nbr") == F.col("cluster_id"), "left_anti")
-    checks["clusters of one book"] = concordance.clusters.where("book_count < 2")
-    checks["members in two clusters"] = concordance.members.groupBy("id").count().where("count > 1")
-    checks["duplicate stable keys"] = concordance.clusters.groupBy("stable_key").count().where("count > 1").limit(0)
-    return integrity(checks)
+    clusters, members, edges = alignment.clusters, alignment.members, alignment.edges
+    ids, owners = clusters.select("cluster_id"), members.select("cluster_id").distinct()
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id"))
+    twice = lambda df, c: df.groupBy(c).count().where("count > 1")
+    return integrity(
+        {
+            "duplicate cluster ids": twice(clusters, "cluster_id"),
+            "duplicate stable keys": twice(clusters, "stable_key"),
+            "clusters without members": ids.subtract(owners),
+            "members without a cluster": owners.subtract(ids),
+            "members in two clusters": twice(members, "id"),
+            "clusters of one book": clusters.where("book_count < 2"),
+            "edges to strangers": ends.join(members.select("id"), "id", "left_anti"),
+            "edges to oneself": edges.where("a = b"),
+        }
+    )

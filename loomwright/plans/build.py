@@ -1,4 +1,4 @@
-"""End-to-end builds: concordance, registry and their invariants."""
+"""End-to-end builds: alignment, registry and their invariants."""
 
 from __future__ import annotations
 
@@ -18,11 +18,11 @@ def _entities(v: Views) -> DataFrame:
     return e.join(sizes, F.col("id") == F.col("pk")).select(F.col("id").alias("key"), "book_id", "id", "name", "category", "cnt", "vector")
 
 
-def _built(v: Views) -> ops.Concordance:
-    return ops.build_concordance(_entities(v), 0.30, 0.25, 0.05, _STAR)
+def _built(v: Views) -> ops.Alignment:
+    return ops.build_alignment(_entities(v), 0.30, 0.25, 0.05, _STAR)
 
 
-@query("b01_concordance")
+@query("b01_alignment")
 def b01(v: Views) -> DataFrame:
     return _built(v).clusters
 
@@ -34,10 +34,10 @@ def b02(v: Views) -> DataFrame:
 
 @query(
     "b03_build_invariants",
-    'SELECT unnest([\'duplicate cluster ids\', \'duplicate index ids\', \'clusters not in index\', \'index not in clusters\', \'unknown neighbours\', \'own neighbours\', \'edges to strangers\', \'clusters of one book\', \'members in two clusters\', \'duplicate stable keys\']) AS "check", CAST(0 AS BIGINT) AS bad',
+    "SELECT unnest(['duplicate cluster ids', 'duplicate stable keys', 'clusters without members', 'members without a cluster', 'members in two clusters', 'clusters of one book', 'edges to strangers', 'edges to oneself']) AS \"check\", CAST(0 AS BIGINT) AS bad",
 )
 def b03(v: Views) -> DataFrame:
-    return ops.check_concordance(_built(v))
+    return ops.check_alignment(_built(v))
 
 
 @query("b04_deduplicated_books")

@@ -172,7 +172,7 @@ def l09(v: Views) -> DataFrame:
     return v.edge.orderBy(F.desc("sim"), "a", "b").limit(50).select("a", "b")
 
 
-@query("l10_concordance_view", "SELECT cluster_id, canonical_name, book_count FROM stats WHERE book_count >= 2 ORDER BY book_count DESC, total_mentions DESC, cluster_id")
+@query("l10_cluster_view", "SELECT cluster_id, canonical_name, book_count FROM stats WHERE book_count >= 2 ORDER BY book_count DESC, total_mentions DESC, cluster_id")
 def l10(v: Views) -> DataFrame:
     return v.stats.where("book_count >= 2").orderBy(F.desc("book_count"), F.desc("total_mentions"), "cluster_id").select("cluster_id", "canonical_name", "book_count")
 
