@@ -9,6 +9,8 @@ language is solved against the rest. Scoring is two matrix products a batch: pre
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, id_crc, read_table, slices
+from .common import bound_batches, code_points, id_crc, read_table, slices
 from .toxicity import folded
 
 #: Buckets of the presence vector, by order of n-gram.
@@ -27,13 +29,28 @@ UNKNOWN = "und"
 ROWS = 256
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(1 << 16)])
+
+
+def has_letter(column: pa.Array) -> np.ndarray:
+    """Whether each row has a letter of any script."""
+    points, offs = code_points(column)
+    found = _letters()[np.minimum(points, (1 << 16) - 1)] & (points < 1 << 16)
+    for p in np.unique(points[points >= 1 << 16]).tolist():
+        if unicodedata.category(chr(p))[0] == "L":
+            found |= points == p
+    upto = np.concatenate([[0], np.cumsum(found)])
+    return upto[offs[1:]] > upto[offs[:-1]]
+
+
 def spectra(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Presence vectors of all rows, scaled so that their products are kernels; whether each row has a letter."""
     points, starts = folded(column)
     rows = len(column)
     out = np.zeros((rows, sum(BUCKETS.values())), np.float32)
     row = np.repeat(np.arange(rows), np.diff(np.append(starts, len(points))))
-    letters = np.bincount(row[(points != 32) & (points != 0)], minlength=rows) > 0
     h, at = points.astype(np.uint64), 0
     for order, size in BUCKETS.items():
         if order > 1:
@@ -45,7 +62,7 @@ def spectra(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         norm = np.sqrt(np.maximum(block.sum(axis=1, keepdims=True), 1) * len(BUCKETS))
         block /= norm
         at += size
-    return out, letters
+    return out, has_letter(column)
 
 
 @dataclass

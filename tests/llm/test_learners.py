@@ -111,6 +111,11 @@ def test_language_of_odd_tables(spark, docs, empty, all_null, clashing):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_letters_of_any_script():
+    texts = ["a", "1!", "\U0001f600", "\U00010400", "\u0301", "日", None, ""]
+    assert language.has_letter(pa.array(texts)).tolist() == [True, False, False, True, False, True, False, False]
+
+
 def test_kernel_is_symmetric_and_normed():
     x, letters = language.spectra(pa.array(["the river", "der fluss", "the river", "123"]))
     k = x @ x.T
