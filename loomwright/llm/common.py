@@ -54,9 +54,9 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 8) -> None:
+def bound_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 1) -> None:
     """Lowers the session's Arrow batch limits where they are higher: a row of text may be long, and an executor holds
-    several batches per task on both sides of the pipe to Python."""
+    several batches per task on both sides of the pipe to Python, and keeps what it once allocated for them."""
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

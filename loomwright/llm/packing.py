@@ -143,9 +143,9 @@ def packed(
                     made += 1
                 steps, first = steps + groups, last
             keys, raws, total = [], [], 0
-            for a in range(0, len(cols[0]), 2000):
+            for a in range(0, len(cols[0]), 200):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[a : a + 2000], t) for c, t in zip(cols, ARROW.types, strict=True)], schema=ARROW
+                    [pa.array(c[a : a + 200], t) for c, t in zip(cols, ARROW.types, strict=True)], schema=ARROW
                 )
 
         for batch in slices(batches, "text", 1 << 21):
@@ -159,7 +159,7 @@ def packed(
         if raws:
             yield from flush()
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, megabytes=2)  # words repeat more in longer batches
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(sequences, SCHEMA)
 

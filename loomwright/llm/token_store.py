@@ -114,7 +114,7 @@ def write_store(
         if ids_of:
             yield flush()
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, megabytes=2)  # words repeat more in longer batches
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(pages, PAGES).write.option("compression", "none").parquet(path)
