@@ -148,7 +148,7 @@ def packed(
                     [pa.array(c[a : a + 200], t) for c, t in zip(cols, ARROW.types, strict=True)], schema=ARROW
                 )
 
-        for batch in slices(batches, "text", 1 << 21):
+        for batch in slices(batches, "text", 1 << 22):
             ids = enc.encode(batch.column(1).to_pylist())
             for key, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
                 keys.append(key)

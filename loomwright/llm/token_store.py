@@ -102,7 +102,7 @@ def write_store(
             page, start, held, ids_of, lens, n = page + 1, start + n, [], [], [], 0
             return out
 
-        for batch in slices(batches, "text", 1 << 21):
+        for batch in slices(batches, "text", 1 << 22):
             done = enc.encode(batch.column(1).to_pylist())
             for key, raw in zip(batch.column(0).to_pylist(), done, strict=True):
                 held += [raw, end]
