@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
     first = members.where("rep > head").groupBy(F.col("rep").alias("a")).agg(F.min("head").alias("b"))
     first, first_path = store(first, "pairs")
-    sets, sets_path = store(_sets(source, words, sieve_of_ids(first.select(F.explode(F.array("a", "b")).alias("id")))), "sets", codec="none")
+    sets, sets_path = store(_sets(source, words, sieve_of_ids(members.select(F.col("rep").alias("id")))), "sets", codec="none")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
