@@ -2,8 +2,11 @@
 
 A sentence ends after . ! or ? before white space, before a line feed, and before a word that begins with a capital
 letter, so a passage that was pasted into the middle of a sentence is a sentence of its own. A long sentence is parted
-further, or two texts that differ in one word of it would share nothing of it: from its ninth word on before one word in
-eight, chosen by the word's hash and so alike in every copy, and in any case every LONGEST words. A span is the shortest run
+further, or two texts that differ in one word of it would share nothing of it, and by its words alone, so alike in every
+copy: one of at least LONG words at each word whose hash is the smallest, the last of equals, of some WINDOW words in a
+row of the sentence, so at least once every WINDOW words; a shorter one from its ninth word on at one word in eight,
+chosen by the word's hash. Which kind a sentence is depends on fewer than LONG words around a place, and a cut on fewer
+than WINDOW, so any 50 words in a row that two texts share hold a whole span in both. A span is the shortest run
 of at least MIN_SENTENCES sentences and MIN_WORDS words from its first sentence on; one begins at every sentence from
 which such a run exists. Spans with equal words are copies. Of all copies in the corpus the one in the document with
 the smallest doc_id, at its smallest place, is first; the sentences of every other one are removed.
@@ -22,7 +25,26 @@ from pyspark.sql import functions as F
 from .common import Words, bound_batches, fresh, mix64, range_hash, read_table, slices, store
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
-PARTED_FROM, ONE_IN, LONGEST = 8, 8, 24
+PARTED_FROM, ONE_IN = 8, 8
+LONG, WINDOW = 14, 8
+
+
+def smallest_of_windows(hashes: np.ndarray, since: np.ndarray, window: int) -> np.ndarray:
+    """Whether each word is the smallest, the last of equals, of some window of words inside its sentence.
+
+    since is a word's place in its sentence; sentences lie one after another.
+    """
+    n = len(hashes)
+    reach, before, after = np.ones(n, np.int64), np.ones(n, bool), np.ones(n, bool)
+    for d in range(1, min(window, n)):
+        inside = since[d:] >= d  # word k and word k - d are in one sentence
+        before[:d] = False
+        before[d:] &= inside & (hashes[:-d] >= hashes[d:])
+        after[n - d :] = False
+        after[:-d] &= inside & (hashes[d:] > hashes[:-d])
+        reach += before
+        reach += after
+    return reach >= window
 
 
 class Sentences:
@@ -41,9 +63,12 @@ class Sentences:
             opens[:n] |= (lead >= 65) & (lead <= 90) | (lead == 0xC3) & (after >= 0x80) & (after <= 0x9E)
             feeds = np.concatenate([[0], np.cumsum(raw == 10)])
             opens[1:n] |= feeds[start[1:]] > feeds[end[:-1]]
-            at = np.arange(n)
-            since = at - np.maximum.accumulate(np.where(opens[:n], at, 0))
-            opens[:n] |= (since >= PARTED_FROM) & (w.hashes % np.uint64(ONE_IN) == 0) | (since > 0) & (since % LONGEST == 0)
+            natural = np.flatnonzero(opens[:n])
+            size = np.diff(np.append(natural, n))
+            since = np.arange(n) - np.repeat(natural, size)
+            long = np.repeat(size >= LONG, size)
+            opens[:n] |= ~long & (since >= PARTED_FROM) & (w.hashes % np.uint64(ONE_IN) == 0)
+            opens[np.flatnonzero(long)[smallest_of_windows(w.hashes[long], since[long], WINDOW)]] = True
         self.first = np.flatnonzero(opens[:n])  # first word of each sentence
         self.past = np.append(self.first[1:], n)
         self.offs = np.searchsorted(self.first, w.offs)  # rows' first sentences

@@ -166,6 +166,30 @@ def test_long_sentences_are_parted(spark):
     assert len(set(got[2]) & set(words[100:260])) < 70 and got[1] == words and len(got[4]) < 50
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_no_long_passage_stays_whole(spark, marked):
+    """Runs of 51 to 80 words pasted at any word of another text: no 50 words in a row of them are left."""
+    rng, rows, runs, width = random.Random(3), [], [], 50
+
+    def text(name, n):
+        out, left = [], 0
+        for k in range(n):
+            first, left = left == 0, left - 1 if left else rng.randrange(3, 40)
+            word = f"{name}{k}" if rng.random() < 0.5 else rng.choice("the of and river stone".split())
+            out.append((word.capitalize() if first else word + "." * (left == 0)) if marked else word)
+        return out
+
+    for i in range(400):
+        source, target, n = text(f"s{i}x", 150), text(f"t{i}x", 120), rng.randrange(51, 81)
+        a, b = rng.randrange(150 - n), rng.randrange(120)
+        runs.append(source[a : a + n])
+        rows += [(2 * i, " ".join(source)), (2 * i + 1, " ".join(target[:b] + runs[-1] + target[b:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in substring.substring_dedup(df).collect()}
+    whole = [i for i, r in enumerate(runs) if any(" ".join(r[k : k + width]) in got[2 * i + 1] for k in range(len(r) - width + 1))]
+    assert whole == []
+
+
 def test_substring_odd_tables(spark, docs, rows, empty, all_null, clashing):
     assert substring.substring_dedup(empty).count() == 0
     assert [r["text"] for r in substring.substring_dedup(all_null).collect()] == [None] * 3
