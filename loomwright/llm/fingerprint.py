@@ -5,14 +5,16 @@ is hashed, and a signature of COORDINATES minimum hashes, 16 bits of each, is th
 coordinates estimates the Jaccard similarity of two phrase sets.
 
 op6 compares each document with an edited copy of itself and with its successor in descending order of doc_id. The
-order is had without a global sort: ids are cut into ranges at approximate quantiles, every range gets a copy of the
-first document of the range that follows it, and each range is then sorted and streamed in one task. One shuffle.
+order is had without a global sort: ids are cut into ranges at approximate quantiles, one for each task, every range
+gets a copy of the first document of the range that follows it, and is then sorted and streamed in its task. Texts are
+shuffled once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -90,25 +92,40 @@ SCHEMA = (
 )
 
 
+def place_among(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most value, found in two steps of about the root of their number each."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    upto = lambda listed: F.size(F.filter(listed, lambda c: c <= value))
+    block = upto(F.array(*(F.lit(b[0]) for b in blocks)))
+    inside = upto(F.element_at(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), block))
+    return F.when(value < cuts[0], 0).otherwise((block - 1) * step + inside)
+
+
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """(id, text, range, extra): every document in its range of ids, and, as an extra, the first one of the range that
-    follows in descending order; the highest range follows the lowest. Null ids come last."""
-    low = F.lit(-(1 << 63))
-    order = F.coalesce("id", low)
-    cuts = docs.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], F.lit(max(10_000, 20 * ranges)))).collect()
-    cuts = sorted(set((cuts[0][0] or []) if cuts else []))
-    at: Column = F.lit(0)
-    if cuts:
-        at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= order))
-    placed = docs.withColumn("range", at)
-    tops = placed.groupBy("range").agg(F.max(order).alias("top")).orderBy("range").collect()  # a row a range
+    """(id, text, at, range, extra): every document of (id, text) in its range and, as an extra, the first one of the
+    range that follows in the order; after the last range comes the first. The order is that of falling ids, then, for
+    documents without one, that of falling hashes of their texts; at is the number it goes by. Ranges count upwards."""
     spark = docs.sparkSession
-    next_up = [(tops[i]["range"], tops[i]["top"], tops[(i + 1) % len(tops)]["range"]) for i in range(len(tops))]
+    n, with_id = docs.agg(F.count("*"), F.count("id")).first()
+    bare = min(ranges - 1, -(-ranges * (n - with_id) // n)) if n > with_id else 0  # ranges of documents without an id
+    points = [i / (ranges - bare) for i in range(1, ranges - bare)]
+    cuts = docs.agg(F.percentile_approx("id", points, F.lit(max(10_000, 20 * ranges)))).first()[0] if points else []
+    at, place = F.col("id"), place_among(F.col("id"), sorted(set(cuts or [])))
+    if n > with_id:
+        by_hash = F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * max(bare, 1)).cast("int")
+        at = F.coalesce(F.col("id"), F.xxhash64("text"))
+        place = F.when(F.col("id").isNull(), F.least(by_hash, F.lit(max(bare, 1) - 1))).otherwise(place + max(bare, 1))
+    placed = docs.withColumn("at", at).withColumn("range", place)
+    tops = placed.groupBy("range").agg(F.max("at").alias("top")).orderBy("range").collect()  # a row a range
+    next_up = [(r["range"], r["top"], tops[(i + 1) % len(tops)]["range"]) for i, r in enumerate(tops)]
     copies = spark.createDataFrame(next_up, "r int, top long, goes int")
-    found = placed.join(F.broadcast(copies), (F.col("range") == F.col("r")) & (order == F.col("top")), "left")
-    both = F.array(F.struct(F.col("range"), F.lit(0).alias("extra")), F.when(F.col("goes").isNotNull(), F.struct(F.col("goes").alias("range"), F.lit(1).alias("extra"))))
-    places = F.explode(F.filter(both, lambda x: x.isNotNull()))
-    return found.select("id", "text", places.alias("place")).select("id", "text", "place.range", "place.extra")
+    found = placed.join(F.broadcast(copies), (F.col("range") == F.col("r")) & (F.col("at") == F.col("top")), "left")
+    own = F.struct(F.col("range"), F.lit(0).alias("extra"))
+    places = F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("goes").alias("range"), F.lit(1).alias("extra"))))
+    return found.select("id", "text", "at", F.explode(places).alias("place")).select("id", "text", "at", "place.range", "place.extra")
 
 
 def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,14 +134,15 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     The edited text has the last third (rounded down) of its characters replaced by the first as many, or all, of the
     next document's, in descending order of doc_id; after the last document comes the first. Null texts are empty; an
     empty text's fingerprint is like that of empty texts only. Documents with equal ids follow one another in the order
-    of their texts; those without an id come last. A single document follows itself. Other columns are not read.
+    of their texts; those without an id come last, in the order of a hash of their texts. A single document follows
+    itself. Other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = in_ranges(source, min(4 * tasks, 4096))
-    ordered = placed.repartition(tasks, "range").sortWithinPartitions("range", "extra", F.desc_nulls_last("id"), "text")
+    # a range a task, but for one more where ids are missing
+    ordered = in_ranges(source, tasks).repartitionById(tasks, "range").sortWithinPartitions("range", "extra", F.desc("at"), "text")
 
     def compare(batches):
         held: list[list] = [[] for _ in ARROW]
