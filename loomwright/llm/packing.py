@@ -6,16 +6,19 @@ from shorter tiers: the longest piece that fits, or the head of the shortest pie
 the shorter tiers are used up is laid end to end and cut into longest windows, and the last part of a group into
 powers of two. So every sequence is full at a power of two and none needs padding.
 
-Within a tier, sequences are dealt to step groups of about step_tokens tokens whose sizes differ by one at most, so a
-training step sees sequences of one length and a like number of tokens.
+Sequences are dealt to step groups of about step_tokens tokens, the longest first and each to the group that holds the
+fewest tokens so far. So the steps of a packing group differ by less than one window, and in their lengths' mixture by
+about one sequence of each length.
 
-Packing runs inside each input partition, over groups of at most group_tokens tokens: no shuffle, bounded memory, and a
-lost task packs the same rows again in the same way.
+Packing runs inside each input partition, over packing groups of about group_tokens tokens: no shuffle, bounded memory,
+and a lost task packs the same rows again in the same way. The last packing group takes up to twice as many tokens, so
+that the number of its steps fits its size and they are as large as the others, within 1 / (2 * steps a packing group).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +97,17 @@ def _lay_out(pieces: list[Piece], longest: int) -> list[tuple[int, list[Piece]]]
     return done
 
 
+def deal(windows: list[int], step_tokens: int) -> list[int]:
+    """The step of each sequence of these lengths, given the longest first; at least one step, each about step_tokens."""
+    n = max(1, (2 * sum(windows) + step_tokens) // (2 * step_tokens))
+    fill, out = [(0, k) for k in range(n)], []
+    for window in windows:
+        tokens, k = fill[0]
+        heapreplace(fill, (tokens + window, k))
+        out.append(k)
+    return out
+
+
 def packed(
     docs: DataFrame,
     tokenizer: str,
@@ -103,13 +117,14 @@ def packed(
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = 1 << 18,
     group_tokens: int = 1 << 22,
-    max_memo: int = 600_000,
+    max_memo: int = 400_000,
 ) -> DataFrame:
     """One row per piece of a document in a sequence, see SCHEMA; ids are unsigned 32-bit little-endian integers.
 
     Null texts are empty documents: end_id alone. Null and repeated doc_ids, and repeated rows, are documents like
-    others. max_memo bounds the words that a worker remembers, and with them its memory. Very long texts fill as many windows as they need. Ties of length go by place in the partition. Other
-    columns are not read. An empty table gives no rows.
+    others. max_memo bounds the words that a worker remembers, and with them its memory. Very long texts fill as many
+    windows as they need. Ties of length go by place in the partition. Other columns are not read. An empty table gives
+    no rows.
     """
 
     def sequences(batches):
@@ -118,35 +133,36 @@ def packed(
         enc = encoder(tokenizer, max_memo)
         width, base = enc.dtype.itemsize, TaskContext.get().partitionId() << 40
         end, made, steps = np.array([end_id], enc.dtype).tobytes(), 0, 0
-        keys, raws, total = [], [], 0
+        keys: list = []
+        raws: list[bytes] = []
+        total, first, first_tokens = 0, 0, 0  # held; documents of the packing group that goes next, and their tokens
+
+        def batch_of(cols: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, ARROW.types, strict=True)], schema=ARROW)
 
-        def flush():
-            nonlocal made, steps, keys, raws, total
-            lengths = [len(r) // width for r in raws]
-            whole = [np.frombuffer(r, enc.dtype).astype("<u4").tobytes() for r in raws]
+        def flush(upto: int):
+            nonlocal made, steps, total
+            lengths = [len(r) // width for r in raws[:upto]]
             found = sorted(pack(lengths, tiers), key=lambda s: -s[0])
+            step_of = deal([w for w, _ in found], step_tokens)
             cols: list[list] = [[] for _ in range(9)]
-            first = 0
-            while first < len(found):
-                window, last = found[first][0], first
-                while last < len(found) and found[last][0] == window:
-                    last += 1
-                groups = -(-(last - first) * window // step_tokens)
-                for k in range(first, last):
-                    offset, step = 0, steps + (k - first) * groups // (last - first)
-                    for doc, at, n in found[k][1]:
-                        ids = whole[doc][4 * at : 4 * (at + n)]
-                        row = keys[doc], at, n, ids, lengths[doc], base + made, offset, window, base + step
-                        for c, v in zip(cols, row, strict=True):
-                            c.append(v)
-                        offset += n
-                    made += 1
-                steps, first = steps + groups, last
-            keys, raws, total = [], [], 0
-            for a in range(0, len(cols[0]), 200):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[a : a + 200], t) for c, t in zip(cols, ARROW.types, strict=True)], schema=ARROW
-                )
+            for (window, pieces), step in zip(found, step_of, strict=True):
+                offset = 0
+                for doc, at, n in pieces:
+                    ids = np.frombuffer(raws[doc], enc.dtype, n, at * width).astype("<u4").tobytes()
+                    row = keys[doc], at, n, ids, lengths[doc], base + made, offset, window, base + steps + step
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+                    offset += n
+                made += 1
+                if len(cols[0]) >= 200:
+                    yield batch_of(cols)
+                    cols = [[] for _ in range(9)]
+            if cols[0]:
+                yield batch_of(cols)
+            steps += max(step_of) + 1
+            total -= sum(lengths)
+            del keys[:upto], raws[:upto]
 
         for batch in slices(batches, "text", 1 << 22):
             ids = enc.encode(batch.column(1).to_pylist())
@@ -154,10 +170,17 @@ def packed(
                 keys.append(key)
                 raws.append(raw + end)
                 total += len(raws[-1]) // width
-                if total >= group_tokens:
-                    yield from flush()
+                first += first_tokens < group_tokens
+                first_tokens += len(raws[-1]) // width if first_tokens < group_tokens else 0
+                if total >= 2 * group_tokens and first < len(raws):
+                    yield from flush(first)
+                    first, first_tokens = 0, 0
+                    for r in raws:
+                        if first_tokens >= group_tokens:
+                            break
+                        first, first_tokens = first + 1, first_tokens + len(r) // width
         if raws:
-            yield from flush()
+            yield from flush(len(raws))
 
     bound_batches(docs.sparkSession, megabytes=2)  # words repeat more in longer batches
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -1,8 +1,14 @@
 """Token-id store with bit-plane shuffled blocks.
 
 File format. A store is a Parquet table of pages, written and read through Spark so that it works on any store Spark
-reaches. A page holds whole documents in order and is one row:
-
+reaches. A page holds whole documents in order and is one row, which says by itself how to read it:
+
+    version int        of this format, 2
+    width int          bytes of an id
+    block_ids int      ids in a block
+    bits boolean       bit planes rather than byte planes
+    end_id long        the id behind each document
+    tokenizer string   SHA-256 of the tokenizer's file, lower-case hex
     shard int          the ordered range of documents that it belongs to; shards follow one another
     page int           its number within the shard
     shard_start long   ids in the shard before it
@@ -26,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, new_path, read_table, slices
 from .tokenise import encoder, tokenizer_path
 
+VERSION = 2
 PAGES = (
-    "shard int, page int, shard_start long, n_docs int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, "
+    "version int, width int, block_ids int, bits boolean, end_id long, tokenizer string, shard int, page int, shard_start long, n_docs int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, "
     "chunk_index array<int>, planes binary"
 )
 
@@ -95,7 +102,8 @@ def write_store(
                     planes.append(press.compress(plane) if plane else b"")
                     at += len(planes[-1])
                     ends.append(at)
-            row = [shard, page, start, len(ids_of), n, ids_of, lens, ends, b"".join(planes)]
+            head = [VERSION, width, block_ids, bits, end_id, enc.digest]
+            row = [*head, shard, page, start, len(ids_of), n, ids_of, lens, ends, b"".join(planes)]
             out = pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, ARROW_PAGES.types, strict=True)], schema=ARROW_PAGES
             )
@@ -122,6 +130,12 @@ def write_store(
 
 ARROW_PAGES = pa.schema(
     [
+        ("version", pa.int32()),
+        ("width", pa.int32()),
+        ("block_ids", pa.int32()),
+        ("bits", pa.bool_()),
+        ("end_id", pa.int64()),
+        ("tokenizer", pa.string()),
         ("shard", pa.int32()),
         ("page", pa.int32()),
         ("shard_start", pa.int64()),
@@ -135,10 +149,11 @@ ARROW_PAGES = pa.schema(
 )
 
 
-def read_store(spark: SparkSession, path: str, width: int = 2, block_ids: int = 1 << 16, bits: bool = False) -> DataFrame:
+def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Reads a store back: doc_id long, start long (ids of all documents before it), n_tokens long, ids binary.
 
-    ids holds unsigned 32-bit little-endian integers. Only the shards' sizes, one row each, are put in order.
+    ids holds unsigned 32-bit little-endian integers. Every page is read as its header says; one of another version is an
+    error. Only the shards' sizes, one row each, are put in order.
     """
     table = spark.read.schema(PAGES).parquet(path)
     sizes = table.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -146,15 +161,16 @@ def read_store(spark: SparkSession, path: str, width: int = 2, block_ids: int =
     starts, total = {}, 0
     for row in listed or []:
         starts[row["shard"]], total = total, total + row["n"]
-    planes_a_block = 8 * width if bits else width
 
     def documents(batches):
         import zstandard
 
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            for shard, at, n, keys, lens, index, planes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, parts, last = memoryview(planes), [], 0
+            for version, width, block_ids, bits, shard, at, n, keys, lens, index, planes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if version != VERSION:
+                    raise ValueError(f"a page of format version {version}; this reads {VERSION}")
+                raw, parts, last, planes_a_block = memoryview(planes), [], 0, 8 * width if bits else width
                 for b in range(0, len(index), planes_a_block):
                     size, block = min(block_ids, n - b // planes_a_block * block_ids), []
                     plain = (size + 7) // 8 if bits else size
@@ -173,7 +189,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2, block_ids: int =
                 ]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids"])
 
-    pages = table.select("shard", "shard_start", "n_ids", "doc_ids", "lengths", "chunk_index", "planes")
+    pages = table.select("version", "width", "block_ids", "bits", "shard", "shard_start", "n_ids", "doc_ids", "lengths", "chunk_index", "planes")
     return pages.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
