@@ -8,6 +8,7 @@ row's own result needs it.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,8 +26,10 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root or os.path.join(tempfile.gettempdir(), "loomwright")
 
 
@@ -54,12 +57,15 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 1) -> None:
-    """Lowers the session's Arrow batch limits where they are higher: a row of text may be long, and an executor holds
-    several batches per task on both sides of the pipe to Python, and keeps what it once allocated for them."""
+def bound_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 1, read_rows: int = 256) -> None:
+    """Lowers three limits of the session where they are higher, for good: a row of text may be long, an executor holds
+    several batches per task on both sides of the pipe to Python, and it keeps what it once allocated for them. They are
+    the rows and bytes of an Arrow batch, and the rows that the Parquet reader decodes at once: with its 4096 rows of
+    text at a time, arrays of many MB made the collector grow an executor's heap by half."""
     conf = spark.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", read_rows)):
+        if int(conf.get(key)) > most:
+            conf.set(key, str(most))
     now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")
     scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
     if int(now.rstrip("kmg")) * scale > megabytes << 20:
@@ -152,13 +158,26 @@ def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _solo(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the characters, in UTF-8, of scripts that are written without spaces between words: U+0E00 to
+    0FFF, 1000 to 109F, 1780 to 17FF, 3000 to 9FFF, F900 to FAFF, FF00 to FFFF and 20000 to 3FFFF."""
+    at = np.flatnonzero(flat >= 0xE0)
+    lead, after = flat[at], flat[np.minimum(at + 1, max(len(flat) - 1, 0))]
+    wide = (lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xF0) & (after >= 0xA0) | (lead == 0xE0) & (after >= 0xB8)
+    wide |= (lead == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
+    wide |= (lead == 0xEF) & ((after >= 0xA4) & (after <= 0xAB) | (after >= 0xBC))
+    at, lead = at[wide], lead[wide]
+    return at, at + np.where(lead >= 0xF0, 4, 3)
+
+
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a text column, A-Z lower-cased, as 64-bit hashes.
 
-    hashes: one per word. start, end: byte ranges in flat. offs: rows' first words (rows + 1).
+    hashes: one per word. start, end: byte ranges in flat. offs: rows' first words (rows + 1). With apart, a character of
+    a script without spaces is a word by itself, and solo tells which words are.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, apart: bool = False):
         self.raw, self.byte_offs = string_bytes(column)
         flat = _LOWER[self.raw] if lower else self.raw
         gap = np.ones(len(flat) + 2, bool)
@@ -166,15 +185,52 @@ class Words:
         first, last = gap[:-1].copy(), gap[1:].copy()
         first[self.byte_offs] = True  # a row's edge ends a word
         last[self.byte_offs] = True
+        solo = np.zeros(len(flat) + 1, bool)
+        if apart and len(flat):
+            for edge in _solo(flat):
+                first[edge] = True
+                last[edge] = True
+            solo[_solo(flat)[0]] = True
         body = ~gap[1:-1]
         self.start = np.flatnonzero(body & first[:-1])
         self.end = np.flatnonzero(body & last[1:]) + 1
+        self.solo = solo[self.start]
         self.offs = np.searchsorted(self.start, self.byte_offs)
         a = range_hash(flat, self.start, self.end, 0x9E3779B97F4A7C15)
         b = range_hash(flat, self.start, self.end, 0xD6E8FEB86659FD93)
         self.hashes = mix64(a + (b << np.uint64(1)) + np.uint64(0x632BE59BD9B4E019))
 
 
+SIEVE_BITS = 1 << 26
+
+
+def spread(ids: np.ndarray) -> np.ndarray:
+    """An id's place in a sieve."""
+    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(SIEVE_BITS - 1)).astype(np.int64)
+
+
+def sieve_of_ids(ids: DataFrame) -> np.ndarray:
+    """A bit array of fixed size that passes all ids of a column of longs, and few others; of more than some 10^7 ids it
+    passes a good part of others too, which costs work and nothing else."""
+
+    def positions(batches):
+        for batch in batches:
+            at = np.unique(spread(batch.column(0).to_numpy()))
+            words, first = np.unique(at >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    words = ids.mapInArrow(positions, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(SIEVE_BITS >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def passes(sieve: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = spread(ids)
+    return (sieve[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds at most max_bytes of the text column, or one row."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, Words, bound_batches, fresh, list_column, mix64, read_table, remove, slices, store
+from .common import MIX_A, Words, bound_batches, fresh, list_column, mix64, passes, read_table, remove, sieve_of_ids, slices, store
 from .components import components, relabelled
 
 BANDS, ROWS, RING = 40, 6, 1 << 20
@@ -81,37 +81,13 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), wide.view(np.int64)[:, 0]
 
 
-SIEVE_BITS = 1 << 26
-
-
-def _spread(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(SIEVE_BITS - 1)).astype(np.int64)
-
-
-def sieve_of_ids(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size that passes all ids of a column `id`, and few others."""
-
-    def positions(batches):
-        for batch in batches:
-            at = np.unique(_spread(batch.column(0).to_numpy()))
-            words, first = np.unique(at >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-    words = ids.mapInArrow(positions, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(SIEVE_BITS >> 6, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out
-
-
 def _sets(docs: DataFrame, words: int, sieve: np.ndarray) -> DataFrame:
     """(id, set array<bigint>) of the documents (id, text) that a sieve passes."""
     sent = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def make(batches):
         for batch in slices(batches, "text", 1 << 19):
-            at = _spread(batch.column(0).fill_null(0).to_numpy())
-            wanted = (sent.value[at >> 6] >> (at & 63) & 1).astype(bool) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            wanted = passes(sent.value, batch.column(0).fill_null(0).to_numpy()) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             if wanted.any():
                 batch = batch.filter(pa.array(wanted))
                 h, offs = shingle_sets(batch.column(1), words)
@@ -222,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         return pairs.join(left, "a").join(right, "b").where(_linked(F.col("set_a"), F.col("set_b"), percent)).drop("set_a", "set_b")
 
     def described(rest: DataFrame) -> DataFrame:
-        """Of each class in unsettled buckets: size, sketch, band keys in short, and its differences from its pivot."""
+        """Of each class in unsettled buckets: size, sketch, band keys, and its differences from its pivot."""
         reps = rest.select(F.col("rep").alias("a")).distinct()
         mine = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         pivot = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
@@ -233,7 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
             F.size("miss").alias("miss_n"), F.size("more").alias("more_n"),
             _bitmap(F.col("miss")).alias("miss_bits"), _bitmap(F.col("more")).alias("more_bits"),
         )
-        kinds = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_set"), "sketch", F.transform("bands", lambda x: F.hash(x)).alias("marks"))
+        kinds = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_set"), "sketch", F.col("bands").alias("marks"))
         return reps.join(kinds, "a").join(compared, "a", "left").withColumnRenamed("a", "rep")
 
     label = components(store(verified(first), "links")[0])

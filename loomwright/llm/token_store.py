@@ -72,7 +72,7 @@ def write_store(
     doc_id: str = "doc_id",
     text: str = "text",
     block_ids: int = 1 << 16,
-    page_ids: int = 1 << 20,
+    page_ids: int = 1 << 18,
     bits: bool = False,
     level: int = 3,
 ) -> None:
