@@ -91,7 +91,7 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 128, ridge: flo
     if not names:
         return None
     blocks, seen, marked = [], dict.fromkeys(names, 0), []
-    each = max(8, landmarks // len(names))
+    each = max(1, landmarks // len(names))
     for i, lang in enumerate(languages):
         seen[lang] += 1
         if seen[lang] <= each:
@@ -113,11 +113,14 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 128, ridge: flo
     return Model(names, marks, root @ solved, offset - mean @ solved)
 
 
-def training_sample(docs: DataFrame, folds: int, held_out: int, max_texts: int, max_chars: int) -> tuple[list[str], list[str]]:
-    """Texts and languages in hash order, as many of each language as there are or as fit; texts over max_chars // 100
-    characters are left out of the sample. Null ids, texts and languages are no examples."""
+def training_sample(
+    docs: DataFrame, folds: int, held_out: int, max_texts: int, max_chars: int, max_text: int, max_languages: int
+) -> tuple[list[str], list[str]]:
+    """Texts and languages in hash order, as many of each language as there are or as fit: at most max_texts texts, of at
+    most max_text characters each and max_chars all together, of the max_languages languages with the most documents.
+    Null ids, texts and languages are no examples."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (id_crc(F.col("doc_id")) % folds != held_out))
-    counts = usable.groupBy("lang").count().collect()  # a row a language
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not counts:
         return [], []
     each = max(1, max_texts // len(counts))
@@ -129,7 +132,7 @@ def training_sample(docs: DataFrame, folds: int, held_out: int, max_texts: int,
         usable.where(F.col("text").isNotNull())
         .join(F.broadcast(table), F.col("lang") == F.col("__lang"))
         .where(order < F.col("__limit"))
-        .where(F.length("text") <= max_chars // 100)
+        .where(F.length("text") <= max_text)
         .select(order.alias("o"), "lang", "text")
         .collect()
     )
@@ -144,14 +147,22 @@ def training_sample(docs: DataFrame, folds: int, held_out: int, max_texts: int,
 
 
 def languages(
-    docs: DataFrame, folds: int = 4, held_out: int = 2, max_texts: int = 3000, max_chars: int = 12_000_000
+    docs: DataFrame,
+    folds: int = 4,
+    held_out: int = 2,
+    max_texts: int = 3000,
+    max_chars: int = 12_000_000,
+    max_text: int = 120_000,
+    max_languages: int = 200,
 ) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs (doc_id, text, lang).
+    """doc_id, lang_pred, score for every row of docs (doc_id, text, lang; other columns are not read).
 
-    Null texts and texts without a letter are `und` with score 0; so is every text when nothing can be learnt.
+    Null texts and texts without a letter are `und` with score 0; so is every text when nothing can be learnt. The
+    bounds are those of the labelled sample; every text is predicted whole.
     """
     bound_batches(docs.sparkSession)
-    model = fit(*training_sample(docs, folds, held_out, max_texts, max_chars))
+    docs = docs.select("doc_id", "text", "lang")
+    model = fit(*training_sample(docs, folds, held_out, max_texts, max_chars, max_text, max_languages))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterable[pa.RecordBatch]):
@@ -167,7 +178,7 @@ def languages(
                 )
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select("doc_id", "text").mapInArrow(predict, schema)
+    return docs.drop("lang").mapInArrow(predict, schema)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def _bits(digests: list[bytes], size: int) -> np.ndarray:
 
 
 def sieve_of(digests: DataFrame, max_sieve_bits: int) -> np.ndarray:
-    """A bit array that passes every digest of a table; never larger than max_sieve_bits."""
+    """A bit array, in words of 64, that passes every digest of a table; never larger than max_sieve_bits."""
     n = digests.count()
     size = min(max_sieve_bits, 1 << max(16, (24 * n).bit_length()))
 
@@ -105,18 +105,21 @@ def sieve_of(digests: DataFrame, max_sieve_bits: int) -> np.ndarray:
     found = digests.mapInArrow(positions, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(size >> 6, np.int64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out
 
 
 MEDIA = "id long, n_bytes long, media binary, lengths array<int>, digests binary, shared array<int>, data binary"
 
 
-def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chunk: int = 512, max_chunk: int = 1 << 14, max_sieve_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chunk: int = 512, max_chunk: int = 1 << 14, max_sieve_bits: int = 1 << 29) -> tuple[DataFrame, DataFrame]:
     """(media, chunks): the payload rows, see MEDIA, and the shared chunks (digest, data), both read from files.
 
     A payload is a text's UTF-8 (null: none) and zeros up to a positive multiple of 64 bytes. Null and repeated doc_ids
-    and repeated rows keep a row each. Other columns are not read. An empty table gives empty stores.
+    and repeated rows keep a row each. Other columns are not read. An empty table gives empty stores. min_chunk is 32 at
+    least: a cut depends on the 32 bytes before it, which must be the row's own.
     """
+    if not 32 <= min_chunk <= max_chunk:
+        raise ValueError("min_chunk must be from 32 to max_chunk")
     bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
@@ -140,7 +143,8 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             ):
                 chunks = parts(payload, ends)
                 names = [digest_of(c) for c in chunks]
-                known = sieve.value[_bits(names, len(sieve.value))].all(axis=1)
+                at = _bits(names, len(sieve.value) << 6)
+                known = (sieve.value[at >> 6] >> (at & 63) & 1).all(axis=1)
                 shared = np.flatnonzero(known).tolist()
                 private = [press.compress(b"".join(c for c, k in zip(chunks, known, strict=True) if not k))] if len(shared) < len(chunks) else [b""]
                 lengths = [len(c) for c in chunks]

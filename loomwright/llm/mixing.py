@@ -151,16 +151,17 @@ def mixed(
     plan, per_source = mix_plan(sizes, budget_tokens, target_entropy, max_repeat, block_tokens, max_sources, seed)
     sized = per_source.select(F.col("psrc").alias(src), F.col("blocks").alias(blocks))
     dealt = measured.join(F.broadcast(sized), F.col(source).eqNullSafe(F.col(src))).drop(src)  # a row a source, bounded above
-    plan = plan.select(*(F.col(c).alias(f"__plan_{c}") for c in plan.columns))
-    here = F.col(source).eqNullSafe(F.col("__plan_psrc")) & (F.pmod(F.col(mark), F.col(blocks)) == F.col("__plan_block"))
-    out = dealt.join(plan, here).where(F.col("__plan_cut").isNull() | (F.col(mark) <= F.col("__plan_cut")))
+    laid = {c: fresh(kept, f"plan_{c}") for c in plan.columns}
+    plan = plan.select(*(F.col(c).alias(n) for c, n in laid.items()))
+    here = F.col(source).eqNullSafe(F.col(laid["psrc"])) & (F.pmod(F.col(mark), F.col(blocks)) == F.col(laid["block"]))
+    out = dealt.join(plan, here).where(F.col(laid["cut"]).isNull() | (F.col(mark) <= F.col(laid["cut"])))
     return out.select(
         *columns,
-        F.col("__plan_epoch").alias(f"{prefix}epoch"),
-        F.col("__plan_block").alias(f"{prefix}block"),
-        F.col("__plan_weight").alias(f"{prefix}weight"),
+        F.col(laid["epoch"]).alias(f"{prefix}epoch"),
+        F.col(laid["block"]).alias(f"{prefix}block"),
+        F.col(laid["weight"]).alias(f"{prefix}weight"),
         F.col(counted).alias(f"{prefix}tokens"),
-        F.col("__plan_at").alias(f"{prefix}at"),
+        F.col(laid["at"]).alias(f"{prefix}at"),
     )
 
 

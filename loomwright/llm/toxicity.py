@@ -109,12 +109,14 @@ def _documents_of(texts: list[str], batch: int = 64) -> Iterable[tuple[int, tupl
 
 
 def fit(texts: list[str], toxic: np.ndarray, max_features: int = 1 << 16, min_z: float = 4.0, smooth: float = 1.0, l2: float = 1e-4) -> Model:
-    """Fits on texts and their labels (1: toxic). Without texts of both kinds every score is the share of toxic ones."""
+    """Fits on texts and their labels (1: toxic). Without texts of both kinds, or without an n-gram that several toxic
+    texts have, there is nothing to learn: the model has no keys, and every score is the smoothed share of toxic texts."""
     toxic = np.asarray(toxic, float)
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    share = (n1 + smooth) / (n1 + n0 + 2 * smooth)
+    unlearnt = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
     if not n1 or not n0:
-        share = (n1 + smooth) / (n1 + n0 + 2 * smooth)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
+        return unlearnt
 
     # candidates come from the toxic texts, one order at a time; a sieve then finds them in the clean ones
     kept = []
@@ -131,7 +133,7 @@ def fit(texts: list[str], toxic: np.ndarray, max_features: int = 1 << 16, min_z:
     order = np.argsort(keys)
     keys, count1 = keys[order], count1[order]
     if not len(keys):
-        return fit([], np.zeros(0))
+        return unlearnt
     sieve, count0 = sieve_of(keys), np.zeros(len(keys))
     for at, (points, starts) in _documents_of(texts):
         r, c = presence(points, starts, keys, sieve)
@@ -156,11 +158,20 @@ def fit(texts: list[str], toxic: np.ndarray, max_features: int = 1 << 16, min_z:
 
 
 def training_sample(
-    docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_toxic: int, max_clean: int, max_chars: int
+    docs: DataFrame,
+    labels: DataFrame,
+    folds: int = 5,
+    held_out: int = 0,
+    max_toxic: int = 1500,
+    max_clean: int = 3000,
+    max_chars: int = 12_000_000,
+    max_text: int = 120_000,
 ) -> tuple[list[str], np.ndarray]:
     """Texts and labels of a bounded sample in hash order, without the fold held out.
 
-    Labels of one doc_id that differ count as toxic. Null labels, null ids and null texts are left out.
+    At most max_toxic and max_clean texts, of at most max_text characters each and max_chars all together; labelled
+    texts that are longer are no examples. Labels of one doc_id that differ count as toxic. Null labels, null ids and
+    null texts are left out.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -176,7 +187,7 @@ def training_sample(
     rows = (
         texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
         .withColumn("__long", F.length("__text"))
-        .where(F.col("__long") <= max_chars // 100)
+        .where(F.col("__long") <= max_text)
         .select("__order", "__toxic", "__text")
         .collect()
     )
@@ -211,18 +222,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     return kept.mapInArrow(score_all, schema)
 
 
-def toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    folds: int = 5,
-    held_out: int = 0,
-    max_toxic: int = 1500,
-    max_clean: int = 3000,
-    max_chars: int = 12_000_000,
-    score: str = "score",
-) -> DataFrame:
-    """docs with a toxicity score; learnt from labelled rows outside the fold crc32(doc_id) mod folds = held_out."""
-    return scored(docs, fit(*training_sample(docs, labels, folds, held_out, max_toxic, max_clean, max_chars)), score=score)
+def toxicity(docs: DataFrame, labels: DataFrame, score: str = "score", **sample: int) -> DataFrame:
+    """docs with a toxicity score; learnt from labelled rows outside the fold crc32(doc_id) mod folds = held_out.
+
+    sample: the bounds and the fold, see training_sample().
+    """
+    return scored(docs, fit(*training_sample(docs, labels, **sample)), score=score)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +238,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't predicted toxic, all columns as they were."""
+    """The documents that aren't predicted toxic, all columns as they were. A model that has learnt nothing, for want of
+    labels of both kinds or of n-grams that toxic texts share, rejects nothing."""
+    model = fit(*training_sample(docs, read_table(spark, sf_dir, "labels")))
+    if not len(model.keys):
+        return docs
     score = fresh(docs, "toxicity")
-    done = toxicity(docs, read_table(spark, sf_dir, "labels"), score=score)
-    return done.where(F.col(score) < 0.5).drop(score)
+    return scored(docs, model, score=score).where(F.col(score) < 0.5).drop(score)
