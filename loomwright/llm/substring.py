@@ -1,15 +1,21 @@
 """Substring dedup on sliding spans of sentences.
 
-A sentence ends after . ! or ? before white space, before a line feed, and before a word that begins with a capital
-letter, so a passage that was pasted into the middle of a sentence is a sentence of its own. A long sentence is parted
-further, or two texts that differ in one word of it would share nothing of it, and by its words alone, so alike in every
-copy: one of at least LONG words at each word whose hash is the smallest, the last of equals, of some WINDOW words in a
-row of the sentence, so at least once every WINDOW words; a shorter one from its ninth word on at one word in eight,
-chosen by the word's hash. Which kind a sentence is depends on fewer than LONG words around a place, and a cut on fewer
-than WINDOW, so any 50 words in a row that two texts share hold a whole span in both. A span is the shortest run
-of at least MIN_SENTENCES sentences and MIN_WORDS words from its first sentence on; one begins at every sentence from
-which such a run exists. Spans with equal words are copies. Of all copies in the corpus the one in the document with
-the smallest doc_id, at its smallest place, is first; the sentences of every other one are removed.
+A sentence ends after a mark (STOPS) and before a line feed. Sentences are parted further, or two texts that differ in
+one word of a long one would share nothing of it, and by their words alone, so alike in every copy: at each word whose
+hash is the smallest, the last of equals, of some `window` words in a row of the sentence, so at least once every
+`window` words. A character of a script without spaces is a word here, and counts half.
+
+A span is the shortest run of at least MIN_SENTENCES sentences and min_words words from its first sentence on; one
+begins at every sentence from which such a run exists. Spans with equal words are copies. Of all copies in the corpus
+the one in the document with the smallest doc_id, at its smallest place, is first; the sentences of every other one are
+removed.
+
+It is done at two grains. Cuts that depend on `window` words are the same in two texts but for window - 1 words at the
+ends of what they share, so a shared run of n words holds a whole span of both if n >= min_words + 4 * window - 3. At the
+coarse grain, spans are a few words and only tell which documents share any with others or repeat one themselves; a
+third of all sentences is hashed so. The documents left go through the fine grain, where a shared run of 50 words always
+holds a span, one of fewer than 40 never does, and at most 5 words of a shared run are left at either end. Every fine
+copy holds a coarse one, so nothing is lost.
 
 Spans are hashed over word hashes with prefix sums, so a document costs a pass over its bytes. Copies are found by a
 partial aggregation on the hash and a join with the hashes that occur more than once.
@@ -22,11 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, fresh, mix64, range_hash, read_table, slices, store
+from .common import Words, bound_batches, fresh, mix64, passes, range_hash, read_table, remove, sieve_of_ids, slices, store
 
-MIN_SENTENCES, MIN_WORDS = 2, 20
-PARTED_FROM, ONE_IN = 8, 8
-LONG, WINDOW = 14, 8
+MIN_SENTENCES, MIN_WORDS = 2, 40
+WINDOW, COARSE_WINDOW = 3, 8
+#: Marks that end a sentence: . ! ? and the full stops, exclamation and question marks of other scripts.
+STOPS = ".!?。！？｡।؟۔።။។"
+
+
+def _ends_with_stop(raw: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each word that ends before a byte ends in one of STOPS."""
+    found = np.isin(raw[end - 1], np.frombuffer(STOPS[:3].encode(), np.uint8))
+    wide = np.flatnonzero(raw[end - 1] >= 0x80)
+    if len(wide):
+        at = end[wide]
+        code = sum(raw[np.maximum(at - k, 0)].astype(np.int64) << 8 * (k - 1) for k in (1, 2, 3))
+        for mark in STOPS[3:]:
+            size = len(mark.encode())
+            found[wide] |= (code & (1 << 8 * size) - 1 == int.from_bytes(mark.encode(), "big")) & (at >= size)
+    return found
 
 
 def smallest_of_windows(hashes: np.ndarray, since: np.ndarray, window: int) -> np.ndarray:
@@ -48,27 +68,23 @@ def smallest_of_windows(hashes: np.ndarray, since: np.ndarray, window: int) -> n
 
 
 class Sentences:
-    """The sentences of a text column: their byte ranges, words and rows; and the spans that begin at them."""
+    """The sentences of a text column: their byte ranges, words and rows; and the spans that begin at them.
+
+    again: whether the span's words stand earlier in the same row.
+    """
 
-    def __init__(self, column: pa.Array, min_sentences: int, min_words: int):
-        w = self.words = Words(column)
+    def __init__(self, column: pa.Array, window: int, min_sentences: int, min_words: int):
+        w = self.words = Words(column, apart=True)
         raw, start, end, n = w.raw, w.start, w.end, len(w.start)
         opens = np.zeros(n + 1, bool)
         opens[w.offs] = True
         if n:
-            stops = np.isin(raw[end - 1], np.frombuffer(b".!?", np.uint8))
-            opens[1:n] |= stops[:-1]
-            lead, after = raw[start], raw[np.minimum(start + 1, len(raw) - 1)]
-            # A-Z, and the capitals of Latin-1 (C3 80 to C3 9E) in UTF-8
-            opens[:n] |= (lead >= 65) & (lead <= 90) | (lead == 0xC3) & (after >= 0x80) & (after <= 0x9E)
+            opens[1:n] |= _ends_with_stop(raw, end)[:-1]
             feeds = np.concatenate([[0], np.cumsum(raw == 10)])
             opens[1:n] |= feeds[start[1:]] > feeds[end[:-1]]
             natural = np.flatnonzero(opens[:n])
-            size = np.diff(np.append(natural, n))
-            since = np.arange(n) - np.repeat(natural, size)
-            long = np.repeat(size >= LONG, size)
-            opens[:n] |= ~long & (since >= PARTED_FROM) & (w.hashes % np.uint64(ONE_IN) == 0)
-            opens[np.flatnonzero(long)[smallest_of_windows(w.hashes[long], since[long], WINDOW)]] = True
+            since = np.arange(n) - np.repeat(natural, np.diff(np.append(natural, n)))
+            opens[:n] |= smallest_of_windows(w.hashes, since, window)
         self.first = np.flatnonzero(opens[:n])  # first word of each sentence
         self.past = np.append(self.first[1:], n)
         self.offs = np.searchsorted(self.first, w.offs)  # rows' first sentences
@@ -76,7 +92,8 @@ class Sentences:
         row = np.repeat(np.arange(len(w.offs) - 1), np.diff(self.offs))
         limit = self.offs[1:][row]
         # the sentence after the span that begins at each sentence
-        enough = np.searchsorted(self.past, self.first + min_words, side="left") + 1
+        upto = np.concatenate([[0], np.cumsum(2 - w.solo)])  # in half words
+        enough = np.searchsorted(upto[self.past], upto[self.first] + 2 * min_words, side="left") + 1
         stop = np.maximum(enough, np.arange(m) + min_sentences)
         self.at = np.flatnonzero(stop <= limit)
         self.stop = stop[self.at]
@@ -85,35 +102,64 @@ class Sentences:
         a = range_hash(w.hashes, begin, finish, 0x9E3779B97F4A7C15)
         b = range_hash(w.hashes, begin, finish, 0xD6E8FEB86659FD93)
         self.hashes = mix64(a + (b << np.uint64(1))).view(np.int64)
+        order = np.lexsort((self.at, self.hashes, self.row))
+        h, r = self.hashes[order], self.row[order]
+        self.again = np.zeros(len(order), bool)
+        self.again[order[1:]] = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
+
+
+def shared_ids(docs: DataFrame, place: list[str], min_sentences: int, min_words: int) -> DataFrame:
+    """The ids of documents (id, key, text) that share a coarse span with others, or repeat one themselves."""
+    fewer = min_words - 4 * COARSE_WINDOW + 3
+
+    def spans(batches):
+        for batch in slices(batches, "text", 1 << 19):
+            s = Sentences(batch.column(2), COARSE_WINDOW, min_sentences, fewer)
+            mine = np.flatnonzero(~s.again)
+            repeats = np.unique(s.row[s.again])  # one row without a hash
+            rows = pa.array(np.concatenate([s.row[mine], repeats]))
+            hashes = pa.array(np.concatenate([s.hashes[mine], np.zeros(len(repeats), np.int64)]), mask=np.arange(len(rows)) >= len(mine))
+            yield pa.RecordBatch.from_arrays([hashes, batch.column(0).take(rows), batch.column(1).take(rows)], names=["hash", "id", "key"])
+
+    found, path = store(docs.mapInArrow(spans, "hash long, id long, key long").select("hash", *place), "coarse-spans")
+    many, many_path = store(repeated(found.where("hash is not null"), place).select("hash"), "coarse-repeated")
+    ids = found.join(many, "hash").select("id").unionByName(found.where("hash is null").select("id")).distinct()
+    ids, _ = store(ids, "sharing")
+    remove(docs.sparkSession, path, many_path)
+    return ids
+
+
+def repeated(spans: DataFrame, place: list[str]) -> DataFrame:
+    """(hash, first) of hashes that occur at several places; plain longs, where a place is one, aggregate by hash table."""
+    where = F.col(place[0]) if len(place) == 1 else F.struct(*place)
+    return spans.groupBy("hash").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("hash", "first")
 
 
-def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """Of (id, key, text): the spans to remove, as (id, key, gone array<struct<at, n>>), one row a document."""
+def repeated_spans(docs: DataFrame, sieve, place: list[str], min_sentences: int, min_words: int) -> DataFrame:
+    """Of (id, key, text): the spans to remove, as (id, key, gone array<struct<at, n>>), one row a document that the
+    sieve passes and that has any. Without repeated ids, key is left out."""
 
     def spans(batches):
         for batch in slices(batches, "text", 1 << 19):
-            s = Sentences(batch.column(2), min_sentences, min_words)
-            rows = pa.array(s.row)
+            batch = batch.filter(pa.array(passes(sieve.value, batch.column(0).to_numpy())))
+            if not batch.num_rows:
+                continue
+            s = Sentences(batch.column(2), WINDOW, min_sentences, min_words)
+            mine = np.flatnonzero(~s.again)
+            rows = pa.array(s.row[mine])
+            at, n = (s.at - s.offs[s.row])[mine], (s.stop - s.at)[mine]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(s.hashes),
-                    batch.column(0).take(rows),
-                    batch.column(1).take(rows),
-                    pa.array((s.at - s.offs[s.row]).astype(np.int32)),
-                    pa.array((s.stop - s.at).astype(np.int32)),
-                ],
+                [pa.array(s.hashes[mine]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
                 names=["hash", "id", "key", "at", "n"],
             )
 
-    found = docs.mapInArrow(spans, "hash long, id long, key long, at int, n int")
-    place = F.struct("id", "key", "at")
+    found, _ = store(docs.mapInArrow(spans, "hash long, id long, key long, at int, n int").select("hash", *place, "at", "n"), "spans")
     # written first: a join with a table can split a hot hash, a join with an aggregate can't
-    many = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    many, _ = store(many.select(F.col("hash").alias("__hash"), "first"), "repeated-spans")
-    later = found.join(many, F.col("hash") == F.col("__hash"))
-    later = later.where(~F.struct("id", "key", "at").eqNullSafe(F.col("first")))
+    many, _ = store(repeated(found, place).withColumnRenamed("first", "first_place"), "repeated-spans")
+    where = F.col(place[0]) if len(place) == 1 else F.struct(*place)
+    later = found.join(many, "hash").where(where != F.col("first_place"))
     # by document: at most one row a sentence, whatever the number of copies
-    return later.groupBy("id", "key").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+    return later.groupBy(*place).agg(F.collect_set(F.struct("at", "n")).alias("gone"))
 
 
 def substring_dedup(
@@ -130,43 +176,58 @@ def substring_dedup(
     null, with 0 removed; empty texts, and texts without a whole span, stay as they are. A null doc_id comes before
     all others. Rows with the same doc_id and the same text are one document, whose first copy stays in each; rows with
     the same doc_id and other texts follow one another in the order of a hash of the text. A column with the name of
-    the count is replaced. An empty table gives an empty table.
+    the count is replaced. An empty table gives an empty table. min_words is 31 at least, so that a coarse span has two
+    words or more.
     """
-    bound_batches(docs.sparkSession)
+    if min_words < 4 * COARSE_WINDOW - 1:
+        raise ValueError(f"min_words must be at least {4 * COARSE_WINDOW - 1}")
+    spark = docs.sparkSession
+    bound_batches(spark)
     kept = docs.drop(removed)
     no_id = F.lit(-(1 << 63))
-    source = kept.select(F.coalesce(F.col(doc_id).cast("long"), no_id).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    marks_of = fresh(kept, "gone")
-    gone = repeated_spans(source, min_sentences, min_words).select("id", "key", F.col("gone").alias(marks_of))
-    here = (F.coalesce(kept[doc_id].cast("long"), no_id) == gone["id"]) & (F.xxhash64(kept[text]) == gone["key"])
-    joined = kept.join(gone, here, "left").select(*(kept[c] for c in kept.columns), marks_of)
+    at_id, at_key = F.coalesce(F.col(doc_id).cast("long"), no_id), F.xxhash64(text)
+    source = kept.select(at_id.alias("id"), at_key.alias("key"), F.col(text).alias("text"))
+    several = source.groupBy("id").count().where("count > 1").limit(1).count() > 0
+    place = ["id", "key"] if several else ["id"]
+    sieve = spark.sparkContext.broadcast(sieve_of_ids(shared_ids(source, place, min_sentences, min_words)))
+    gone = repeated_spans(source, sieve, place, min_sentences, min_words)
+    marks_of, held = fresh(kept, "gone"), {c: fresh(kept, f"at_{c}") for c in place}
+    gone = gone.select(*(F.col(c).alias(n) for c, n in held.items()), F.col("gone").alias(marks_of))
+    placed, mine = kept.withColumn(fresh(kept, "id"), at_id), fresh(kept, "id")
+    here = F.col(mine) == F.col(held["id"])
+    if several:
+        here &= F.xxhash64(F.col(text)) == F.col(held["key"])
+    joined = placed.join(gone, here, "left").select(*(F.col(f"`{c}`") for c in kept.columns), mine, marks_of)
 
     def cut(batches):
         for batch in slices(batches, text, 1 << 19):
             where = batch.schema.get_field_index(text)
             column = batch.column(where)
             marks = batch.column(batch.schema.get_field_index(marks_of)).to_pylist()
+            wanted = np.flatnonzero(passes(sieve.value, batch.column(batch.schema.get_field_index(mine)).to_numpy()))
             counts = np.zeros(batch.num_rows, np.int32)
-            if any(marks):
-                s, out = Sentences(column, min_sentences, min_words), column.to_pylist()
-                w = s.words
-                for i, spans in enumerate(marks):
-                    if not spans:
+            if len(wanted):
+                s, out = Sentences(column.take(pa.array(wanted)), WINDOW, min_sentences, min_words), column.to_pylist()
+                w, repeats = s.words, np.flatnonzero(s.again)
+                inner = np.searchsorted(s.row[repeats], np.arange(len(wanted) + 1))  # spans lie in the order of rows
+                for k, i in enumerate(wanted.tolist()):
+                    mine_again = repeats[inner[k] : inner[k + 1]]
+                    if not marks[i] and not len(mine_again):
                         continue
-                    a, b = s.offs[i], s.offs[i + 1]
+                    a, b = s.offs[k], s.offs[k + 1]
                     edge = np.zeros(b - a + 1, np.int64)
-                    np.add.at(edge, [g["at"] for g in spans], 1)
-                    np.add.at(edge, [g["at"] + g["n"] for g in spans], -1)
+                    np.add.at(edge, [g["at"] for g in marks[i] or ()] + (s.at[mine_again] - a).tolist(), 1)
+                    np.add.at(edge, [g["at"] + g["n"] for g in marks[i] or ()] + (s.stop[mine_again] - a).tolist(), -1)
                     drop = np.cumsum(edge[:-1]) > 0
                     # a sentence reaches from its first word to the next sentence's
-                    begins = np.append(w.start[s.first[a:b]], w.byte_offs[i + 1])
-                    pieces = [w.raw[w.byte_offs[i] : begins[0]]] if not drop[0] else []
+                    begins = np.append(w.start[s.first[a:b]], w.byte_offs[k + 1])
+                    pieces = [w.raw[w.byte_offs[k] : begins[0]]] if not drop[0] else []
                     pieces += [w.raw[x:y] for x, y, d in zip(begins[:-1], begins[1:], drop, strict=True) if not d]
                     out[i] = b"".join(p.tobytes() for p in pieces).decode("utf-8", "replace")
                     counts[i] = drop.sum()
                 column = pa.array(out, column.type)
-            columns = [column if k == where else c for k, c in enumerate(batch.columns) if batch.schema.names[k] != marks_of]
-            fields = [n for n in batch.schema.names if n != marks_of]
+            columns = [column if k == where else c for k, c in enumerate(batch.columns) if batch.schema.names[k] not in (marks_of, mine)]
+            fields = [n for n in batch.schema.names if n not in (marks_of, mine)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[*fields, removed])
 
     declared = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]

@@ -102,37 +102,37 @@ def test_stage_keeps_one_of_each_group(spark, clashing, clean):
     assert {i for i in ids if i is not None} == want and len([i for i in ids if i is not None]) == len(want)
 
 
-def units(text):
-    """Words, and the first word of each sentence or part of one."""
-    at = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    hashes = Words(pa.array([text])).hashes.tolist()
-    first, since = [], 0
-    for k, (s, _) in enumerate(at):
-        lead = text[s]
-        if k == 0 or text[at[k - 1][1] - 1] in ".!?" or "\n" in text[at[k - 1][1] : s] or "A" <= lead <= "Z" or "\xc0" <= lead <= "\xde":
-            since = 0
-            first.append(k)
-        else:
-            since += 1
-            if since >= 8 and hashes[k] % 8 == 0 or since % 24 == 0:
-                first.append(k)
-    return at, first
-
-
-def brute(rows, least=2, words=20):
+SPACELESS = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3000-\u9fff\uf900-\ufaff\uff00-\uffff\U00020000-\U0003ffff]")
+
+
+def units(text, window=3):
+    """Words, the first word of each sentence or part of one, and the words' weights in half words."""
+    at = [m.span() for m in re.finditer(f"{SPACELESS.pattern}|(?:(?!{SPACELESS.pattern})[^\x20\x09-\x0d])+", text)]
+    hashes = Words(pa.array([text]), apart=True).hashes.tolist()
+    assert len(hashes) == len(at)
+    natural = [k for k, (s, _) in enumerate(at) if k == 0 or text[at[k - 1][1] - 1] in substring.STOPS or "\n" in text[at[k - 1][1] : s]]
+    first = set(natural)
+    for a, b in zip(natural, [*natural, len(at)][1:], strict=False):
+        for k in range(a, b - window + 1):
+            low = min(hashes[k : k + window])
+            first.add(max(i for i in range(k, k + window) if hashes[i] == low))
+    return at, sorted(first), [1 if SPACELESS.fullmatch(text[s:e]) else 2 for s, e in at]
+
+
+def brute(rows, least=2, words=40):
     seen, out = set(), {}
     for key, text, *_ in sorted(rows):
         if text is None:
             out[key] = (None, 0)
             continue
-        at, first = units(text)
+        at, first, weight = units(text)
         ends, gone = first[1:] + [len(at)], set()
-        low = words_of(text)
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), text[s:e]) for s, e in at]
         for j in range(len(first)):
             k = j + 1
-            while k < len(first) and (k - j < least or ends[k - 1] - first[j] < words):
+            while k < len(first) and (k - j < least or sum(weight[first[j] : ends[k - 1]]) < 2 * words):
                 k += 1
-            if k - j < least or ends[k - 1] - first[j] < words:
+            if k - j < least or sum(weight[first[j] : ends[k - 1]]) < 2 * words:
                 continue
             span = tuple(low[first[j] : ends[k - 1]])
             if span in seen:
@@ -190,6 +190,40 @@ def test_no_long_passage_stays_whole(spark, marked):
     assert whole == []
 
 
+def test_scripts_without_spaces(spark):
+    rng = random.Random(6)
+    text = lambda n, low, high: "".join(chr(rng.randrange(low, high)) + rng.choice(["", "", "", "。", "！"]) * (rng.random() < 0.1) for _ in range(n))
+    han, thai, shared = text(1600, 0x4E00, 0x9FA0), text(700, 0xE01, 0xE2F), text(150, 0x4E00, 0x9FA0)
+    rows = [(1, han), (2, han), (3, thai), (4, text(300, 0xE01, 0xE2F) + thai[100:400]), (5, text(200, 0x4E00, 0x9FA0) + shared), (6, "短文" + shared + text(90, 0x4E00, 0x9FA0)), (7, "हिन्दी में एक वाक्य। " * 9), (8, text(60, 0x4E00, 0x9FA0)), (9, text(30, 0x3041, 0x3090) + shared[:70])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring.substring_dedup(df).collect()}
+    assert got == brute(rows)
+    assert got[2][0] == "" and len(got[4][0]) < 330 and len(got[6][0]) < 110 and got[1] == (han, 0) and got[9][1] == 0
+
+
+def test_short_common_passages_stay(spark):
+    """Fewer than 40 shared words are no copy, whatever their number of copies."""
+    rng = random.Random(8)
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    line = words("common", 39) + "."
+    rows = [(i, f"{words(f'a{i}x', rng.randrange(20, 60))}. {line} {words(f'b{i}x', rng.randrange(20, 60))}.") for i in range(30)]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == dict(rows) and {r["n_removed"] for r in got} == {0}
+
+
+def test_repeated_ids_and_a_very_long_text(spark):
+    """Two texts of several MB that share their second half; rows that share a doc_id."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(50_000)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    half = text(350_000)
+    rows = [(1, text(350_000) + " " + half), (2, text(300_000) + " " + half), (3, "x " * 500), (3, "y " * 500), (3, "x " * 500), (4, "x " * 300)]
+    assert len(rows[0][1]) > 3_000_000
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[0][1] == rows[0][1] and 300_000 <= len(got[1][1].split()) <= 300_010
+    assert [len(t.split()) < 45 for _, t, _ in got[2:]] == [True] * 4 and got[-1][1] == ""
+
+
 def test_substring_odd_tables(spark, docs, rows, empty, all_null, clashing):
     assert substring.substring_dedup(empty).count() == 0
     assert [r["text"] for r in substring.substring_dedup(all_null).collect()] == [None] * 3
