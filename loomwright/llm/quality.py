@@ -1,26 +1,29 @@
 """Quality scores by co-training a text view and a page-metadata view.
 
 Two logistic regressions are fitted on labelled documents: one sees statistics of the text alone, the other sees
-metadata alone (language, source, recorded length). Over several rounds each scores a pool of unlabelled documents, and
-the ones that it is most sure of enter the *other's* training set with its answer. Afterwards each view's log odds are
+metadata alone (language, source, recorded length). Over several rounds each scores all unlabelled documents, and the
+ones that it is most sure of enter the *other's* training set with its answer. Afterwards each view's log odds are
 calibrated on labelled documents that neither was fitted on, and a second small regression on those documents combines
 them. All documents are then scored in Arrow batches.
 
-Fitting runs on the driver over bounded, hash-ordered samples (max_labelled, max_pool) of numeric features.
+Features are taken from the texts once and stored, some hundred bytes a document. Fitting runs on the driver over a
+bounded, hash-ordered sample of labelled documents (max_labelled) and the pseudo-labels, at most per_round a round, view
+and label; the candidates for those are ranked in Spark, over all unlabelled documents.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, bound_batches, id_crc, read_table, slices
+from .common import Words, bound_batches, id_crc, read_table, remove, slices, store
 from .linear import fit_dense_logistic, sigmoid
 
 BUCKETS = 64
@@ -99,39 +102,64 @@ class Model:
         return sigmoid(_odds(np.column_stack([a, b]), self.combined)), sigmoid(a), sigmoid(b)
 
 
+#: From the two views' coefficients: for each view, the rows it is surest of, as (id, text features, meta features) by label.
+Pick = Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[dict[float, list[tuple[int, np.ndarray, np.ndarray]]]]]
+
+
 def co_train(
     text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 5, per_round: int = 500, sure: float = 0.95, l2: float = 1.0
 ) -> Model:
-    """y: 0 or 1. A fifth of the labelled rows calibrates. Without rows of both kinds the share of ones is the score."""
+    """co_train_on() with a pool in memory."""
+    free = [np.ones(len(pool_text), bool), np.ones(len(pool_text), bool)]
+
+    def pick(fitted: list[np.ndarray], mean: np.ndarray, scale: np.ndarray):
+        out = []
+        for v, view in enumerate(((pool_text - mean) / scale, pool_meta)):
+            p, chosen = sigmoid(_odds(view, fitted[v])), {}
+            for label, belief in ((1.0, p), (0.0, 1 - p)):
+                good = np.flatnonzero((belief >= sure) & free[1 - v])
+                good = good[np.argsort(-belief[good], kind="stable")][:per_round]
+                free[1 - v][good] = False
+                chosen[label] = [(int(i), pool_text[i], pool_meta[i]) for i in good]
+            out.append(chosen)
+        return out
+
+    return co_train_on(text, meta, y, pick if len(pool_text) else None, rounds, l2)
+
+
+def co_train_on(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pick: Pick | None, rounds: int = 5, l2: float = 1.0) -> Model:
+    """y: 0 or 1. A fifth of the labelled rows calibrates. Without rows of both kinds the share of ones is the score.
+
+    What pick() answers for one view is put into the training rows of the other.
+    """
     mean = text.mean(axis=0) if len(text) else np.zeros(text.shape[1])
     scale = np.maximum(text.std(axis=0), 1e-3) if len(text) else np.ones(text.shape[1])
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         none = np.zeros(text.shape[1] + 1), np.zeros(meta.shape[1] + 1)
         return Model(*none, (np.zeros(2), np.zeros(2)), np.array([0, 0, np.log(share / (1 - share))]), mean, scale)
-    views, pool = [(text - mean) / scale, meta], [(pool_text - mean) / scale, pool_meta]
+    views = [(text - mean) / scale, meta]
     aside = np.arange(len(y)) % 5 == 4
     if len(set(y[aside].tolist())) < 2 or len(set(y[~aside].tolist())) < 2:
         aside = np.zeros(len(y), bool)
-    fitted, free = [None, None], [np.ones(len(pool_text), bool), np.ones(len(pool_text), bool)]
-    extra: list[list[tuple[int, float]]] = [[], []]
+    fitted = [np.zeros(v.shape[1] + 1) for v in views]
+    extra: list[list[tuple[np.ndarray, float]]] = [[], []]
     for turn in range(rounds + 1):
         for v in (0, 1):
-            at = np.array([i for i, _ in extra[v]], int)
-            x = np.concatenate([views[v][~aside], pool[v][at]])
+            x = np.concatenate([views[v][~aside], *(row[None, :] for row, _ in extra[v])])
             t = np.concatenate([y[~aside], [label for _, label in extra[v]]])
             # pseudo-labels weigh less, all together no more than the labelled rows
-            light = min(0.5, (~aside).sum() / max(len(at), 1))
-            fitted[v] = fit_dense_logistic(x, t, np.concatenate([np.ones((~aside).sum()), np.full(len(at), light)]), l2)
-        if turn == rounds:
+            light = min(0.5, (~aside).sum() / max(len(extra[v]), 1))
+            weight = np.concatenate([np.ones((~aside).sum()), np.full(len(extra[v]), light)])
+            fitted[v] = fit_dense_logistic(x, t, weight, l2)
+        if turn == rounds or pick is None:
             break
+        found = pick(fitted, mean, scale)
         for v in (0, 1):
-            p = sigmoid(_odds(pool[v], fitted[v])) if len(pool[v]) else np.zeros(0)
-            for label, belief in ((1.0, p), (0.0, 1 - p)):
-                good = np.flatnonzero((belief >= sure) & free[1 - v])
-                good = good[np.argsort(-belief[good], kind="stable")][:per_round]
-                free[1 - v][good] = False
-                extra[1 - v] += [(int(i), label) for i in good]
+            for label, rows in found[v].items():
+                extra[1 - v] += [((a - mean) / scale if v == 1 else b, label) for _, a, b in rows]
+        if not any(rows for view in found for rows in view.values()):
+            break
     held = aside if aside.any() else np.ones(len(y), bool)
     one = np.ones(held.sum())
     lines = tuple(fit_dense_logistic(_odds(views[v][held], fitted[v])[:, None], y[held], one, 1e-2) for v in (0, 1))
@@ -139,70 +167,121 @@ def co_train(
     return Model(fitted[0], fitted[1], lines, fit_dense_logistic(both, y[held], one, 1e-2), mean, scale)
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    cols = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-    meta = meta_features(*(cols[c].to_pylist() for c in ("lang", "source", "n_chars")))
-    return text_features(cols["text"]), meta
+WIDTH = text_features(pa.array([""])).shape[1]
+FEATURES = "doc_id {kind}, key long, pooled boolean, x array<float>, lang_slot int, source_slot int, chars float"
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int, folds: int, held_out: int):
-    """Features and labels of a bounded hash-ordered sample, and features of a bounded pool of unlabelled documents.
-
-    Labels of one doc_id that differ count as low quality. The fold held out is in neither.
-    """
-    known = (
-        labels.where("quality is not null and doc_id is not null")
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.min("quality").alias("__quality"))
-        .where(id_crc(F.col("__id")) % folds != held_out)
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(max_labelled)
-    )
-    n = docs.count()
-    space = 1 << 30
-    limit = int(min(space, 1.1 * space * max_pool / max(n, 1)))
-    order = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(space))
-    seen = docs.where(F.col("doc_id").isNotNull() & (id_crc(F.col("doc_id")) % folds != held_out))
-    seen = seen.join(F.broadcast(known), F.col("doc_id") == F.col("__id"), "left").where(F.col("__id").isNotNull() | (order < limit))
+def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Text and metadata features of stored rows."""
+    cols = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+    x = cols["x"].flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, WIDTH)
+    meta = np.zeros((batch.num_rows, 2 * BUCKETS + 2))
+    at = np.arange(batch.num_rows)
+    meta[at, cols["lang_slot"].to_numpy()] = 1
+    meta[at, BUCKETS + cols["source_slot"].to_numpy()] = 1
+    chars = cols["chars"].to_numpy(zero_copy_only=False)  # null: NaN
+    meta[:, -2], meta[:, -1] = np.nan_to_num(chars), np.isnan(chars)
+    return x, meta
+
+
+def stored_features(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """See FEATURES, one row per row of docs; pooled: whether it may be learnt from. The texts are read once."""
+    key = F.xxhash64("doc_id")
+    may = F.coalesce(id_crc(F.col("doc_id")) % folds != held_out, F.lit(False))
+    schema = FEATURES.format(kind=docs.schema["doc_id"].dataType.simpleString())
 
     def make(batches):
         for batch in slices(batches, "text", 1 << 19):
-            a, b = _features(batch)
-            flat = np.column_stack([a, b])
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("o", "q")]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.astype(np.float32).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(flat), a.shape[1], np.int32)), lists], names=["o", "q", "w", "f"])
-
-    found = (
-        seen.select(order.alias("o"), F.col("__quality").alias("q"), "text", "lang", "source", "n_chars")
-        .mapInArrow(make, "o long, q int, w int, f array<float>")
-        .collect()  # at most max_labelled + about max_pool rows of numbers
-    )
-    found = sorted(found, key=lambda r: (r["q"] is None, r["o"], r["f"]))
-    width = text_features(pa.array([""])).shape[1]
-    x = np.array([r["f"] for r in found], float).reshape(len(found), width + 2 * BUCKETS + 2)
-    y = np.array([-1 if r["q"] is None else r["q"] for r in found], float)
-    rows, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)[:max_pool]
-    return x[rows, :width], x[rows, width:], y[rows], x[pool, :width], x[pool, width:]
-
-
-def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_pool: int = 20_000, folds: int = 5, held_out: int = 0) -> DataFrame:
+            cols = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            meta = meta_features(*(cols[c].to_pylist() for c in ("lang", "source", "n_chars")))
+            flat = text_features(cols["text"]).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * WIDTH), pa.array(flat.reshape(-1)))
+            slots = [pa.array(meta[:, a : a + BUCKETS].argmax(axis=1).astype(np.int32)) for a in (0, BUCKETS)]
+            chars = pa.array(np.where(meta[:, -1] > 0, 0, meta[:, -2]).astype(np.float32), mask=meta[:, -1] > 0)
+            yield pa.RecordBatch.from_arrays([cols["doc_id"], cols["key"], cols["pooled"], lists, *slots, chars], names=["doc_id", "key", "pooled", "x", "lang_slot", "source_slot", "chars"])
+
+    made = docs.select("doc_id", key.alias("key"), may.alias("pooled"), "text", "lang", "source", "n_chars").mapInArrow(make, schema)
+    return store(made, "quality-features")[0]
+
+
+def labelled_rows(features: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The labelled ids and, of a bounded hash-ordered sample of them, the features of both views and the labels.
+
+    Labels of one doc_id that differ count as low quality.
+    """
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("known_id")).agg(F.min("quality").cast("int").alias("quality"))
+    rows = features.where("pooled").join(known, F.col("doc_id") == F.col("known_id"))
+    first = rows.dropDuplicates(["doc_id"]).orderBy("key", "doc_id").limit(max_labelled)
+    table = first.select("quality", "x", "lang_slot", "source_slot", "chars", "key", "doc_id").toArrow().sort_by([("key", "ascending"), ("doc_id", "ascending")])
+    y = table.column("quality").to_numpy().astype(float)
+    if not len(y):
+        return known, np.zeros((0, WIDTH)), np.zeros((0, 2 * BUCKETS + 2)), y
+    return known, *_dense(table.combine_chunks().to_batches()[0]), y
+
+
+def pick_in_spark(pool: DataFrame, per_round: int, sure: float) -> Pick:
+    """Ranks all rows of the pool, a row of it at most once for each view. Only the chosen rows reach the driver; rows
+    with equal keys, which repeat a doc_id, are taken together or not at all."""
+    taken: list[set[int]] = [set(), set()]
+    best = "v int, label double, belief double, key long, x array<float>, lang_slot int, source_slot int, chars float"
+
+    def pick(fitted: list[np.ndarray], mean: np.ndarray, scale: np.ndarray):
+        sent = [np.array(sorted(t), np.int64) for t in taken]
+
+        def candidates(batches):
+            for batch in batches:
+                x, meta = _dense(batch)
+                key = batch.column(0).to_numpy()
+                for v, view in enumerate(((x - mean) / scale, meta)):
+                    p, free = sigmoid(_odds(view, fitted[v])), ~np.isin(key, sent[1 - v])
+                    for label, belief in ((1.0, p), (0.0, 1 - p)):
+                        good = np.flatnonzero((belief >= sure) & free)
+                        good = good[np.lexsort((key[good], -belief[good]))][:per_round]
+                        rows = batch.take(pa.array(good))
+                        head = [pa.array(np.full(len(good), v, np.int32)), pa.array(np.full(len(good), label)), pa.array(belief[good])]
+                        yield pa.RecordBatch.from_arrays([*head, *rows.columns], names=["v", "label", "belief", *rows.schema.names])
+
+        ranked = pool.select("key", "x", "lang_slot", "source_slot", "chars").mapInArrow(candidates, best)
+        order = Window.partitionBy("v", "label").orderBy(F.desc("belief"), "key")
+        table = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_round).orderBy("v", "label", "rank").toArrow()
+        out: list[dict] = [{1.0: [], 0.0: []}, {1.0: [], 0.0: []}]
+        for batch in table.combine_chunks().to_batches():
+            x, meta = _dense(batch)
+            for i, (v, label, key) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
+                if key not in taken[1 - v]:
+                    taken[1 - v].add(key)
+                    out[v][label].append((key, x[i], meta[i]))
+        return out
+
+    return pick
+
+
+def quality(
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, rounds: int = 5, per_round: int = 500, sure: float = 0.95, folds: int = 5, held_out: int = 0
+) -> DataFrame:
     """doc_id, score, text_score, meta_score (0 to 1, higher: better) for every row of docs.
 
-    docs has doc_id, text, lang, source, n_chars; any may be null. Null and empty texts have zero text features. Rows
-    that repeat are scored alike. Without labels of both kinds every score is the smoothed share of good labels.
+    docs has doc_id, text, lang, source, n_chars, any of which may be null; other columns are not read. Null and empty
+    texts have zero text features. Rows that repeat are scored alike. Rows without a doc_id and the fold held out are
+    learnt from in no way. Without labels of both kinds every score is the smoothed share of good labels.
     """
     bound_batches(docs.sparkSession)
-    model = co_train(*training_sample(docs, labels, max_labelled, max_pool, folds, held_out))
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    features = stored_features(docs, folds, held_out)
+    known, text, meta, y = labelled_rows(features, labels, max_labelled)
+    pool = features.where("pooled").join(known.select("known_id"), F.col("doc_id") == F.col("known_id"), "left_anti")
+    pool, path = store(pool.select("key", "x", "lang_slot", "source_slot", "chars"), "quality-pool")
+    model = co_train_on(text, meta, y, pick_in_spark(pool, per_round, sure), rounds)
+    remove(docs.sparkSession, path)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        for batch in slices(batches, "text", 1 << 19):
-            made = [pa.array(s) for s in sent.value.score(*_features(batch))]
+        for batch in batches:
+            made = [pa.array(s) for s in sent.value.score(*_dense(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "score", "text_score", "meta_score"])
 
     fields = [docs.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in ("score", "text_score", "meta_score"))]
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(score, T.StructType(fields))
+    return features.select("doc_id", "x", "lang_slot", "source_slot", "chars").mapInArrow(score, T.StructType(fields))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
