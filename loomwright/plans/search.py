@@ -89,11 +89,11 @@ def r06(v: Views) -> DataFrame:
 
 @query(
     "r07_semantic_candidates",
-    _HYBRID + ", t AS (SELECT cluster_id AS id, sem FROM sem WHERE cluster_id % 2 = 0 AND sem > 0.1 ORDER BY sem DESC, cluster_id LIMIT 25) SELECT t.id, e.name, t.sem FROM t JOIN entity e ON t.id = e.id",
+    _HYBRID + ", t AS (SELECT cluster_id AS id, sem FROM sem WHERE sem > 0.1 ORDER BY sem DESC, cluster_id LIMIT 25) SELECT t.id, e.name, t.sem FROM t JOIN entity e ON t.id = e.id",
 )
 def r07(v: Views) -> DataFrame:
     asked = v.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    sem = v.embeddings.where("vec_id % 2 = 0").crossJoin(F.broadcast(asked))
+    sem = v.embeddings.crossJoin(F.broadcast(asked))
     sem = sem.select(F.col("vec_id").alias("id"), F.round(dot(F.col("embedding"), F.col("q")), 6).alias("sem")).where("sem > 0.1")
     return sem.orderBy(F.desc("sem"), "id").limit(25).join(v.entity.select("id", "name"), "id")
 
@@ -109,22 +109,69 @@ def r08(v: Views) -> DataFrame:
     return x.orderBy("conv_id").limit(3).select("conv_id", "turn")
 
 
+#: A question a category, the three most counted entities of it as evidence; types stand for categories.
+_EVIDENCE = """
+, k AS (SELECT category, CASE category WHEN 'PROMO' THEN 'SUBSTANCE' WHEN 'ECONOMY' THEN 'PLANT' ELSE category END AS kind FROM entity GROUP BY 1)
+, ranked AS (SELECT e.*, k.kind, row_number() OVER (PARTITION BY e.category ORDER BY cnt DESC, id) AS r FROM entity e JOIN k ON e.category = k.category QUALIFY r <= 3)
+, q AS (SELECT category, any_value(kind) AS kind, CASE WHEN length(category) % 2 = 0 THEN 'How to make ' || lower(category) || '?' ELSE 'What is ' || lower(category) || '?' END AS question,
+  string_agg('- [' || id || '] ' || name || ' (' || cnt || ' mentions)' || CASE WHEN any_known THEN chr(10) || '  Context: ' || subcategory ELSE '' END, chr(10) ORDER BY r) AS lines
+  FROM (SELECT *, kind IN ('SUBSTANCE', 'PLANT') AS any_known FROM ranked) GROUP BY 1)
+"""
+
+
+def _asked(v: Views) -> DataFrame:
+    from ..operators.ranking import top_per_group
+
+    kind = F.when(F.col("category") == "PROMO", "SUBSTANCE").when(F.col("category") == "ECONOMY", "PLANT").otherwise(F.col("category"))
+    t = top_per_group(v.entity.withColumn("kind", kind), ["category"], [F.desc("cnt"), F.col("id")], 3)
+    piece = F.struct(
+        F.col("id").cast("string").alias("id"), F.col("kind").alias("category"), F.col("name").alias("canonical_name"), F.col("name").alias("local_name"),
+        F.array("name").alias("names"), F.col("cnt").cast("long").alias("count"), F.array("subcategory").alias("contexts"), F.lit(None).cast("array<string>").alias("excerpts"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("e")))), lambda s: s["e"])  # three a category
+    low = F.lower("category")
+    question = F.when(F.length("category") % 2 == 0, F.concat(F.lit("How to make "), low, F.lit("?"))).otherwise(F.concat(F.lit("What is "), low, F.lit("?")))
+    return t.groupBy("category").agg(listed.alias("evidence")).withColumn("question", question)
+
+
 @query(
     "r09_prompt",
-    ", t AS (SELECT category, name, cnt, id, row_number() OVER (PARTITION BY category ORDER BY cnt DESC, id) AS r FROM entity QUALIFY r <= 3) SELECT category, category || ': ' || array_to_string(list(name || ' (' || cnt || ')' ORDER BY r), '; ') AS line FROM t GROUP BY 1",
+    _EVIDENCE
+    + """SELECT category, 'A reader asks: "' || question || '"' || chr(10) || chr(10) || 'Evidence from your text, by kind:' || chr(10) || chr(10) || '**' || kind || ':**' || chr(10) || lines || chr(10) || chr(10)
+|| 'Answer as the author would, in the first person, from the above alone.' || chr(10) || 'The year is 1650; a modern term is unknown to you and answered by analogy.' || chr(10) || 'Let the question set the length. No headings or remarks about the answer.'
+|| CASE WHEN length(category) % 2 = 0 THEN chr(10) || 'The question asks for a procedure: give a table of items, reasons and cautions.' ELSE '' END AS message FROM q""",
 )
 def r09(v: Views) -> DataFrame:
-    from ..operators.ranking import top_per_group
+    from ..operators.prompts import user_message
+
+    message = user_message(F.col("question"), F.col("evidence"), F.lit("the author"), F.lit(1650))
+    # the line with the JSON form is the same in all
+    return _asked(v).select("category", F.regexp_replace(message, r"(?s)\nReply with one JSON object: .*$", "").alias("message"))
+
+
+@query(
+    "r09b_validation",
+    _EVIDENCE
+    + """, n AS (SELECT category, list(CAST(id AS VARCHAR) ORDER BY r) AS ids, list(name ORDER BY r) AS names, string_agg('| ' || name || ' | ' || kind || ' | ' || subcategory || ' |', chr(10) ORDER BY r) AS tab FROM ranked GROUP BY 1)
+SELECT q.category, 'Made of it.' || CASE WHEN length(q.category) % 2 = 0 THEN chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10) || '| Item | Kind | Reason |' || chr(10) || '|---|---|---|' || chr(10) || tab ELSE '' END AS response,
+ids[1] || ',' || list_last(list_filter(list_zip(names, ids), lambda p: p[1] = names[2]))[2] AS cited, 'moderate' AS confidence FROM q JOIN n ON q.category = n.category""",
+)
+def r09b(v: Views) -> DataFrame:
+    """Replies that cite an id, a name and something that was never retrieved."""
+    from ..operators.prompts import parsed_reply, validated
 
-    t = top_per_group(v.entity, ["category"], [F.desc("cnt"), F.col("id")], 3)
-    named = F.concat("name", F.lit(" ("), F.col("cnt").cast("string"), F.lit(")"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", named.alias("x")))), lambda s: s["x"])
-    return t.groupBy("category").agg(F.array_join(listed, "; ").alias("names")).select("category", F.concat_ws(": ", "category", "names").alias("line"))
+    cite = lambda id, name: F.concat(F.lit('{"entity_id":"'), id, F.lit('","entity_name":"'), name, F.lit('"}'))
+    e = lambda k: F.element_at("evidence", k)
+    cited = F.concat_ws(",", cite(e(1)["id"], F.lit("x")), cite(F.lit("?"), F.upper(e(2)["local_name"])), cite(F.lit("?"), F.lit("never seen")))
+    reply = F.concat(F.lit('```json\n{"response":"## Response\\nMade of it.","evidence_used":['), cited, F.lit('],"confidence":"sure"}\n```'))
+    done = _asked(v).withColumn("v", validated(parsed_reply(reply), F.col("evidence"), F.col("question")))
+    ids = F.array_join(F.transform("v.evidence_used", lambda u: u["entity_id"]), ",")
+    return done.select("category", "v.response", ids.alias("cited"), "v.confidence")
 
 
-@query("r10_translate", "SELECT item_id, 'xx:' || substr(text, 1, 20) AS answer FROM benchmark")
+@query("r10_translate", "SELECT item_id, 'xx:' || text AS answer FROM benchmark")
 def r10(v: Views) -> DataFrame:
     from ..sources.providers import ask
 
-    heads = v.benchmark.select("item_id", F.substring("text", 1, 20).alias("text"))
+    heads = v.benchmark.select("item_id", "text")
     return ask(heads, "text", lambda keys: ["xx:" + k for k in keys]).select("item_id", "answer")
