@@ -21,20 +21,14 @@ def aggregate_entities(mentions: DataFrame, order: list[str], contexts: int = 5)
     """
     key = F.lower(F.trim("name"))
     last = F.max_by(F.struct("name", "category", "subcategory"), F.struct(*order))
-    first = F.transform(F.array_sort(F.collect_list(F.struct(*order, "context"))), lambda s: s["context"])
-    return (
-        mentions.withColumn("key", key)
-        .where(F.length("key") >= 2)
-        .groupBy("key")
-        .agg(last.alias("last"), F.count("*").alias("cnt"), F.array_sort(F.collect_set("name")).alias("variants"), first.alias("seen"))
-        .select(
-            F.translate("key", " .", "__").alias("id"),
-            "last.*",
-            "cnt",
-            "variants",
-            F.slice(F.array_distinct("seen"), 1, contexts).alias("contexts"),
-        )
-    )
+    keyed = mentions.withColumn("key", key).where(F.length("key") >= 2)
+    whole = keyed.groupBy("key").agg(last.alias("last"), F.count("*").alias("cnt"), F.array_sort(F.collect_set("name")).alias("variants"))
+    # of each distinct context its first place; only the first few of a key are gathered
+    places = keyed.groupBy("key", "context").agg(F.min(F.struct(*order)).alias("at"))
+    few = places.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("at"))).where(F.col("rank") <= contexts)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "context"))), lambda s: s["context"])
+    joined = whole.join(few.groupBy("key").agg(listed.alias("contexts")), "key")
+    return joined.select(F.translate("key", " .", "__").alias("id"), "last.*", "cnt", "variants", "contexts")
 
 
 def merge_entities(members: DataFrame, group: str) -> DataFrame:

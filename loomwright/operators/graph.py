@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import contains_either, string_similarity
-from .joins import cut_lineage
+from .joins import cut_lineage, vector_pairs
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -78,41 +78,52 @@ def merge_near_duplicates(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
 def average_linkage(df: DataFrame, block: str, key: str, vector: str, threshold: float) -> DataFrame:
     """Agglomerative clusters by average cosine distance within each block: block, key, cluster (the smallest key).
 
-    A block is one task's work; blocks are bounded by their category, as the quadratic method needs them to be.
+    Two clusters whose average distance is at most the threshold have a pair within it, so a cluster lies in one component
+    of the pairs within the threshold. The quadratic method runs in each component by itself; keys are unique.
     """
     import numpy as np
     import pandas as pd
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        x = np.array(pdf[vector].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = np.array(pdf["__unit"].tolist(), float)
         d = 1 - x @ x.T
         np.fill_diagonal(d, np.inf)
-        size, alive, owner = np.ones(len(x)), np.ones(len(x), bool), np.arange(len(x))
-        while alive.sum() > 1:
-            flat = int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf)))
-            i, j = sorted(divmod(flat, len(x)))
-            if d[i, j] > threshold:
+        size, owner = np.ones(len(x)), np.arange(len(x))
+        best = d.min(axis=1) if len(x) > 1 else np.full(len(x), np.inf)
+        while len(x) > 1:
+            i = int(np.argmin(best))
+            if best[i] > threshold:
                 break
+            j = int(np.argmin(d[i]))
+            i, j = min(i, j), max(i, j)
             d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
             d[i, i] = np.inf
+            d[j] = d[:, j] = np.inf
             size[i] += size[j]
-            alive[j] = False
             owner[owner == j] = i
+            best = d.min(axis=1)
         keys = pdf[key].to_numpy()
         return pd.DataFrame({block: pdf[block].to_numpy(), key: keys, "cluster": keys[owner]})
 
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = df.select(block, key, F.transform(vector, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12))).alias("__unit"))
+    near = vector_pairs(unit, key, "__unit", block, 1 - threshold - 1e-9, 12).select("a", "b")
+    label = connected_components(near).withColumnRenamed("node", "__node")
+    placed = unit.join(label, F.col(key) == F.col("__node"), "left").withColumn("component", F.coalesce("component", key)).drop("__node")
     kinds = {c: df.schema[c].dataType.simpleString() for c in (block, key)}
-    return df.select(block, key, vector).groupBy(block).applyInPandas(link, f"{block} {kinds[block]}, {key} {kinds[key]}, cluster {kinds[key]}")
+    return placed.groupBy(block, "component").applyInPandas(link, f"{block} {kinds[block]}, {key} {kinds[key]}, cluster {kinds[key]}")
 
 
 def person_edges(seen: DataFrame, where: str, who: str, samples: int = 3, least: int = 1) -> DataFrame:
     """Unordered pairs that occur together (one row per place and person in `seen`): source, target, weight, samples."""
     other = seen.select(F.col(where).alias("__w"), F.col(who).alias("target"))
     pairs = seen.join(other, (F.col(where) == F.col("__w")) & (F.col(who) < F.col("target")))
-    g = pairs.groupBy(F.col(who).alias("source"), "target").agg(F.count("*").alias("weight"), F.array_sort(F.collect_set(where)).alias("samples"))
-    return g.where(F.col("weight") >= least).withColumn("samples", F.slice("samples", 1, samples))
+    pairs = pairs.select(F.col(who).alias("source"), "target", where)
+    edges = pairs.groupBy("source", "target").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    first = F.row_number().over(Window.partitionBy("source", "target").orderBy(where))
+    few = pairs.withColumn("__rn", first).where(F.col("__rn") <= samples).groupBy("source", "target").agg(F.array_sort(F.collect_set(where)).alias("samples"))
+    return edges.join(few, ["source", "target"])
 
 
 def pair_graph_nodes(pairs: DataFrame, order: str) -> DataFrame:

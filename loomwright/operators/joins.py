@@ -6,9 +6,14 @@ Spark never plans a nested loop over the whole input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalise import name_text
 from ..functions.rules import plausible_merge
 from ..functions.similarity import contains_either, dot, edit_similarity, string_similarity
 
@@ -62,41 +67,6 @@ def similar_pairs(entities: DataFrame, same_book: bool, floor: float, person_flo
     )
 
 
-def nearest(df: DataFrame, others: DataFrame, key: str, other_key: str, vector: str, k: int, digits: int = 4, block: int = 512) -> DataFrame:
-    """For each row of df, the k rows of others with the largest dot product: key, other_key, sim, rank.
-
-    The keys are numbers with different names; rows with equal keys are not neighbours. Ties after rounding go to the
-    smaller other_key. Both sides are packed into blocks, each pair of blocks is one matrix product in numpy, and only
-    the k best of a block leave it; the last step ranks those.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def packed(side: DataFrame, name: str, suffix: str) -> DataFrame:
-        n = max(1, -(-side.count() // block))
-        part = F.pmod(F.xxhash64(name), F.lit(n))
-        rows = side.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(part.alias("p"), F.struct(F.col(name).alias("k"), F.col(vector).alias("v")).alias("r"))
-        return rows.groupBy("p").agg(F.collect_list("r").alias("r")).select(F.col("r.k").alias(f"k{suffix}"), F.col("r.v").alias(f"v{suffix}"))
-
-    def best(batches):
-        for pdf in batches:
-            for ka, va, kb, vb in zip(pdf["ka"], pdf["va"], pdf["kb"], pdf["vb"], strict=True):
-                ka, kb = np.asarray(ka), np.asarray(kb)
-                sim = np.stack(va).astype(np.float64) @ np.stack(vb).astype(np.float64).T
-                sim[ka[:, None] == kb[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(kb, sim.shape), -np.round(sim, digits)), axis=1)[:, :k]
-                found = np.take_along_axis(sim, order, axis=1)
-                rows, cols = np.nonzero(np.isfinite(found))
-                yield pd.DataFrame({key: ka[rows], other_key: kb[order[rows, cols]], "sim": found[rows, cols]})
-
-    pairs = packed(df, key, "a").crossJoin(packed(others, other_key, "b"))  # rows are blocks
-    kinds = f"{key} {df.schema[key].dataType.simpleString()}, {other_key} {others.schema[other_key].dataType.simpleString()}, sim double"
-    spread = pairs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    scored = spread.mapInPandas(best, kinds).withColumn("sim", F.round("sim", digits))
-    order = Window.partitionBy(key).orderBy(F.desc("sim"), other_key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def knn_rules(pairs: DataFrame) -> DataFrame:
     """The rules that a nearest neighbour must pass, on columns sim, string_sim, category_*, subcategory_*."""
     open_ended = lambda c: c.isNull() | (c == "") | c.startswith("OTHER_")
@@ -138,25 +108,57 @@ def greedy_matching(pairs: DataFrame, a: str = "a", b: str = "b", score: str = "
         left = cut_lineage(left.join(best.select(a), a, "left_anti").join(best.select(b), b, "left_anti"))
 
 
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir())
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root or os.path.join(tempfile.gettempdir(), "loomwright")
+
+
+def edit_candidates(df: DataFrame, key: str, text: str, block: str, floor: float, gram: int = 2) -> DataFrame:
+    """Pairs a < b of one block whose texts may have an edit similarity of floor or more (none that has is missing).
+
+    One edit changes at most `gram` of a text's letter runs, so texts within d edits share one of the first gram * d + 1
+    of them, in any common order; the rarest runs of the block come first, which keeps the join keys small. A text with no
+    more runs than that also stands under one key of its block with its like, which only very short texts do.
+    """
+    length = F.length(text)
+    edits = F.floor((1 - floor) * length / floor + 1e-9).cast("int")  # to the longest text that can still be near
+    runs = F.transform(F.sequence(F.lit(1), length - gram + 1), lambda i: F.substring(F.col(text), i, F.lit(gram)))
+    rows = df.where(F.col(text).isNotNull() & (length > 0)).select(F.col(key).alias("id"), F.col(block).alias("blk"), length.alias("n"), edits.alias("d"), F.col(text).alias("__text"), F.when(length >= gram, runs).otherwise(F.array().cast("array<string>")).alias("runs"))
+    # equal runs of one text are told apart by their number
+    each = rows.select("id", "blk", "n", "d", F.posexplode("runs").alias("i", "run"))
+    each = each.withColumn("k", F.row_number().over(Window.partitionBy("id", "blk", "run").orderBy("i")))
+    often = each.groupBy("blk", "run", "k").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("id", "blk").orderBy("f", "run", "k")
+    prefix = each.join(often, ["blk", "run", "k"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= gram * F.col("d") + 1)
+    keys = prefix.select("id", "blk", "n", F.concat_ws("\u0001", "run", F.col("k").cast("string")).alias("x"))
+    short = rows.where(F.size("runs") <= gram * F.col("d")).select("id", "blk", "n", F.lit("").alias("x"))
+    equal = rows.where(F.col("d") == 0).select("id", "blk", "n", F.concat(F.lit("\u0002"), "__text").alias("x"))
+    keys = keys.unionByName(short).unionByName(equal)
+    other = keys.select(F.col("id").alias("id2"), F.col("blk").alias("blk2"), F.col("n").alias("n2"), F.col("x").alias("x2"))
+    close = F.least("n", "n2") >= floor * F.greatest("n", "n2") - 1e-9
+    pairs = keys.join(other, (F.col("blk") == F.col("blk2")) & (F.col("x") == F.col("x2")) & (F.col("id") < F.col("id2")) & close)
+    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def near_duplicate_clusters(clusters: DataFrame, floor: float = 0.83, place_floor: float = 0.85) -> DataFrame:
     """Pairs of clusters (cluster_id, canonical_name, category, books array, names array) of one category that share a
     book and have nearly equal names, or have equal names and share a member name: a, b, sim."""
     a, b = renamed(clusters, "_a"), renamed(clusters, "_b")
     sim = edit_similarity(F.col("canonical_name_a"), F.col("canonical_name_b"))
     bar = F.when(F.col("category_a") == "PLACE", place_floor).otherwise(floor)
-    pairs = a.join(b, (F.col("category_a") == F.col("category_b")) & (F.col("cluster_id_a") < F.col("cluster_id_b")))
+    near = edit_candidates(clusters, "cluster_id", "canonical_name", "category", min(floor, place_floor))
+    pairs = near.join(a, F.col("a") == F.col("cluster_id_a")).join(b, F.col("b") == F.col("cluster_id_b"))
     pairs = pairs.withColumn("sim", F.round(sim, 6)).where(F.col("sim") >= bar)
     alike = F.arrays_overlap("books_a", "books_b") | ((F.col("sim") == 1.0) & F.arrays_overlap("names_a", "names_b"))
     return pairs.where(alike).select(F.col("cluster_id_a").alias("a"), F.col("cluster_id_b").alias("b"), "sim")
@@ -198,12 +200,109 @@ def singletons(entities: DataFrame, members: DataFrame, keys: list[str]) -> Data
     return entities.join(members.select(*keys).distinct(), keys, "left_anti")
 
 
-def co_citations(excerpts: DataFrame, persons: DataFrame, text: str = "text") -> DataFrame:
-    """Unordered pairs of persons named in one excerpt of either: source, target, weight.
+def name_tiers(found: Column) -> list[Column]:
+    """The forms under which a found name is looked up: as it is, without final punctuation, and with one kind of letter
+    that scans confuse replaced, one kind at a time."""
+    key = F.lower(F.trim(found))
+    # fixed values: letters that scans confuse
+    confused = [("ſ", "s"), ("ƒ", "f"), ("ﬁ", "fi"), ("ﬂ", "fl")]
+    return [key, F.regexp_replace(key, r"""[.,;:!?'"]+$""", ""), *(F.replace(key, F.lit(old), F.lit(new)) for old, new in confused)]
 
-    excerpts: person, text; persons: person, pattern (a regular expression), a bounded list such as the top 60.
+
+def migration_matches(new: DataFrame, new_members: DataFrame, old: DataFrame, old_members: DataFrame) -> DataFrame:
+    """One-to-one matches of new clusters with old ones that have ground truth: new_id, old_id, strategy, score.
+
+    clusters: cluster_id, category, canonical_name, wikidata_id, modern_name, total_mentions; old ones also has_truth.
+    members: cluster_id, book_id, entity_id, names (name and variants). A new cluster proposes by the first strategy that
+    finds an old cluster of its category: the same wikidata_id; shared members (3 a shared entity, 1 a shared name in
+    one book; 3 points, two names, or a name with an entity or with its own name among the old aliases will do); most
+    aliases that are the old one's modern name; most shared aliases, two at least. Ties go to more mentions, then to the
+    smaller id. Of the proposals to one old cluster the best strategy, score and number of mentions wins.
+    """
+    norm = lambda c: F.filter(F.array_distinct(F.transform(c, name_text)), lambda n: n.isNotNull() & (n != ""))
+
+    def named(clusters: DataFrame, members: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+        """Members with their category and normalised names; distinct aliases of each cluster."""
+        kind = clusters.select(F.col("cluster_id").alias(id), "category")
+        rows = members.select(F.col("cluster_id").alias(id), "book_id", "entity_id", norm(F.col("names")).alias("names")).join(kind, id)
+        own = clusters.select(F.col("cluster_id").alias(id), "category", F.explode(norm(F.array("canonical_name", "modern_name"))).alias("alias"))
+        return rows, own.unionByName(rows.select(id, "category", F.explode("names").alias("alias"))).distinct()
+
+    def best(pairs: DataFrame, *order: Column) -> DataFrame:
+        ranked = pairs.join(old.select(F.col("cluster_id").alias("old_id"), F.col("total_mentions").alias("__m")), "old_id")
+        w = Window.partitionBy("new_id").orderBy(*order, F.desc("__m"), "old_id")
+        return ranked.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__m")
+
+    mine, my_aliases = named(new, new_members, "new_id")
+    theirs, old_aliases = named(old, old_members, "old_id")
+    known = lambda df, id: df.select(F.col("cluster_id").alias(id), "category", F.trim("wikidata_id").alias("wd")).where("wd <> ''")
+    same_id = known(new, "new_id").join(known(old.where("has_truth"), "old_id"), ["wd", "category"])
+    first = best(same_id.select("new_id", "old_id")).select("new_id", "old_id", F.lit(1000.0).alias("score"))
+
+    ids = mine.where("book_id is not null and entity_id is not null").select("new_id", "book_id", "entity_id", "category")
+    ids = ids.join(theirs.select("old_id", "book_id", "entity_id", "category"), ["book_id", "entity_id", "category"])
+    name = lambda df, id: df.select(id, "book_id", "category", F.explode("names").alias("n"))
+    names = name(mine, "new_id").join(name(theirs, "old_id"), ["book_id", "category", "n"])
+    points = ids.select("new_id", "old_id", F.lit(1).alias("i"), F.lit(0).alias("n")).unionByName(names.select("new_id", "old_id", F.lit(0).alias("i"), F.lit(1).alias("n")))
+    points = points.groupBy("new_id", "old_id").agg(F.sum("i").alias("i"), F.sum("n").alias("n")).withColumn("w", 3 * F.col("i") + F.col("n"))
+    top = best(points, F.desc("w"), F.desc("n"), F.desc("i"))
+    both = top.join(my_aliases.select("new_id", "alias"), "new_id").join(old_aliases.select("old_id", "alias"), ["old_id", "alias"])
+    shared = both.groupBy("new_id").agg(F.count("*").alias("k"))
+    called = new.select(F.col("cluster_id").alias("new_id"), name_text(F.col("canonical_name")).alias("alias"))
+    by_name = top.join(called, "new_id").join(old_aliases.select("old_id", "alias"), ["old_id", "alias"], "left_semi").select("new_id", F.lit(True).alias("called"))
+    top = top.join(shared, "new_id", "left").join(by_name, "new_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    enough = (F.col("w") >= 3) | (F.col("n") >= 2) | ((F.col("n") >= 1) & (F.col("i") >= 1)) | ((F.col("n") == 1) & (F.col("k") >= 1) & F.coalesce("called", F.lit(False)))
+    second = top.where(enough).select("new_id", "old_id", (F.col("w") + 0.1 * F.col("k")).alias("score"))
+
+    modern = old.select(F.col("cluster_id").alias("old_id"), "category", name_text(F.col("modern_name")).alias("alias")).where("alias <> ''")
+    hits = my_aliases.join(modern, ["alias", "category"]).groupBy("new_id", "old_id").agg(F.count("*").alias("k"))
+    third = best(hits, F.desc("k")).select("new_id", "old_id", (50.0 + F.col("k")).alias("score"))
+    hits = my_aliases.join(old_aliases, ["alias", "category"]).groupBy("new_id", "old_id").agg(F.count("*").alias("k"))
+    fourth = best(hits, F.desc("k")).where("k >= 2").select("new_id", "old_id", (10.0 + F.col("k")).alias("score"))
+
+    # fixed values: the strategies by priority
+    strategies = ["wikidata", "member_overlap", "modern_name", "alias_match"]
+    proposed = None
+    for k, (strategy, found) in enumerate(zip(strategies, (first, second, third, fourth), strict=True)):
+        part = found.select("new_id", "old_id", F.lit(k).alias("at"), F.lit(strategy).alias("strategy"), F.round("score", 6).alias("score"))
+        proposed = part if proposed is None else proposed.unionByName(part)
+    proposed = proposed.withColumn("__rn", F.row_number().over(Window.partitionBy("new_id").orderBy("at"))).where("__rn = 1").drop("__rn")
+    proposed = proposed.join(old.where("has_truth").select(F.col("cluster_id").alias("old_id")), "old_id", "left_semi")
+    proposed = proposed.join(new.select(F.col("cluster_id").alias("new_id"), F.col("total_mentions").alias("__m")), "new_id")
+    w = Window.partitionBy("old_id").orderBy("at", F.desc("score"), F.desc("__m"), "new_id")
+    return proposed.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select("new_id", "old_id", "strategy", "score")
+
+
+def person_patterns(persons: DataFrame) -> DataFrame:
+    """person, count, pattern of persons that have a plain surname (person, name, aliases, variants, count).
+
+    Searched forms are the name, the aliases, the surname from four letters on, and capitalised variants from four; forms
+    of two letters are left out. Patterns match whole words in any case, the longest form first.
+    """
+    id = F.col("person")
+    usable = persons.where((F.length(id) >= 3) & id.rlike(r"^\p{L}+$"))
+    capital = F.filter(F.coalesce("variants", F.array().cast("array<string>")), lambda v: (F.length(v) > 3) & v.rlike(r"^\p{Lu}"))
+    forms = F.array_union(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.array_union(F.when(F.length(id) >= 4, F.array(id, F.initcap(id))).otherwise(F.array().cast("array<string>")), capital))
+    forms = F.filter(forms, lambda f: F.length(f) > 2)
+    escaped = F.transform(F.reverse(F.array_sort(F.transform(forms, lambda f: F.struct(F.length(f).alias("n"), f.alias("f"))))), lambda s: F.regexp_replace(s["f"], r"([.*+?^${}()|\[\]\\])", r"\\$1"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join(escaped, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    return usable.where(F.size(forms) > 0).select("person", "count", pattern.alias("pattern"))
+
+
+def co_citations(excerpts: DataFrame, patterns: DataFrame, top_n: int = 60, samples: int = 3) -> DataFrame:
+    """Unordered pairs of persons of whom one is named in an excerpt of the other: source, target, weight, excerpts.
+
+    excerpts: person, pos, text. patterns: person, count, pattern, of which the top_n most frequent persons count, which
+    bounds what is broadcast. Weight is the number of such excerpts; of these the first few stay as samples, in the order
+    of the persons' rank and of pos.
     """
-    named = persons.select(F.col("person").alias("other"), "pattern")
-    hits = excerpts.join(F.broadcast(named), F.col("person") != F.col("other")).where(F.expr(f"{text} rlike pattern"))
-    pair = hits.select(F.least("person", "other").alias("source"), F.greatest("person", "other").alias("target"))
-    return pair.groupBy("source", "target").agg(F.count("*").alias("weight"))
+    top = patterns.orderBy(F.desc("count"), "person").limit(top_n)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "person")))  # top_n rows
+    mine = excerpts.where("text is not null").join(F.broadcast(top.select("person", "rank")), "person")
+    others = top.select(F.col("person").alias("other"), "pattern")
+    hits = mine.join(F.broadcast(others), (F.col("person") != F.col("other")) & F.expr("text rlike pattern"))
+    hits = hits.select(F.least("person", "other").alias("source"), F.greatest("person", "other").alias("target"), "rank", "pos", "text")
+    weight = hits.groupBy("source", "target").agg(F.count("*").alias("weight"))
+    first = hits.withColumn("k", F.row_number().over(Window.partitionBy("source", "target").orderBy("rank", "pos"))).where(F.col("k") <= samples)
+    shown = first.groupBy("source", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda s: s["text"]).alias("excerpts"))
+    return weight.join(shown, ["source", "target"])

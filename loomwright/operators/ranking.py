@@ -73,10 +73,11 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("total")).select("total", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("long").alias("total_pages"))
 
 
-def first_k(order: Column, value: Column, k: int) -> Column:
-    """An aggregate: the first k values of a group in an order."""
-    listed = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-    return F.slice(F.transform(listed, lambda s: s["v"]), 1, k)
+def first_k(df: DataFrame, by: list[str], order: list[Column], value: Column, k: int, name: str) -> DataFrame:
+    """A row a group with the first k values in an order. Only k rows of a group are ever gathered."""
+    first = top_per_group(df.withColumn("__value", value), by, order, k, "__rank")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("__rank").alias("r"), F.col("__value").alias("v"))))
+    return first.groupBy(*by).agg(F.transform(listed, lambda s: s["v"]).alias(name))
 
 
 def diverse_sample(df: DataFrame, by: str, key: Column, size: int) -> DataFrame:

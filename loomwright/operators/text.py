@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalise import page_text
+
 
 def chunk_text(text: str, size: int = 2500, overlap: int = 200, least: int = 200, collapse: bool = True, strip: bool = True) -> Iterator[tuple[int, int, str]]:
     """(number, start, chunk) of overlapping chunks that end at a paragraph, else at a sentence, in their second half."""
@@ -146,25 +148,105 @@ def mentions(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str =
     return docs.select(key, text).mapInPandas(find, f"{key} {kind}, offset int, term string, excerpt string")
 
 
-def tag_terms(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, n for each one-word term that occurs as a word: a lookup of words in a small dictionary."""
-    words = docs.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("term"))
-    return words.where(F.col("term").isin([t.lower() for t in terms])).groupBy(key, "term").agg(F.count("*").alias("n"))
+def _low(text: str) -> str:
+    """Lower case letter by letter, so that places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _word_char(c: str) -> bool:
+    return c == "_" or c.isascii() and c.isalnum()
+
+
+def find_terms(text: str, automaton, excluded: frozenset = frozenset()) -> list[tuple[int, str, object]]:
+    """(offset, term, value) of the dictionary's terms in a text, from left to right without overlaps, the longest first
+    at each place, each between word boundaries (of A-Z, a-z, 0-9 and _), whatever the case."""
+    low, found = _low(text), []
+    for last, (term, value) in automaton.iter(low):
+        start, end = last - len(term) + 1, last + 1
+        edge = lambda at: _word_char(low[at - 1 : at] or " ") != _word_char(low[at : at + 1] or " ")
+        if value not in excluded and edge(start) and edge(end):
+            found.append((start, -end, term, value))
+    out, past = [], 0
+    for start, end, term, value in sorted(found, key=lambda f: f[:2]):
+        if start >= past:
+            out.append((start, term, value))
+            past = -end
+    return out
+
+
+def tag_terms(
+    docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", exclude: str | None = None, max_terms: int = 500_000
+) -> DataFrame:
+    """key, offset, term, value for each tagged place; see find_terms().
+
+    terms: term, value (the cluster that the name stands for); the smallest value of equal terms counts. exclude: the
+    column of docs whose value must not be tagged in the row, such as the document's own cluster. The dictionary goes to
+    every task as an automaton, so it is bounded: more than max_terms are refused.
+    """
+    import ahocorasick
+
+    named = terms.where("term is not null and term <> ''").groupBy(F.col("term").alias("t")).agg(F.min("value").alias("v")).limit(max_terms + 1).collect()
+    if len(named) > max_terms:
+        raise ValueError(f"more than {max_terms} terms; raise max_terms if executors can hold them")
+    automaton = ahocorasick.Automaton()
+    for row in sorted(named, key=lambda r: (r["v"], r["t"]), reverse=True):
+        automaton.add_word(_low(row["t"]), (_low(row["t"]), row["v"]))
+    if named:
+        automaton.make_automaton()
+    sent = docs.sparkSession.sparkContext.broadcast(automaton)
+    kinds = docs.schema[key].dataType.simpleString(), terms.schema["value"].dataType.simpleString()
+    own = F.lit(None) if exclude is None else F.col(exclude)
+
+    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, t, x in zip(b["k"], b["t"], b["x"], strict=True):
+                if t is not None and len(sent.value):
+                    rows += [(k, *f) for f in find_terms(t, sent.value, frozenset() if pd.isna(x) else frozenset([x]))]
+            yield pd.DataFrame(rows, columns=[key, "offset", "term", "value"])
+
+    named_docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), own.cast(kinds[1]).alias("x"))
+    return named_docs.mapInPandas(tag, f"{key} {kinds[0]}, offset int, term string, value {kinds[1]}")
+
+
+def page_chunks(excerpt: Column) -> Column:
+    """What is looked for on the pages, by tier: six words from the middle (words 2 to 5 of a short excerpt, all of one
+    of fewer than four words), then the first five, then the last five. Null for excerpts under 15 characters."""
+    words, n = F.split(excerpt, " "), F.size(F.split(excerpt, " "))
+    middle = F.when(n >= 8, F.slice(words, F.floor(n / 2).cast("int") - 2, F.lit(6))).when(n >= 4, F.slice(words, 2, F.least(n - 1, F.lit(4)))).otherwise(words)
+    five = lambda at: F.when(n >= 5, F.array_join(F.slice(words, at, 5), " "))
+    tiers = F.array(F.array_join(middle, " "), five(1), five(-5))
+    return F.when(F.length(excerpt) >= 15, tiers)
 
 
-def containing_page(excerpts: DataFrame, pages: DataFrame, key: str, chunk: str) -> DataFrame:
-    """For each excerpt the smallest page whose text contains its chunk: key, page.
+def containing_page(excerpts: DataFrame, pages: DataFrame, key: str, text: str = "text", gram: int = 6) -> DataFrame:
+    """For each excerpt the first page that contains its chunk, by the first tier that finds one: key, tier, page.
 
-    Candidates share a word that is rare among the excerpts, so no page is compared with every excerpt.
+    pages: page, text, ordered by page; those of ten characters or fewer are blank. Both texts are normalised first.
+    Candidates come from equality joins on the pages' distinct words: a chunk's inner words stand whole on its page, so
+    the rarest is looked up; a chunk without one is looked up by the middle letters of its longest word, among the
+    letter runs of the vocabulary. Page texts are read once more, for the candidates alone.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    inner = F.slice(words(F.col(chunk)), 2, 100)  # the first and last word of a chunk may be cut
-    e = excerpts.select(key, chunk, F.explode(F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(1)))).alias("w"))
-    often = e.groupBy("w").agg(F.count("*").alias("n"))
-    rare = e.join(often, "w").withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("w")), "n", "w"))).where("rn = 1")
-    p = pages.select("page", F.col("text").alias("__text"), F.explode(words(F.col("text"))).alias("w"))
-    hits = rare.join(p, "w").where(F.col("__text").contains(F.col(chunk)))
-    return hits.groupBy(key).agg(F.min("page").alias("page"))
+    p = pages.select("page", page_text(F.col("text")).alias("__text")).where(F.length("__text") > 10)
+    asked = excerpts.select(key, F.posexplode(page_chunks(page_text(F.col(text)))).alias("tier", "chunk")).where("chunk is not null and chunk <> ''")
+    words = F.split("chunk", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = asked.withColumn("inner", inner).withColumn("piece", F.when(F.size(inner) == 0, F.substring(longest, 1, gram)))
+    on_page = p.select("page", F.explode(F.array_distinct(F.split("__text", " "))).alias("w"))
+    often = on_page.groupBy("w").agg(F.count("*").alias("n"))
+    # every inner word must be known; the one on the fewest pages names the candidates
+    looked = asked.where(F.size("inner") > 0).select(key, "tier", "chunk", F.explode("inner").alias("w"))
+    rare = looked.join(often, "w", "left").groupBy(key, "tier", "chunk").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("r"))
+    whole = rare.where("r.n > 0").select(key, "tier", "chunk", F.col("r.w").alias("w"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - gram + 1, F.lit(1))), lambda i: F.substring(F.col("w"), i, F.lit(gram)))
+    runs = often.where(F.length("w") >= gram).select("w", F.explode(F.array_distinct(grams)).alias("piece"))
+    short = asked.where(F.size("inner") == 0).select(key, "tier", "chunk", "piece").join(runs, "piece").select(key, "tier", "chunk", "w")
+    at = whole.unionByName(short).join(on_page, "w").select(key, "tier", "chunk", "page").distinct()
+    hits = at.join(p, "page").where(F.col("__text").contains(F.col("chunk")))
+    best = hits.groupBy(key).agg(F.min(F.struct("tier", "page")).alias("b"))
+    return best.select(key, (F.col("b.tier") + 1).alias("tier"), F.col("b.page").alias("page"))
 
 
 def tokens(c: Column, stop: list[str] = ()) -> Column:

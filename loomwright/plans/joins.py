@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import char_jaccard, cosine
+from ..functions.similarity import char_jaccard
 from ..operators import joins as ops
+from ..operators.neighbours import all_cosines, nearest, nearest_queries
 from .filters import _SIM
 from .views import Views, query
 
@@ -44,41 +45,40 @@ def j02(v: Views) -> DataFrame:
 
 
 _KNN = f"""
-, s AS (SELECT vec_id AS id, embedding AS e, label FROM embeddings WHERE vec_id % 2 = 0), t AS (SELECT vec_id AS nbr, embedding AS e, label FROM embeddings WHERE vec_id % 2 = 1)
-, knn AS (SELECT id, nbr, s.label AS la, t.label AS lb, round({_DOT.format(a='s.e', b='t.e')}, 4) AS sim FROM s, t)
+, s AS (SELECT vec_id AS id, embedding AS e, label FROM embeddings WHERE vec_id % 50 = 0), t AS (SELECT vec_id AS nbr, embedding AS e, label FROM embeddings)
+, knn AS (SELECT id, nbr, s.label AS la, t.label AS lb, round({_DOT.format(a='s.e', b='t.e')}, 4) AS sim FROM s JOIN t ON id <> nbr)
 , top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr) AS rank FROM knn QUALIFY rank <= 10)
 """
 
 
-def _halves(v: Views) -> tuple[DataFrame, DataFrame]:
+def asked_and_rows(v: Views) -> tuple[DataFrame, DataFrame]:
+    """The stated query set, every vector whose id is divisible by 50, and all vectors."""
     e = v.embeddings
-    even = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return even, e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("nbr"), "embedding", F.col("label").alias("nbr_label"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return asked, e.select(F.col("vec_id").alias("nbr"), "embedding", F.col("label").alias("nbr_label"))
 
 
-def _top10(v: Views) -> DataFrame:
-    even, odd = _halves(v)
-    return ops.nearest(even, odd, "id", "nbr", "embedding", 10)
+def top_neighbours(v: Views, k: int) -> DataFrame:
+    return nearest(*asked_and_rows(v), "id", "nbr", "embedding", k)
 
 
 @query("j03_knn_post_filter", _KNN + "SELECT id, nbr, sim, CAST(rank AS INTEGER) AS rank FROM top WHERE la = lb")
 def j03(v: Views) -> DataFrame:
-    even, odd = _halves(v)
-    named = _top10(v).join(even.select("id", "label"), "id").join(odd.select("nbr", "nbr_label"), "nbr")
+    asked, rows = asked_and_rows(v)
+    named = top_neighbours(v, 10).join(asked.select("id", "label"), "id").join(rows.select("nbr", "nbr_label"), "nbr")
     return named.where("label = nbr_label").select("id", "nbr", "sim", "rank")
 
 
 _BOTH = (
     _KNN
     + ", back AS (SELECT *, row_number() OVER (PARTITION BY nbr ORDER BY sim DESC, id) AS r2 FROM knn QUALIFY r2 <= 10)"
-    ", both_ways AS (SELECT id, nbr, max(sim) AS sim FROM (SELECT id, nbr, sim FROM top UNION ALL SELECT id, nbr, sim FROM back) GROUP BY 1, 2)"
+    ", both_ways AS (SELECT id, nbr, sim FROM (SELECT id, nbr, sim FROM top UNION ALL SELECT id, nbr, sim FROM back) QUALIFY row_number() OVER (PARTITION BY least(id, nbr), greatest(id, nbr) ORDER BY sim DESC, id, nbr) = 1)"
 )
 
 
 def _both_ways(v: Views) -> DataFrame:
-    even, odd = _halves(v)
-    back = ops.nearest(odd.drop("nbr_label"), even.drop("label"), "nbr", "id", "embedding", 10).select("id", "nbr", "sim")
-    union = _top10(v).select("id", "nbr", "sim").unionByName(back)
+    back = nearest_queries(*asked_and_rows(v), "id", "nbr", "embedding", 10).select("id", "nbr", "sim")
+    union = top_neighbours(v, 10).select("id", "nbr", "sim").unionByName(back)
     return ops.best_unordered(union, "id", "nbr", "sim")
 
 
@@ -172,77 +172,177 @@ def j12(v: Views) -> DataFrame:
     return old.join(new, ["k", "category"]).select("id", "nid")
 
 
-@query(
-    "j13_member_overlap",
-    ", w AS (SELECT a.cluster_id AS new_id, b.cluster_id AS old_id, 3 * count(*) AS score FROM (SELECT DISTINCT cluster_id, subcategory FROM member) a JOIN (SELECT DISTINCT cluster_id, subcategory FROM member) b ON a.subcategory = b.subcategory AND a.cluster_id < b.cluster_id WHERE a.cluster_id < 40 AND b.cluster_id < 80 GROUP BY 1, 2) SELECT new_id, old_id, score FROM w WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY score DESC, old_id) = 1",
-)
+_SNAPSHOTS = """
+, nc AS (SELECT cluster_id AS id, category, canonical_name AS name, CASE WHEN cluster_id % 5 = 0 THEN 'Q' || (cluster_id % 30) END AS wd, CASE WHEN cluster_id % 3 = 0 THEN split_part(canonical_name, ' ', 2) END AS modern, total_mentions AS m FROM stats)
+, nm AS (SELECT cluster_id AS id, category, book_id, entity_id, [name, split_part(name, ' ', 2)] AS names FROM member)
+, oc AS (SELECT min(id) AS id, category, subcategory, min(name) AS name, CASE WHEN min(id) % 4 = 0 THEN 'Q' || (min(id) % 30) END AS wd, CASE WHEN min(id) % 2 = 0 THEN max(name) END AS modern, min(id) % 3 <> 1 AS truth, CAST(sum(cnt) AS BIGINT) AS m FROM entity GROUP BY category, subcategory)
+, om AS (SELECT o.id, e.category, a.book_id + CASE WHEN a.entity_id % 3 = 0 AND length(e.category) % 2 = 0 THEN 0 ELSE 1000000 END AS book_id, a.entity_id, [e.name, split_part(e.name, ' ', 1)] AS names FROM entity e JOIN oc o ON e.category = o.category AND e.subcategory = o.subcategory JOIN att a ON a.entity_id = e.id WHERE e.id % 7 <> 0)
+"""
+_ALIASES = """
+, {c}n AS (SELECT DISTINCT id, category, book_id, entity_id, trim(regexp_replace(lower(unnest(names)), '[^a-z0-9]+', ' ', 'g')) AS n FROM {c}m)
+, {c}a AS (SELECT id, category, n AS alias FROM {c}n WHERE n <> '' UNION SELECT id, category, lower(name) FROM {c}c UNION SELECT id, category, lower(modern) FROM {c}c WHERE modern IS NOT NULL)
+"""
+_MIGRATION = (
+    _SNAPSHOTS
+    + _ALIASES.format(c="n")
+    + _ALIASES.format(c="o")
+    + """
+, s1 AS (SELECT n.id AS new_id, o.id AS old_id, 1000.0 AS score FROM nc n JOIN oc o ON n.wd = o.wd AND n.category = o.category AND o.truth QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY o.m DESC, o.id) = 1)
+, pts AS (SELECT n.id AS new_id, o.id AS old_id, 1 AS i, 0 AS k FROM nm n JOIN om o ON n.book_id = o.book_id AND n.entity_id = o.entity_id AND n.category = o.category
+  UNION ALL SELECT n.id, o.id, 0, 1 FROM nn n JOIN xn o ON n.book_id = o.book_id AND n.n = o.n AND n.category = o.category WHERE n.n <> '')
+, w AS (SELECT new_id, old_id, sum(i) AS i, sum(k) AS k, 3 * sum(i) + sum(k) AS w FROM pts GROUP BY 1, 2)
+, t2 AS (SELECT w.* FROM w JOIN oc o ON o.id = old_id QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY w DESC, k DESC, i DESC, o.m DESC, old_id) = 1)
+, sh AS (SELECT t2.new_id, count(*) AS x FROM t2 JOIN na a ON a.id = new_id JOIN xa b ON b.id = old_id AND a.alias = b.alias GROUP BY 1)
+, cl AS (SELECT t2.new_id FROM t2 JOIN nc n ON n.id = new_id WHERE EXISTS (SELECT 1 FROM xa b WHERE b.id = old_id AND b.alias = lower(n.name)))
+, s2 AS (SELECT t2.new_id, old_id, w + 0.1 * coalesce(x, 0) AS score FROM t2 LEFT JOIN sh ON sh.new_id = t2.new_id
+  WHERE w >= 3 OR k >= 2 OR (k >= 1 AND i >= 1) OR (k = 1 AND coalesce(x, 0) >= 1 AND t2.new_id IN (SELECT new_id FROM cl)))
+, s3 AS (SELECT new_id, old_id, 50.0 + c AS score FROM (SELECT a.id AS new_id, o.id AS old_id, count(*) AS c, any_value(o.m) AS m FROM na a JOIN oc o ON a.alias = lower(o.modern) AND a.category = o.category GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY c DESC, m DESC, old_id) = 1)
+, s4 AS (SELECT new_id, old_id, 10.0 + c AS score FROM (SELECT a.id AS new_id, b.id AS old_id, count(*) AS c FROM na a JOIN xa b ON a.alias = b.alias AND a.category = b.category GROUP BY 1, 2) JOIN oc o ON o.id = old_id
+  QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY c DESC, o.m DESC, old_id) = 1 AND c >= 2)
+, prop AS (SELECT * FROM (SELECT 0 AS pri, 'wikidata' AS strategy, * FROM s1 UNION ALL SELECT 1, 'member_overlap', * FROM s2 UNION ALL SELECT 2, 'modern_name', * FROM s3 UNION ALL SELECT 3, 'alias_match', * FROM s4) QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY pri) = 1)
+SELECT p.new_id, p.old_id, p.strategy, CAST(round(p.score, 6) AS DOUBLE) AS score FROM prop p JOIN oc o ON o.id = p.old_id AND o.truth JOIN nc n ON n.id = p.new_id
+QUALIFY row_number() OVER (PARTITION BY p.old_id ORDER BY p.pri, round(p.score, 6) DESC, n.m DESC, p.new_id) = 1
+"""
+).replace(", on AS", ", xn AS").replace("FROM on WHERE", "FROM xn WHERE").replace(", oa AS", ", xa AS")
+
+
+def _snapshots(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """New and old clusters with their members; the old ones group the entities otherwise, and partly in other books."""
+    word = lambda c, k: F.split(c, " ")[k]
+    id = F.col("cluster_id")
+    wd = lambda k: F.when(id % k == 0, F.concat(F.lit("Q"), (id % 30).cast("string")))
+    new = v.stats.select(
+        id, "category", "canonical_name", wd(5).alias("wikidata_id"), F.when(id % 3 == 0, word("canonical_name", 1)).alias("modern_name"), "total_mentions"
+    )
+    new_members = v.member.select(id, "book_id", "entity_id", F.array("name", word("name", 1)).alias("names"))
+    g = v.entity.groupBy("category", "subcategory").agg(F.min("id").alias("cluster_id"), F.min("name").alias("canonical_name"), F.max("name").alias("last"), F.sum("cnt").cast("long").alias("total_mentions"))
+    old = g.select(id, "category", "canonical_name", wd(4).alias("wikidata_id"), F.when(id % 2 == 0, F.col("last")).alias("modern_name"), "total_mentions", (id % 3 != 1).alias("has_truth"))
+    of = v.entity.where("id % 7 <> 0").join(g.select("category", "subcategory", "cluster_id"), ["category", "subcategory"])
+    a = v.att.select("book_id", F.col("entity_id"))
+    book = F.col("book_id") + F.when((F.col("entity_id") % 3 == 0) & (F.length("category") % 2 == 0), 0).otherwise(1_000_000)
+    old_members = of.join(a, F.col("id") == F.col("entity_id")).select(id, book.alias("book_id"), "entity_id", F.array("name", word("name", 0)).alias("names"))
+    return new, new_members, old, old_members
+
+
+@query("j13_migration", _MIGRATION)
 def j13(v: Views) -> DataFrame:
-    m = v.member.select("cluster_id", "subcategory").distinct()
-    a = m.where("cluster_id < 40").select(F.col("cluster_id").alias("new_id"), "subcategory")
-    b = m.where("cluster_id < 80").select(F.col("cluster_id").alias("old_id"), F.col("subcategory").alias("s"))
-    w = a.join(b, (F.col("subcategory") == F.col("s")) & (F.col("new_id") < F.col("old_id"))).groupBy("new_id", "old_id").agg((3 * F.count("*")).alias("score"))
-    order = Window.partitionBy("new_id").orderBy(F.desc("score"), "old_id")
-    return w.where("score >= 3").withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    return ops.migration_matches(*_snapshots(v))
 
 
-@query(
-    "j14_name_index",
-    ", ix AS (SELECT name AS k, min(cluster_id) AS v FROM (SELECT canonical_name AS name, cluster_id FROM cluster) GROUP BY 1), f AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '.,' ELSE replace(p_name, 'l', '1') END AS found FROM part) SELECT f.id, coalesce(a.v, b.v, c.v) AS v, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN c.v IS NOT NULL THEN 3 END AS tier FROM f LEFT JOIN ix a ON lower(found) = a.k LEFT JOIN ix b ON regexp_replace(lower(found), '[.,;:]+$', '') = b.k LEFT JOIN ix c ON replace(lower(found), '1', 'l') = c.k",
-)
+_FOUND = """
+, ix AS (SELECT DISTINCT lower(canonical_name) AS k, cluster_id AS v FROM cluster UNION SELECT DISTINCT lower(subcategory), cluster_id FROM member)
+, f AS (SELECT p_partkey AS id, lower(trim(CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '.,' WHEN 2 THEN replace(p_name, 's', 'ſ') WHEN 3 THEN replace(p_name, 'f', 'ƒ') WHEN 4 THEN ' ' || p_brand || '!' ELSE replace(replace(p_name, 's', 'ſ'), 'f', 'ƒ') END)) AS key FROM part)
+, t AS (SELECT id, 1 AS tier, key AS form FROM f UNION ALL SELECT id, 2, regexp_replace(key, '[.,;:!?''"]+$', '') FROM f UNION ALL SELECT id, 3, replace(key, 'ſ', 's') FROM f UNION ALL SELECT id, 4, replace(key, 'ƒ', 'f') FROM f UNION ALL SELECT id, 5, replace(key, 'ﬁ', 'fi') FROM f UNION ALL SELECT id, 6, replace(key, 'ﬂ', 'fl') FROM f)
+, ks AS (SELECT k, list(v ORDER BY v) AS vs FROM ix GROUP BY 1)
+, hit AS (SELECT id, min(tier) AS tier FROM t JOIN ks ON form = k GROUP BY 1)
+SELECT f.id, hit.tier, array_to_string(ks.vs, ',') AS clusters FROM f LEFT JOIN hit ON f.id = hit.id LEFT JOIN t ON t.id = f.id AND t.tier = hit.tier LEFT JOIN ks ON ks.k = t.form
+"""
+
+
+@query("j14_name_index", _FOUND)
 def j14(v: Views) -> DataFrame:
-    ix = v.cluster.groupBy(F.col("canonical_name").alias("k")).agg(F.min("cluster_id").alias("v"))
-    kind = F.col("p_partkey") % 3
-    found = F.when(kind == 0, F.upper("p_name")).when(kind == 1, F.concat("p_name", F.lit(".,"))).otherwise(F.replace("p_name", F.lit("l"), F.lit("1")))
-    f = v.part.select(F.col("p_partkey").alias("id"), F.lower(found).alias("found"))
-    c = F.col("found")
-    tiers = [c, F.regexp_replace(c, "[.,;:]+$", ""), F.replace(c, F.lit("1"), F.lit("l"))]
-    return ops.tiered_lookup(f, ix, tiers, "k", "v").select("id", "v", "tier")
+    names = v.cluster.select(F.lower("canonical_name").alias("k"), F.col("cluster_id").alias("v"))
+    names = names.unionByName(v.member.select(F.lower("subcategory").alias("k"), F.col("cluster_id").alias("v"))).distinct()
+    ix = names.groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    kind, old = F.col("p_partkey") % 6, lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    found = F.when(kind == 0, F.upper("p_name")).when(kind == 1, F.concat("p_name", F.lit(".,"))).when(kind == 2, old(F.col("p_name"), "s", "ſ"))
+    found = found.when(kind == 3, old(F.col("p_name"), "f", "ƒ")).when(kind == 4, F.concat(F.lit(" "), "p_brand", F.lit("!"))).otherwise(old(old(F.col("p_name"), "s", "ſ"), "f", "ƒ"))
+    f = v.part.select(F.col("p_partkey").alias("id"), found.alias("found"))
+    return ops.tiered_lookup(f, ix, ops.name_tiers(F.col("found")), "k", "v").select("id", "tier", F.array_join("v", ",").alias("clusters"))
 
 
-@query("j15_unambiguous_names", "SELECT name FROM (SELECT p_name AS name, p_type FROM part WHERE p_partkey < 120) WHERE length(name) >= 4 GROUP BY name HAVING count(DISTINCT p_type) = 1")
+@query(
+    "j15_unambiguous_names",
+    "SELECT name FROM (SELECT canonical_name AS name, cluster_id FROM cluster UNION ALL SELECT canonical_name || ' ' || subcategory, cluster_id FROM member) WHERE length(name) >= 4 GROUP BY name HAVING count(DISTINCT cluster_id) = 1",
+)
 def j15(v: Views) -> DataFrame:
-    g = v.part.where("p_partkey < 120 and length(p_name) >= 4").groupBy(F.col("p_name").alias("name"))
-    return g.agg(F.countDistinct("p_type").alias("n")).where("n = 1").select("name")
+    long = v.member.select(F.concat_ws(" ", "canonical_name", "subcategory").alias("name"), "cluster_id")
+    g = v.cluster.select(F.col("canonical_name").alias("name"), "cluster_id").unionByName(long).where("length(name) >= 4").groupBy("name")
+    # the smallest and the largest suffice: no list of a name's clusters
+    return g.agg(F.min("cluster_id").alias("lo"), F.max("cluster_id").alias("hi")).where("lo = hi").select("name")
+
+
+#: Names of several words and parts of names, with the cluster that each stands for.
+_TERMS = [("the", 0), ("that", 1), ("une", 2), ("der", 3), ("para", 4), ("the and", 5), ("en la", 0), ("und der", 1), ("de", 2), ("de la", 3), ("la que", 4), ("of the", 5), ("and the", 0), ("der und", 2)]
 
 
 @query(
     "j16_dictionary_tagging",
-    r", dict AS (SELECT * FROM (VALUES ('the'), ('that'), ('une'), ('der'), ('para')) t(term)), w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS w FROM documents) SELECT doc_id, w AS term, count(*) AS n FROM w JOIN dict ON w = term GROUP BY 1, 2",
+    f", dict(term, c) AS (VALUES {', '.join(map(str, _TERMS))})"
+    r", pats AS (SELECT o.c AS own, '(?i)\b(' || string_agg(d.term, '|' ORDER BY length(d.term) DESC, d.term) || ')\b' AS p FROM (SELECT DISTINCT c FROM dict) o JOIN dict d ON d.c <> o.c GROUP BY 1)"
+    ", hits AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, p))) AS term FROM documents JOIN pats ON own = doc_id % 6)"
+    " SELECT doc_id, hits.term, c AS cluster, count(*) AS n FROM hits JOIN dict ON hits.term = dict.term GROUP BY 1, 2, 3",
 )
 def j16(v: Views) -> DataFrame:
     from ..operators.text import tag_terms
 
-    return tag_terms(v.documents.select("doc_id", "text"), ["the", "that", "une", "der", "para"])
+    docs = v.documents.select("doc_id", "text", (F.col("doc_id") % 6).cast("int").alias("own"))
+    tagged = tag_terms(docs, v.spark.createDataFrame(_TERMS, "term string, value int"), exclude="own")
+    return tagged.groupBy("doc_id", "term", F.col("value").alias("cluster")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "j17_co_citation",
-    ", top AS (SELECT w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE length(w) >= 4 GROUP BY w ORDER BY count(*) DESC, w LIMIT 20), ex AS (SELECT DISTINCT item_id, w AS person, lower(text) AS t FROM benchmark, top WHERE contains(lower(text), w)) SELECT least(person, o.w) AS source, greatest(person, o.w) AS target, count(*) AS weight FROM ex, top o WHERE person <> o.w AND contains(t, o.w) GROUP BY 1, 2",
-)
+_CITED = r"""
+, words AS (SELECT w AS person, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS w FROM benchmark) WHERE length(w) >= 3 GROUP BY 1)
+, top AS (SELECT person, row_number() OVER (ORDER BY n DESC, person) AS r, '(?i)(^|[^\p{L}\p{N}_])(' || person || ')($|[^\p{L}\p{N}_])' AS p FROM words ORDER BY n DESC, person LIMIT 60)
+, ex AS (SELECT person, r, item_id, text FROM benchmark JOIN top ON regexp_matches(text, p))
+, hits AS (SELECT least(ex.person, o.person) AS source, greatest(ex.person, o.person) AS target, ex.r, item_id FROM ex JOIN top o ON ex.person <> o.person AND regexp_matches(text, o.p))
+SELECT source, target, count(*) AS weight, array_to_string(list(item_id ORDER BY r, item_id)[1:3], ',') AS samples FROM hits GROUP BY 1, 2
+"""
+
+
+@query("j17_co_citation", _CITED)
 def j17(v: Views) -> DataFrame:
-    words = v.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("w")).where("length(w) >= 4")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(20)
-    persons = top.select(F.col("w").alias("person"), F.regexp_replace("w", r"([.,])", r"\\$1").alias("pattern"))
-    texts = v.benchmark.select(F.lower("text").alias("text"))
-    ex = texts.join(F.broadcast(persons), F.col("text").contains(F.col("person")) | F.expr("text rlike pattern")).select("person", "text")
-    return ops.co_citations(ex, persons)
+    words = v.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("person")).where("length(person) >= 3")
+    persons = words.groupBy("person").count().withColumn("name", F.col("person")).withColumn("aliases", F.array(F.initcap("person")))
+    patterns = ops.person_patterns(persons.withColumn("variants", F.lit(None).cast("array<string>")))
+    named = patterns.orderBy(F.desc("count"), "person").limit(60).select("person", "pattern")
+    # the excerpts of a person are the items that name it; the sample shown is the item's number
+    ex = v.benchmark.join(F.broadcast(named), F.expr("text rlike pattern")).select("person", F.col("item_id").alias("pos"), "text")
+    numbered = v.benchmark.groupBy("text").agg(F.min("item_id").alias("no"))
+    edges = ops.co_citations(ex, patterns)
+    shown = edges.select("source", "target", "weight", F.posexplode("excerpts").alias("k", "text")).join(numbered, "text")
+    samples = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "no"))), lambda s: s["no"].cast("string")), ",")
+    return shown.groupBy("source", "target", "weight").agg(samples.alias("samples"))
+
+
+_FOLD = "trim(regexp_replace(strip_accents(replace(replace(replace(lower({}), 'ſ', 's'), 'ﬁ', 'fi'), 'ﬂ', 'fl')), '\\s+', ' ', 'g'))"
+_EXCERPTS = """
+, w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
+, ask AS (SELECT 10 * item_id AS id, text FROM benchmark UNION ALL SELECT 10 * item_id + 1, array_to_string(w[1:5], ' ') || ' zz zz zz zz zz zz zz' FROM w
+  UNION ALL SELECT 10 * item_id + 2, 'zz zz zz zz zz zz zz ' || array_to_string(w[-5:], ' ') FROM w UNION ALL SELECT 10 * item_id + 3, array_to_string(w[3:8], ' ') FROM w
+  UNION ALL SELECT 10 * item_id + 4, array_to_string(w[4:5], ' ') FROM w UNION ALL SELECT 10 * item_id + 5, array_to_string(w[6:8], ' ') FROM w)
+"""
+
+
+def _excerpts(v: Views) -> DataFrame:
+    """Whole items, items of which only one end stands on a page, and short ones."""
+    w, zz = F.split("text", " "), "zz zz zz zz zz zz zz"
+    part = lambda at, n: F.array_join(F.slice(w, at, n), " ")
+    kinds = [F.col("text"), F.concat(part(1, 5), F.lit(" " + zz)), F.concat(F.lit(zz + " "), part(-5, 5)), part(3, 6), part(4, 2), part(6, 3)]
+    return v.benchmark.select("item_id", F.posexplode(F.array(*kinds)).alias("k", "text")).select((10 * F.col("item_id") + F.col("k")).alias("id"), "text")
 
 
 @query(
     "j18_excerpt_page",
-    ", b AS (SELECT item_id, array_to_string(string_split(text, ' ')[3:8], ' ') AS chunk FROM benchmark) SELECT item_id, min(doc_id) AS page FROM b JOIN documents ON contains(text, chunk) GROUP BY 1",
+    _EXCERPTS
+    + f", a AS (SELECT id, {_FOLD.format('text')} AS t, string_split({_FOLD.format('text')}, ' ') AS w FROM ask), p AS (SELECT doc_id, {_FOLD.format('text')} AS t FROM documents)"
+    + """
+, chunk AS (SELECT id, 1 AS tier, array_to_string(CASE WHEN len(w) >= 8 THEN w[len(w) // 2 - 2 : len(w) // 2 + 3] WHEN len(w) >= 4 THEN w[2 : least(5, len(w))] ELSE w END, ' ') AS c FROM a WHERE length(t) >= 15
+  UNION ALL SELECT id, 2, array_to_string(w[1:5], ' ') FROM a WHERE length(t) >= 15 AND len(w) >= 5 UNION ALL SELECT id, 3, array_to_string(w[-5:], ' ') FROM a WHERE length(t) >= 15 AND len(w) >= 5)
+, hit AS (SELECT id, tier, min(doc_id) AS page FROM chunk JOIN p ON length(t) > 10 AND contains(t, c) GROUP BY 1, 2)
+SELECT id, CAST(tier AS INTEGER) AS tier, page FROM hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier) = 1
+""",
 )
 def j18(v: Views) -> DataFrame:
     from ..operators.text import containing_page
 
-    chunk = F.array_join(F.slice(F.split("text", " "), 3, 6), " ")
-    excerpts = v.benchmark.select("item_id", chunk.alias("chunk"))
-    return containing_page(excerpts, v.documents.select(F.col("doc_id").alias("page"), "text"), "item_id", "chunk")
+    return containing_page(_excerpts(v), v.documents.select(F.col("doc_id").alias("page"), "text"), "id")
 
 
-@query("j19_leaf_page", "SELECT a.entity_id, a.book_id, b.year AS printed FROM att a LEFT JOIN book b ON a.book_id = b.book_id AND b.book_id < 50")
+@query("j19_leaf_page", "SELECT a.entity_id, a.book_id, b.year AS printed FROM att a LEFT JOIN book b ON a.book_id = b.book_id")
 def j19(v: Views) -> DataFrame:
-    b = v.book.where("book_id < 50").select("book_id", F.col("year").alias("printed"))
+    b = v.book.select("book_id", F.col("year").alias("printed"))
     return v.att.select("entity_id", "book_id").join(b, "book_id", "left")
 
 
@@ -308,10 +408,10 @@ def j25(v: Views) -> DataFrame:
 
 @query(
     "j26_shared_books",
-    ", m AS (SELECT DISTINCT cluster_id, book_id, category FROM member WHERE book_id < 20) SELECT a.book_id AS book_a, b.book_id AS book_b, count(*) AS shared, count(*) FILTER (a.category = 'PROMO') AS promo FROM m a JOIN m b ON a.cluster_id = b.cluster_id AND a.book_id < b.book_id GROUP BY 1, 2",
+    ", m AS (SELECT DISTINCT cluster_id, book_id, category FROM member) SELECT a.book_id AS book_a, b.book_id AS book_b, count(*) AS shared, count(*) FILTER (a.category = 'PROMO') AS promo FROM m a JOIN m b ON a.cluster_id = b.cluster_id AND a.book_id < b.book_id GROUP BY 1, 2",
 )
 def j26(v: Views) -> DataFrame:
-    m = v.member.where("book_id < 20").select("cluster_id", "book_id", "category").distinct()
+    m = v.member.select("cluster_id", "book_id", "category").distinct()
     b = m.select(F.col("cluster_id").alias("c2"), F.col("book_id").alias("book_b"))
     j = m.join(b, (F.col("cluster_id") == F.col("c2")) & (F.col("book_id") < F.col("book_b")))
     return j.groupBy(F.col("book_id").alias("book_a"), "book_b").agg(F.count("*").alias("shared"), F.count_if(F.col("category") == "PROMO").alias("promo"))
@@ -391,13 +491,13 @@ def j33(v: Views) -> DataFrame:
 
 @query(
     "j34_full_cosine",
-    f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT.format(a='a.embedding', b='b.embedding')} / (sqrt({_DOT.format(a='a.embedding', b='a.embedding')}) * sqrt({_DOT.format(a='b.embedding', b='b.embedding')})), 5) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 10 = 0",
+    f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT.format(a='a.embedding', b='b.embedding')} / (sqrt({_DOT.format(a='a.embedding', b='a.embedding')}) * sqrt({_DOT.format(a='b.embedding', b='b.embedding')})), 5) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0",
 )
 def j34(v: Views) -> DataFrame:
     # a stated query set against all rows
-    a = v.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    a = v.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
     b = v.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 5).alias("sim"))
+    return all_cosines(a, b, "a", "b", "x", "y")
 
 
 @query(

@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as ops
 from ..operators.aggregates import dedupe_best
-from ..operators.joins import nearest
-from .joins import _DOT, _KNN, _top10
+from .joins import _DOT, _KNN, top_neighbours
 from .views import Views, query
 
 
 @query(
     "w01_top_k_neighbours",
-    f", k AS (SELECT a.vec_id AS id, b.vec_id AS nbr, round({_DOT.format(a='a.embedding', b='b.embedding')}, 4) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT id, nbr, sim, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr) AS INTEGER) AS rank FROM k QUALIFY rank <= 15",
+    f", k AS (SELECT a.vec_id AS id, b.vec_id AS nbr, round({_DOT.format(a='a.embedding', b='b.embedding')}, 4) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0) SELECT id, nbr, sim, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr) AS INTEGER) AS rank FROM k QUALIFY rank <= 15",
 )
 def w01(v: Views) -> DataFrame:
-    others = v.embeddings.select(F.col("vec_id").alias("nbr"), "embedding")
-    return nearest(v.embeddings.select(F.col("vec_id").alias("id"), "embedding"), others, "id", "nbr", "embedding", 15)
+    return top_neighbours(v, 15)
 
 
 @query(
@@ -91,7 +89,7 @@ def w12(v: Views) -> DataFrame:
 
 @query("w13_first_k", "SELECT category, array_to_string(list(name ORDER BY id)[1:5], ',') AS names FROM entity GROUP BY 1")
 def w13(v: Views) -> DataFrame:
-    return v.entity.groupBy("category").agg(F.array_join(ops.first_k(F.col("id"), F.col("name"), 5), ",").alias("names"))
+    return ops.first_k(v.entity, ["category"], [F.col("id")], F.col("name"), 5, "names").withColumn("names", F.array_join("names", ","))
 
 
 @query(
@@ -121,7 +119,7 @@ def w16(v: Views) -> DataFrame:
 @query("w17_related_clusters", _KNN + "SELECT id, nbr, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 8 AND nbr IN (SELECT vec_id FROM embeddings WHERE label <> 3)")
 def w17(v: Views) -> DataFrame:
     alive = v.embeddings.where("label <> 3").select(F.col("vec_id").alias("nbr"))
-    return _top10(v).where("rank <= 8").join(alive, "nbr", "left_semi").select("id", "nbr", "rank")
+    return top_neighbours(v, 8).join(alive, "nbr", "left_semi").select("id", "nbr", "rank")
 
 
 @query("l01_browse_order", "SELECT cluster_id FROM stats ORDER BY book_count DESC, total_mentions DESC, canonical_name, cluster_id LIMIT 60")

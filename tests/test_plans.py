@@ -9,8 +9,8 @@ import pytest
 from loomwright.plans import registry
 
 QUERIES = registry.queries()
-#: Queries whose nested loop is against rows of a stated bound: one row, a top list, or packed blocks.
-BOUNDED = {"a07", "a08", "a09", "a11", "a17", "a23", "g07", "j03", "j04", "j05", "j17", "j22", "j28", "j34", "l04", "r02", "r05", "r07", "w01", "w17"}
+#: Queries whose nested loop is against rows of a stated bound: one row or a top list.
+BOUNDED = {"a07", "a08", "a09", "a11", "a17", "a23", "j17", "j22", "j28", "l04", "r02", "r05", "r07"}
 
 
 def plan(spark, sf_dir, name):
@@ -38,7 +38,7 @@ def test_rank_filters_reach_the_window(spark, sf_dir, name):
     assert "WindowGroupLimit" in plan(spark, sf_dir, name)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n[0] in "fjw" and n.split("_")[0] not in BOUNDED and not n.startswith("j05")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n[0] in "fjw" and n.split("_")[0] not in BOUNDED))
 def test_no_join_without_keys(spark, sf_dir, name):
     text = plan(spark, sf_dir, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
