@@ -20,8 +20,11 @@ def stable_id(*parts: Column) -> Column:
 
 
 def percent_encoded(c: Column) -> Column:
-    """URL encoding with %20 for a space."""
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    """A part of a URL: all but letters, digits and - _ . ! ~ * ' ( ) encoded as UTF-8."""
+    c = F.url_encode(c)
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        c = F.replace(c, F.lit(code), F.lit(plain))
+    return c
 
 
 def resized(url: Column, width: int) -> Column:

@@ -11,12 +11,11 @@ from .filters import _NAMES2, _SIM, name_pairs
 from .joins import _DOT
 from .views import Views, query
 
-#: Text heads without letters that fold to several, which DuckDB's strip_accents leaves alone.
-_HEADS = ", h AS (SELECT doc_id, head FROM word WHERE NOT regexp_matches(head, '[ßØøÐðÞþÆæŒœſƒ]'))"
+_HEADS = ", h AS (SELECT doc_id, head FROM word)"
 
 
 def _heads(v: Views) -> DataFrame:
-    return v.word.where("not head rlike '[ßØøÐðÞþÆæŒœſƒ]'")
+    return v.word
 
 
 @query("n01_key_text", _HEADS + r"SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(head)), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS k FROM h")
@@ -24,13 +23,12 @@ def n01(v: Views) -> DataFrame:
     return _heads(v).select("doc_id", normalise.key_text(F.col("head")).alias("k"))
 
 
-_SLUG = r"regexp_replace(regexp_replace(lower(strip_accents(head)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_SLUG = r"regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(head), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("n02_slug", _HEADS + f"SELECT doc_id, coalesce(nullif({_SLUG}, ''), 'entity') AS k FROM h WHERE strip_accents(head) = regexp_replace(strip_accents(head), '[^\\x00-\\x7F]', '', 'g')")
+@query("n02_slug", _HEADS + f"SELECT doc_id, coalesce(nullif({_SLUG}, ''), 'entity') AS k FROM h")
 def n02(v: Views) -> DataFrame:
-    h = _heads(v).where(~normalise.fold_marks(F.col("head")).rlike(r"[^\x00-\x7F]"))
-    return h.select("doc_id", normalise.slug(F.col("head")).alias("k"))
+    return _heads(v).select("doc_id", normalise.slug(F.col("head")).alias("k"))
 
 
 @query("n03_plain_slug", "SELECT doc_id, regexp_replace(regexp_replace(lower(head), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS k FROM word")
@@ -158,10 +156,9 @@ def x09(v: Views) -> DataFrame:
     return v.conversations.select("conv_id", "turn", keys.keyword_relevance(F.col("text"), weights).alias("score"))
 
 
-@query("x10_builders", "SELECT page_id, regexp_replace(url || '/120px-x.jpg', '\\d+px-', '400px-', 'g') AS thumb, replace(replace(replace(url, ':', '%3A'), '/', '%2F'), ' ', '%20') AS enc FROM pages WHERE NOT regexp_matches(url, '[?=&_~#%+]')")
+@query("x10_builders", "SELECT page_id, regexp_replace(url || '/120px-x.jpg', '\\d+px-', '400px-', 'g') AS thumb, replace(replace(replace(replace(replace(url_encode(url), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS enc FROM pages")
 def x10(v: Views) -> DataFrame:
-    p = v.pages.where("not url rlike '[?=&_~#%+]'")
-    return p.select("page_id", keys.resized(F.concat("url", F.lit("/120px-x.jpg")), 400).alias("thumb"), keys.percent_encoded(F.col("url")).alias("enc"))
+    return v.pages.select("page_id", keys.resized(F.concat("url", F.lit("/120px-x.jpg")), 400).alias("thumb"), keys.percent_encoded(F.col("url")).alias("enc"))
 
 
 @query(

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import shared_root
 from ..sources import providers, readers, sinks
 from .views import Views, query
 
 
 def _path(v: Views, name: str) -> str:
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomwright")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(v.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     where = v.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(v.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
@@ -23,19 +21,20 @@ def _path(v: Views, name: str) -> str:
 
 def _books(v: Views) -> DataFrame:
     e = F.struct(F.col("id").cast("string").alias("id"), "name", "category", "subcategory", F.col("cnt").alias("count"))
-    g = v.entity.where("id < 200").groupBy((F.col("id") % 4).alias("b")).agg(F.array_sort(F.collect_list(e)).alias("entities"))
-    book = F.struct(F.concat(F.lit("b"), F.col("b").cast("string")).alias("id"), F.concat(F.lit("Book "), F.col("b").cast("string")).alias("title"), F.lit(0).alias("year"))
+    # a book is one document, whose entities stand in it as a list
+    g = v.entity.groupBy(F.concat_ws("/", "category", "subcategory").alias("b")).agg(F.array_sort(F.collect_list(e)).alias("entities"))
+    book = F.struct(F.col("b").alias("id"), F.concat(F.lit("Book "), F.col("b")).alias("title"), F.lit(0).alias("year"))
     return g.select(book.alias("book"), "entities")
 
 
-@query("s01_book_files", "SELECT 'b' || (id % 4) AS book_id, CAST(id AS VARCHAR) AS id, name, cnt AS n FROM entity WHERE id < 200")
+@query("s01_book_files", "SELECT category || '/' || subcategory AS book_id, CAST(id AS VARCHAR) AS id, name, cnt AS n FROM entity")
 def s01(v: Views) -> DataFrame:
     path = _path(v, "books")
     _books(v).write.option("maxRecordsPerFile", 1).json(path)
     return readers.book_files(v.spark, path + "/*.json").select("book_id", "id", "name", F.col("count").alias("n"))
 
 
-@query("s02_json_documents", "SELECT 'Book ' || b AS title FROM range(4) t(b)")
+@query("s02_json_documents", "SELECT DISTINCT 'Book ' || category || '/' || subcategory AS title FROM entity")
 def s02(v: Views) -> DataFrame:
     path = _path(v, "docs")
     _books(v).write.option("maxRecordsPerFile", 1).json(path)
@@ -58,10 +57,10 @@ def s04(v: Views) -> DataFrame:
     return readers.json_lines(v.spark, path, "conv_id long, turn long, role string")
 
 
-@query("s05_csv", "SELECT p_name AS term_a, p_brand AS notes FROM part WHERE p_partkey < 300")
+@query("s05_csv", "SELECT p_name AS term_a, p_brand AS notes FROM part")
 def s05(v: Views) -> DataFrame:
     path = _path(v, "pairs")
-    p = v.part.where("p_partkey < 300")
+    p = v.part
     sinks.csv(p.select(*(F.col("p_name" if c == "term_a" else "p_brand").alias(c) for c in readers.PAIR_COLUMNS)), path)
     return readers.pair_csv(v.spark, path).select("term_a", "notes")
 
@@ -82,10 +81,10 @@ def s07(v: Views) -> DataFrame:
     return readers.override_map(v.spark, path).withColumnRenamed("value", "val")
 
 
-@query("s08_cached_fetch", "SELECT url, page_id AS n FROM pages WHERE page_id < 50")
+@query("s08_cached_fetch", "SELECT url, page_id AS n FROM pages")
 def s08(v: Views) -> DataFrame:
     path = _path(v, "cache")
-    v.pages.where("page_id < 50").select("url", F.col("page_id").alias("n")).write.parquet(path)
+    v.pages.select("url", F.col("page_id").alias("n")).write.parquet(path)
     return v.spark.read.parquet(path)
 
 
@@ -116,10 +115,10 @@ def s12(v: Views) -> DataFrame:
     return readers.cached(v.entity).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("k01_nested_json", "SELECT m.cluster_id, CAST(count(*) AS INTEGER) AS members FROM member m WHERE m.cluster_id < 50 GROUP BY 1")
+@query("k01_nested_json", "SELECT m.cluster_id, CAST(count(*) AS INTEGER) AS members FROM member m GROUP BY 1")
 def k01(v: Views) -> DataFrame:
-    c = v.cluster.where("cluster_id < 50").select("cluster_id", "canonical_name")
-    m = v.member.where("cluster_id < 50").select("cluster_id", F.struct("book_id", "entity_id").alias("key"), "cnt")
+    c = v.cluster.select("cluster_id", "canonical_name")
+    m = v.member.select("cluster_id", F.struct("book_id", "entity_id").alias("key"), "cnt")
     j = sinks.nested_json(c, m, "cluster_id", "members", "key")
     return j.select("cluster_id", F.json_array_length(F.get_json_object("json", "$.members")).alias("members"))
 
@@ -139,15 +138,15 @@ def k03(v: Views) -> DataFrame:
     return v.spark.read.schema("category string, names string").option("header", True).csv(path)
 
 
-@query("k04_plain_csv", "SELECT conv_id, turn, translate(substr(text, 1, 50), ',\"', ';''') AS txt FROM conversations")
+@query("k04_plain_csv", "SELECT conv_id, turn, translate(text, ',\"', ';''') AS txt FROM conversations")
 def k04(v: Views) -> DataFrame:
-    return v.conversations.select("conv_id", "turn", sinks.plain_field(F.substring("text", 1, 50)).alias("txt"))
+    return v.conversations.select("conv_id", "turn", sinks.plain_field(F.col("text")).alias("txt"))
 
 
-@query("k05_tsv", "SELECT cluster_id, canonical_name FROM cluster WHERE cluster_id < 100")
+@query("k05_tsv", "SELECT cluster_id, canonical_name FROM cluster")
 def k05(v: Views) -> DataFrame:
     path = _path(v, "tsv")
-    sinks.csv(v.cluster.where("cluster_id < 100").select("cluster_id", "canonical_name"), path, sep="\t")
+    sinks.csv(v.cluster.select("cluster_id", "canonical_name"), path, sep="\t")
     return v.spark.read.schema("cluster_id long, canonical_name string").option("header", True).option("sep", "\t").csv(path)
 
 

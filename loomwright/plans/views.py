@@ -41,7 +41,7 @@ edge AS (
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
   WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) >= 0.30),
 word AS (
-  SELECT doc_id, lang, source, substr(text, 1, 40) AS head FROM documents)
+  SELECT doc_id, lang, source, text AS head FROM documents)
 """
 
 
@@ -111,7 +111,7 @@ class Views:
 
     @cached_property
     def word(self) -> DataFrame:
-        return self.documents.select("doc_id", "lang", "source", F.substring("text", 1, 40).alias("head"))
+        return self.documents.select("doc_id", "lang", "source", F.col("text").alias("head"))
 
 
 Query = Callable[[Views], DataFrame]
