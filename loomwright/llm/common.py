@@ -201,33 +201,37 @@ class Words:
         self.hashes = mix64(a + (b << np.uint64(1)) + np.uint64(0x632BE59BD9B4E019))
 
 
-SIEVE_BITS = 1 << 26
+MAX_SIEVE_BITS = 1 << 29
 
 
-def spread(ids: np.ndarray) -> np.ndarray:
-    """An id's place in a sieve."""
-    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(SIEVE_BITS - 1)).astype(np.int64)
+def spread(ids: np.ndarray, size: int) -> np.ndarray:
+    """An id's place in a sieve of size bits."""
+    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
 
 
 def sieve_of_ids(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size that passes all ids of a column of longs, and few others; of more than some 10^7 ids it
-    passes a good part of others too, which costs work and nothing else."""
+    """A bit array, in words of 64, that passes all of a column of longs, and few others.
+
+    It has 16 to 32 bits for each of them, but MAX_SIEVE_BITS (64 MB) at most: beyond some 10^8 it passes a good part of
+    others too, which costs work and nothing else.
+    """
+    size = min(MAX_SIEVE_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
 
     def positions(batches):
         for batch in batches:
-            at = np.unique(spread(batch.column(0).to_numpy()))
+            at = np.unique(spread(batch.column(0).to_numpy(), size))
             words, first = np.unique(at >> 6, return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
     words = ids.mapInArrow(positions, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(SIEVE_BITS >> 6, np.int64)
+    out = np.zeros(size >> 6, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
 def passes(sieve: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = spread(ids)
+    at = spread(ids, len(sieve) << 6)
     return (sieve[at >> 6] >> (at & 63) & 1).astype(bool)
 
 

@@ -10,14 +10,16 @@ begins at every sentence from which such a run exists. Spans with equal words ar
 the one in the document with the smallest doc_id, at its smallest place, is first; the sentences of every other one are
 removed.
 
-It is done at two grains. Cuts that depend on `window` words are the same in two texts but for window - 1 words at the
-ends of what they share, so a shared run of n words holds a whole span of both if n >= min_words + 4 * window - 3. At the
-coarse grain, spans are a few words and only tell which documents share any with others or repeat one themselves; a
-third of all sentences is hashed so. The documents left go through the fine grain, where a shared run of 50 words always
-holds a span, one of fewer than 40 never does, and at most 5 words of a shared run are left at either end. Every fine
-copy holds a coarse one, so nothing is lost.
-
-Spans are hashed over word hashes with prefix sums, so a document costs a pass over its bytes. Copies are found by a
+Cuts that depend on `window` words are the same in two texts but for window - 1 words at the ends of what they share, so
+a shared run of n words holds a whole span of both if n >= min_words + 4 * window - 3: of 50 words always, of fewer than
+40 never, and at most 5 words of it are left at either end.
+
+Most sentences are in no copy, so candidates come first. Of every MIN_WORDS words in a row, the run of GRAM words with the
+smallest hash is marked, so texts that share MIN_WORDS words share a mark. Marks that occur more than once enter a sieve, a
+bit array of bounded size, and spans are hashed only where they hold a mark that passes it. Every copy holds one, so nothing
+is lost; a mark that passes by chance costs a few spans.
+
+Everything is hashed over word hashes with prefix sums, so a document costs a pass over its bytes. Copies are found by a
 partial aggregation on the hash and a join with the hashes that occur more than once.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Words, bound_batches, fresh, mix64, passes, range_hash, read_table, remove, sieve_of_ids, slices, store
 
 MIN_SENTENCES, MIN_WORDS = 2, 40
-WINDOW, COARSE_WINDOW = 3, 8
+WINDOW, GRAM = 3, 15
 #: Marks that end a sentence: . ! ? and the full stops, exclamation and question marks of other scripts.
 STOPS = ".!?。！？｡।؟۔።။។"
 
@@ -68,13 +70,13 @@ def smallest_of_windows(hashes: np.ndarray, since: np.ndarray, window: int) -> n
 
 
 class Sentences:
-    """The sentences of a text column: their byte ranges, words and rows; and the spans that begin at them.
+    """The sentences of texts given as words: their first words and rows; and the spans that begin at them.
 
     again: whether the span's words stand earlier in the same row.
     """
 
-    def __init__(self, column: pa.Array, window: int, min_sentences: int, min_words: int):
-        w = self.words = Words(column, apart=True)
+    def __init__(self, w: Words, window: int, min_sentences: int, min_words: int):
+        self.words = w
         raw, start, end, n = w.raw, w.start, w.end, len(w.start)
         opens = np.zeros(n + 1, bool)
         opens[w.offs] = True
@@ -108,25 +110,48 @@ class Sentences:
         self.again[order[1:]] = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
 
 
-def shared_ids(docs: DataFrame, place: list[str], min_sentences: int, min_words: int) -> DataFrame:
-    """The ids of documents (id, key, text) that share a coarse span with others, or repeat one themselves."""
-    fewer = min_words - 4 * COARSE_WINDOW + 3
-
-    def spans(batches):
+def marks(w: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the runs of GRAM words that are the smallest, the last of equals, of all in some `span`
+    words in a row of a text."""
+    n, width = len(w.hashes), span - GRAM + 1
+    last = np.repeat(w.offs[1:], np.diff(w.offs))
+    whole = np.flatnonzero(np.arange(n) + span <= last)
+    if not len(whole):
+        return whole, np.zeros(0, np.int64)
+    at = np.arange(n)
+    h = range_hash(w.hashes, at, np.minimum(at + GRAM, n), 0x9E3779B97F4A7C15)
+    best, size = at, 1
+    while size < width:  # the smallest of twice as many, or of as many more as there are to be
+        step = min(size, width - size)
+        one, other = best[:-step], best[step:]
+        best, size = np.where(h[other] <= h[one], other, one), size + step
+    found = np.unique(best[whole])
+    return found, h[found].view(np.int64)
+
+
+def repeated_marks(docs: DataFrame, span: int) -> np.ndarray:
+    """A sieve of the marks that documents (id, key, text) share, or that one of them has twice."""
+
+    def made(batches):
         for batch in slices(batches, "text", 1 << 19):
-            s = Sentences(batch.column(2), COARSE_WINDOW, min_sentences, fewer)
-            mine = np.flatnonzero(~s.again)
-            repeats = np.unique(s.row[s.again])  # one row without a hash
-            rows = pa.array(np.concatenate([s.row[mine], repeats]))
-            hashes = pa.array(np.concatenate([s.hashes[mine], np.zeros(len(repeats), np.int64)]), mask=np.arange(len(rows)) >= len(mine))
-            yield pa.RecordBatch.from_arrays([hashes, batch.column(0).take(rows), batch.column(1).take(rows)], names=["hash", "id", "key"])
-
-    found, path = store(docs.mapInArrow(spans, "hash long, id long, key long").select("hash", *place), "coarse-spans")
-    many, many_path = store(repeated(found.where("hash is not null"), place).select("hash"), "coarse-repeated")
-    ids = found.join(many, "hash").select("id").unionByName(found.where("hash is null").select("id")).distinct()
-    ids, _ = store(ids, "sharing")
-    remove(docs.sparkSession, path, many_path)
-    return ids
+            w = Words(batch.column(2), apart=True)
+            at, h = marks(w, span)
+            row = np.searchsorted(w.offs, at, side="right") - 1
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            same = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+            first = np.flatnonzero(np.append(True, ~same)[: len(h)])
+            twice = np.append(same, False)[: len(h)][first]
+            ids = [batch.column(k).take(pa.array(row[first])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), *ids, pa.array(twice)], names=["hash", "id", "key", "twice"])
+
+    # a document is told by its id and its text's key together, in one number
+    found = docs.mapInArrow(made, "hash long, id long, key long, twice boolean").select("hash", F.xxhash64("id", "key").alias("doc"), "twice")
+    met = found.groupBy("hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max(F.col("twice").cast("int")).alias("t"))
+    found, path = store(met.where("a <> b or t = 1").select("hash"), "repeated-marks")
+    sieve = sieve_of_ids(found)
+    remove(docs.sparkSession, path)
+    return sieve
 
 
 def repeated(spans: DataFrame, place: list[str]) -> DataFrame:
@@ -135,31 +160,45 @@ def repeated(spans: DataFrame, place: list[str]) -> DataFrame:
     return spans.groupBy("hash").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("hash", "first")
 
 
-def repeated_spans(docs: DataFrame, sieve, place: list[str], min_sentences: int, min_words: int) -> DataFrame:
-    """Of (id, key, text): the spans to remove, as (id, key, gone array<struct<at, n>>), one row a document that the
-    sieve passes and that has any. Without repeated ids, key is left out."""
+def repeated_spans(docs: DataFrame, place: list[str], min_sentences: int, min_words: int) -> DataFrame:
+    """Of (id, key, text): the spans to remove, as (id, key, gone array<struct<at, n>>), one row a document that has any.
+    Where no id is repeated, key is left out."""
+    sieve = docs.sparkSession.sparkContext.broadcast(repeated_marks(docs, min_words))
 
     def spans(batches):
         for batch in slices(batches, "text", 1 << 19):
-            batch = batch.filter(pa.array(passes(sieve.value, batch.column(0).to_numpy())))
-            if not batch.num_rows:
+            w = Words(batch.column(2), apart=True)
+            at, h = marks(w, min_words)
+            at = at[passes(sieve.value, h)]
+            if not len(at):
                 continue
-            s = Sentences(batch.column(2), WINDOW, min_sentences, min_words)
-            mine = np.flatnonzero(~s.again)
+            wanted = np.unique(np.searchsorted(w.offs, at, side="right") - 1)  # texts with a mark that passes
+            if len(wanted) < batch.num_rows:
+                batch = batch.take(pa.array(wanted))
+                w = Words(batch.column(2), apart=True)
+                at, h = marks(w, min_words)
+                at = at[passes(sieve.value, h)]
+            s = Sentences(w, WINDOW, min_sentences, min_words)
+            # the first mark at or after a span's first word lies within it
+            next_mark = np.append(at, len(w.hashes) + GRAM)[np.searchsorted(at, s.first[s.at])]
+            holds = next_mark + GRAM <= (s.past[s.stop - 1] if len(s.at) else s.at)
+            mine = np.flatnonzero(holds)
             rows = pa.array(s.row[mine])
-            at, n = (s.at - s.offs[s.row])[mine], (s.stop - s.at)[mine]
+            begin, n = (s.at - s.offs[s.row])[mine], (s.stop - s.at)[mine]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.hashes[mine]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                [pa.array(s.hashes[mine], mask=s.again[mine]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32))],
                 names=["hash", "id", "key", "at", "n"],
             )
 
+    # a span that stands earlier in its own document has no hash and goes in any case
     found, _ = store(docs.mapInArrow(spans, "hash long, id long, key long, at int, n int").select("hash", *place, "at", "n"), "spans")
     # written first: a join with a table can split a hot hash, a join with an aggregate can't
-    many, _ = store(repeated(found, place).withColumnRenamed("first", "first_place"), "repeated-spans")
+    many, _ = store(repeated(found.where("hash is not null"), place).withColumnRenamed("first", "first_place"), "repeated-spans")
     where = F.col(place[0]) if len(place) == 1 else F.struct(*place)
-    later = found.join(many, "hash").where(where != F.col("first_place"))
+    later = found.join(many, "hash").where(where != F.col("first_place")).select(*place, "at", "n")
+    gone = later.unionByName(found.where("hash is null").select(*place, "at", "n"))
     # by document: at most one row a sentence, whatever the number of copies
-    return later.groupBy(*place).agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+    return gone.groupBy(*place).agg(F.collect_set(F.struct("at", "n")).alias("gone"))
 
 
 def substring_dedup(
@@ -176,11 +215,10 @@ def substring_dedup(
     null, with 0 removed; empty texts, and texts without a whole span, stay as they are. A null doc_id comes before
     all others. Rows with the same doc_id and the same text are one document, whose first copy stays in each; rows with
     the same doc_id and other texts follow one another in the order of a hash of the text. A column with the name of
-    the count is replaced. An empty table gives an empty table. min_words is 31 at least, so that a coarse span has two
-    words or more.
+    the count is replaced. An empty table gives an empty table. min_words is GRAM at least.
     """
-    if min_words < 4 * COARSE_WINDOW - 1:
-        raise ValueError(f"min_words must be at least {4 * COARSE_WINDOW - 1}")
+    if min_words < GRAM:
+        raise ValueError(f"min_words must be at least {GRAM}")
     spark = docs.sparkSession
     bound_batches(spark)
     kept = docs.drop(removed)
@@ -189,35 +227,30 @@ def substring_dedup(
     source = kept.select(at_id.alias("id"), at_key.alias("key"), F.col(text).alias("text"))
     several = source.groupBy("id").count().where("count > 1").limit(1).count() > 0
     place = ["id", "key"] if several else ["id"]
-    sieve = spark.sparkContext.broadcast(sieve_of_ids(shared_ids(source, place, min_sentences, min_words)))
-    gone = repeated_spans(source, sieve, place, min_sentences, min_words)
+    gone = repeated_spans(source, place, min_sentences, min_words)
     marks_of, held = fresh(kept, "gone"), {c: fresh(kept, f"at_{c}") for c in place}
     gone = gone.select(*(F.col(c).alias(n) for c, n in held.items()), F.col("gone").alias(marks_of))
-    placed, mine = kept.withColumn(fresh(kept, "id"), at_id), fresh(kept, "id")
-    here = F.col(mine) == F.col(held["id"])
+    here = at_id == F.col(held["id"])
     if several:
-        here &= F.xxhash64(F.col(text)) == F.col(held["key"])
-    joined = placed.join(gone, here, "left").select(*(F.col(f"`{c}`") for c in kept.columns), mine, marks_of)
+        here &= at_key == F.col(held["key"])
+    joined = kept.join(gone, here, "left").select(*(F.col(f"`{c}`") for c in kept.columns), marks_of)
 
     def cut(batches):
         for batch in slices(batches, text, 1 << 19):
             where = batch.schema.get_field_index(text)
             column = batch.column(where)
-            marks = batch.column(batch.schema.get_field_index(marks_of)).to_pylist()
-            wanted = np.flatnonzero(passes(sieve.value, batch.column(batch.schema.get_field_index(mine)).to_numpy()))
+            gone = batch.column(batch.schema.get_field_index(marks_of)).to_pylist()
+            wanted = [i for i, g in enumerate(gone) if g]
             counts = np.zeros(batch.num_rows, np.int32)
-            if len(wanted):
-                s, out = Sentences(column.take(pa.array(wanted)), WINDOW, min_sentences, min_words), column.to_pylist()
-                w, repeats = s.words, np.flatnonzero(s.again)
-                inner = np.searchsorted(s.row[repeats], np.arange(len(wanted) + 1))  # spans lie in the order of rows
-                for k, i in enumerate(wanted.tolist()):
-                    mine_again = repeats[inner[k] : inner[k + 1]]
-                    if not marks[i] and not len(mine_again):
-                        continue
+            if wanted:
+                out = column.to_pylist()
+                s = Sentences(Words(column.take(pa.array(wanted)), apart=True), WINDOW, min_sentences, min_words)
+                w = s.words
+                for k, i in enumerate(wanted):
                     a, b = s.offs[k], s.offs[k + 1]
                     edge = np.zeros(b - a + 1, np.int64)
-                    np.add.at(edge, [g["at"] for g in marks[i] or ()] + (s.at[mine_again] - a).tolist(), 1)
-                    np.add.at(edge, [g["at"] + g["n"] for g in marks[i] or ()] + (s.stop[mine_again] - a).tolist(), -1)
+                    np.add.at(edge, [g["at"] for g in gone[i]], 1)
+                    np.add.at(edge, [g["at"] + g["n"] for g in gone[i]], -1)
                     drop = np.cumsum(edge[:-1]) > 0
                     # a sentence reaches from its first word to the next sentence's
                     begins = np.append(w.start[s.first[a:b]], w.byte_offs[k + 1])
@@ -226,8 +259,8 @@ def substring_dedup(
                     out[i] = b"".join(p.tobytes() for p in pieces).decode("utf-8", "replace")
                     counts[i] = drop.sum()
                 column = pa.array(out, column.type)
-            columns = [column if k == where else c for k, c in enumerate(batch.columns) if batch.schema.names[k] not in (marks_of, mine)]
-            fields = [n for n in batch.schema.names if n not in (marks_of, mine)]
+            columns = [column if k == where else c for k, c in enumerate(batch.columns) if batch.schema.names[k] != marks_of]
+            fields = [n for n in batch.schema.names if n != marks_of]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[*fields, removed])
 
     declared = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
