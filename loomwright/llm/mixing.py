@@ -6,22 +6,21 @@ than allowed. A source's quota of the token budget is laid out as epochs over it
 permutation of the source's blocks (hash buckets of documents); the last epoch stops at the quota, inside a block at a
 threshold on the documents' hash.
 
-Per source only totals reach the driver. Blocks are summed before any shuffle, at most MAX_BLOCKS a source; documents
-meet the plan by (source, block), so a source that holds a third of all rows is spread over its blocks.
+Sources' totals reach the driver up to max_sources of them; beyond that the exponent is bisected by small aggregations
+over the table of totals. Blocks are summed before any shuffle, at most max_blocks a source; documents meet the plan by
+(source, block), so a source that holds a third of all rows is spread over its blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, read_table, store
 
-MAX_BLOCKS = 4096
-
-
 def weights_at(shares: list[float], exponent: float) -> list[float]:
     raw = [s**exponent for s in shares]
     return [r / sum(raw) for r in raw]
@@ -38,43 +37,70 @@ def solve_exponent(shares: list[float], budget_ratio: float, target_entropy: flo
     Entropy falls and, with it, repetition falls as the exponent rises. When even the natural shares repeat a source
     more often than allowed, they are used.
     """
+    repeat = lambda a: max(w * budget_ratio / s for w, s in zip(weights_at(shares, a), shares, strict=True))
+    return _solve(lambda a: entropy(weights_at(shares, a)), repeat, target_entropy, max_repeat)
+
+
+def _solve(entropy_at: Callable[[float], float], repeat_at: Callable[[float], float], target_entropy: float, max_repeat: float) -> float:
+    """The largest exponent in [0, 1] with the target entropy, but not below the one with the allowed repetition."""
 
-    def least(ok) -> float:
+    def least(ok: Callable[[float], bool]) -> float:
         """The smallest exponent that satisfies a condition which holds from some exponent on, 1 at most."""
         if ok(0.0):
             return 0.0
         low, high = 0.0, 1.0
-        for _ in range(60):
+        for _ in range(40):
             mid = (low + high) / 2
             low, high = (low, mid) if ok(mid) else (mid, high)
         return high
 
-    repeat = lambda a: max(w * budget_ratio / s for w, s in zip(weights_at(shares, a), shares, strict=True))
-    flat = least(lambda a: entropy(weights_at(shares, a)) < target_entropy)  # entropy holds below it
-    return max(flat if entropy(weights_at(shares, 1.0)) < target_entropy else 1.0, least(lambda a: repeat(a) <= max_repeat))
+    flat = least(lambda a: entropy_at(a) < target_entropy) if entropy_at(1.0) < target_entropy else 1.0  # it holds below
+    return max(flat, least(lambda a: repeat_at(a) <= max_repeat))
+
+
+def solve_in_spark(totals: DataFrame, budget_ratio: float, target_entropy: float, max_repeat: float) -> float:
+    """solve_exponent() where the positive shares are a table (share) of any length: one small aggregation a step."""
+    n = totals.count()
+
+    def at(exponent: float) -> tuple[float, float]:
+        """Entropy, and the largest repetition, of the weights at an exponent."""
+        raw = F.pow("share", F.lit(exponent))
+        z, logs, most = totals.agg(F.sum(raw), F.sum(raw * F.log("share")), F.max(raw / F.col("share"))).first()
+        return ((math.log(z) - exponent * logs / z) / math.log(n) if n > 1 else 1.0), most / z * budget_ratio
+
+    return _solve(lambda a: at(a)[0], lambda a: at(a)[1], target_entropy, max_repeat)
 
 
 def mix_plan(
-    measured: DataFrame, budget_tokens: int | None, target_entropy: float, max_repeat: float, block_tokens: int, max_sources: int, seed: int
+    measured: DataFrame,
+    budget_tokens: int | None,
+    target_entropy: float,
+    max_repeat: float,
+    block_tokens: int,
+    max_sources: int,
+    max_blocks: int,
+    seed: int,
 ) -> tuple[DataFrame, DataFrame]:
     """Of the documents' (src, tokens, mark): the plan, a row per (source, epoch, block), and the sources' block counts."""
-    spark = measured.sparkSession
-    totals = measured.groupBy("src").agg(F.sum("tokens").alias("total")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources; raise max_sources or group them")
-    total = sum(r["total"] for r in totals)
-    live = [r for r in totals if r["total"] > 0]
+    totals, _ = store(measured.groupBy("src").agg(F.sum("tokens").alias("total")), "source-totals")
+    n, total = totals.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
     budget = total if budget_tokens is None else budget_tokens
-    shares = [r["total"] / total for r in live]
-    weight: list[float] = []
-    if live:
-        weight = weights_at(shares, solve_exponent(shares, budget / total, target_entropy, max_repeat))
-    rows = [(r["src"], r["total"], w, float(round(w * budget)), min(MAX_BLOCKS, -(-r["total"] // block_tokens))) for r, w in zip(live, weight, strict=True)]
-    rows += [(r["src"], 0, 0.0, 0.0, 1) for r in totals if r["total"] <= 0]
-    kind = measured.schema["src"].dataType.simpleString()
-    per_source = spark.createDataFrame(rows, f"src {kind}, total long, weight double, quota double, blocks long")
-    # at most max_sources rows
-    per_source = F.broadcast(per_source.withColumnRenamed("src", "psrc"))
+    live = totals.where("total > 0").withColumn("share", F.col("total") / F.lit(float(max(total, 1))))
+    exponent = 1.0
+    if total and n <= max_sources:
+        shares = sorted(r["share"] for r in live.select("share").collect())
+        exponent = solve_exponent(shares, budget / total, target_entropy, max_repeat)
+    elif total:
+        exponent = solve_in_spark(live.select("share"), budget / total, target_entropy, max_repeat)
+    raw = F.pow("share", F.lit(exponent))
+    z = live.agg(F.sum(raw)).first()[0] or 1.0
+    weight = raw / F.lit(z)
+    blocks = F.least(F.lit(max_blocks).cast("long"), F.ceil(F.col("total") / block_tokens))
+    some = live.select(F.col("src").alias("psrc"), "total", weight.alias("weight"), F.rint(weight * F.lit(float(budget))).alias("quota"), blocks.alias("blocks"))
+    bare = totals.where("total <= 0").select(F.col("src").alias("psrc"), F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("quota"), F.lit(1).cast("long").alias("blocks"))
+    per_source, _ = store(some.unionByName(bare), "sources")
+    if n <= max_sources:
+        per_source = F.broadcast(per_source)
     blocked = measured.join(per_source, F.col("src").eqNullSafe(F.col("psrc"))).withColumn("block", F.pmod("mark", "blocks"))
     sizes = blocked.groupBy("psrc", "total", "weight", "quota", "blocks", "block").agg(F.sum("tokens").alias("tokens"))
     sizes, _ = store(sizes, "blocks")
@@ -124,6 +150,7 @@ def mixed(
     max_repeat: float = 2.0,
     block_tokens: int = 1_000_000,
     max_sources: int = 100_000,
+    max_blocks: int = 4096,
     seed: int = 7,
     prefix: str = "mix_",
     with_text: bool = True,
@@ -135,7 +162,8 @@ def mixed(
     mix_at runs from 0 to 1 along each source's stream; ordered by it, sources interleave at their target weights. A
     text's tokens are its runs of characters other than white space; null and empty texts have none and follow their
     block. Without a budget it is the number of all tokens. A null source is a source. A source without any token is
-    used once. Rows with the same doc_id and text are dealt alike. Columns with the names of the new ones are replaced.
+    used once. Blocks are of block_tokens, or larger where a source would have more than max_blocks; up to max_sources
+    sources are solved on the driver and broadcast, more are solved and joined in Spark. Rows with the same doc_id and text are dealt alike. Columns with the names of the new ones are replaced.
     """
     kept = docs.drop(*(prefix + c for c in ("epoch", "block", "weight", "tokens", "at")))
     counted, mark, src, blocks = (fresh(kept, c) for c in ("tokens", "mark", "source", "blocks"))
@@ -148,9 +176,9 @@ def mixed(
     sizes = measured.select(F.col(source).alias("src"), F.col(counted).alias("tokens"), F.col(mark).alias("mark"))
     if with_text:
         sizes, _ = store(sizes, "measured")
-    plan, per_source = mix_plan(sizes, budget_tokens, target_entropy, max_repeat, block_tokens, max_sources, seed)
+    plan, per_source = mix_plan(sizes, budget_tokens, target_entropy, max_repeat, block_tokens, max_sources, max_blocks, seed)
     sized = per_source.select(F.col("psrc").alias(src), F.col("blocks").alias(blocks))
-    dealt = measured.join(F.broadcast(sized), F.col(source).eqNullSafe(F.col(src))).drop(src)  # a row a source, bounded above
+    dealt = measured.join(sized, F.col(source).eqNullSafe(F.col(src))).drop(src)  # broadcast up to max_sources rows
     laid = {c: fresh(kept, f"plan_{c}") for c in plan.columns}
     plan = plan.select(*(F.col(c).alias(n) for c, n in laid.items()))
     here = F.col(source).eqNullSafe(F.col(laid["psrc"])) & (F.pmod(F.col(mark), F.col(blocks)) == F.col(laid["block"]))

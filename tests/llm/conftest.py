@@ -72,6 +72,9 @@ def clashing(docs):
     from pyspark.sql import functions as F
 
     names = ["id", "key", "hash", "set", "score", "__gone", "n_removed", "component_id", "__mark", "mix_epoch", "rep"]
+    names += ["__id", "__lang", "__limit", "__quality", "__toxic", "__order", "__doc", "__text", "__long", "__source", "__blocks", "__tokens"]
+    names += [f"__plan_{c}" for c in ("psrc", "blocks", "block", "epoch", "weight", "cut", "at")] + ["src", "tokens", "mark", "psrc", "block", "total"]
+    names += ["__at_id", "__at_key", "__removed", "__dropped", "__toxicity", "at", "range", "extra", "o", "q", "known_id", "pooled", "x", "quality", "toxic", "media", "digest", "node", "root"]
     return docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
 
 

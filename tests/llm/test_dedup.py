@@ -71,7 +71,7 @@ def test_group_of_many_near_copies(spark):
 def test_heads_of_all_their_buckets_are_verified(spark):
     """g < h < m: m meets g and h in bands, g and h meet in none, and only h and m are near copies."""
     rng, rows, met = random.Random(5), [], 0
-    for i in range(40):
+    for i in range(300):
         m = [f"w{i}x{k}" for k in range(100)]
         h = [*m[:94], *(f"h{i}x{k}" for k in range(6))]
         g = [*(f"g{i}x{k}" for k in range(38)), *m[38:]] if i % 2 else [*m[:4], *(f"g{i}x{k}" for k in range(30)), *m[34:]]
@@ -79,7 +79,7 @@ def test_heads_of_all_their_buckets_are_verified(spark):
         keys = [set(near_dedup.signature(near_dedup.shingle_sets(pa.array([t]), 2)[0])[0].tolist()) for t in texts]
         met += bool(keys[0] & keys[2]) and bool(keys[1] & keys[2]) and not keys[0] & keys[1]
         rows += [(3 * i + k, t) for k, t in enumerate(texts)]
-    assert met
+    assert met >= 50
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, words=2).collect()}

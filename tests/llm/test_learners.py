@@ -85,6 +85,60 @@ def test_toxicity_of_odd_tables(spark, labelled, docs, rows, empty, all_null, cl
     assert toxicity.toxicity(docs, labels.limit(0)).where("score <> 0.5").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["none", "one toxic", "no clean", "null"])
+def test_toxic_stage_without_a_model_keeps_all(spark, tmp_path, docs, rows, kind):
+    """Where nothing can be learnt nothing is rejected."""
+    labels = {"none": [], "one toxic": [(1, 1, 1)] + [(i, 1, 0) for i in range(2, 40)], "no clean": [(i, 1, 1) for i in range(40)], "null": [(i, None, None) for i in range(40)]}[kind]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = toxicity.stage(spark, docs, str(tmp_path))
+    assert kept.count() == len(rows) and kept.columns == docs.columns
+
+
+def plain_grams(text):
+    """Folded n-grams of a text: lower-case letters and marks, anything else a single space."""
+    import unicodedata
+
+    folded = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] in "LM" else " " for c in text) + " "
+    while "  " in folded:
+        folded = folded.replace("  ", " ")
+    return {folded[i : i + n] for n in toxicity.ORDERS for i in range(len(folded) - n + 1)}
+
+
+def test_toxicity_model_equals_plain_counts():
+    """Vocabulary, log-count ratios and scores against dictionaries of n-grams and a dense regression."""
+    rng = random.Random(2)
+    texts, y = [], []
+    for i in range(120):
+        words = prose(rng, "de" if i % 3 == 0 else "en", rng.randrange(5, 40)).split()
+        if i % 4 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["Idiot!", "MORONIC", "wörthless"]))
+        texts.append(" ".join(words))
+        y.append(float(i % 4 == 0))
+    y = np.array(y)
+    model = toxicity.fit(texts, y)
+    grams = [plain_grams(t) for t in texts]
+    n1, n0 = y.sum(), (1 - y).sum()
+    count = {}
+    for g, t in zip(grams, y, strict=True):
+        for x in g:
+            c = count.setdefault(x, [0, 0])
+            c[int(t)] += 1
+    often = {x: c for x, c in count.items() if c[1] >= max(2, min(5, int(n1) // 40))}
+
+    def z(c):
+        both = (c[1] + c[0] + 1) / (n1 + n0 + 2)
+        return abs(c[1] / n1 - c[0] / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
+
+    least = min(4.0, sorted(map(z, often.values()))[-min(len(often), 50)])
+    vocabulary = sorted(x for x, c in often.items() if z(c) >= least - 1e-12)
+    assert len(vocabulary) == len(model.keys)
+    ratio = np.array([np.log(((count[x][1] + 1) / (n1 + 2)) / ((count[x][0] + 1) / (n0 + 2))) for x in vocabulary])
+    rows, cols = map(np.array, zip(*((i, k) for i, g in enumerate(grams) for k, x in enumerate(vocabulary) if x in g), strict=True))
+    w, b = fit_sparse_logistic(rows, cols, ratio[cols], y, len(vocabulary), 1e-4)
+    want = sigmoid(np.bincount(rows, (w * ratio)[cols], len(texts)) + b)
+    assert np.allclose(model.score(pa.array(texts), toxicity.sieve_of(model.keys)), want, atol=1e-4)
+
+
 def test_toxic_stage_keeps_clean_documents(spark, labelled):
     path, truth, _ = labelled
     docs = spark.read.parquet(f"{path}/documents.parquet")
@@ -123,6 +177,77 @@ def test_kernel_is_symmetric_and_normed():
     assert letters.tolist() == [True, True, True, False]
 
 
+def plain_spectrum(text):
+    import unicodedata
+
+    folded = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] in "LM" else " " for c in text) + " "
+    while "  " in folded:
+        folded = folded.replace("  ", " ")
+    return {n: {folded[i : i + n] for i in range(len(folded) - n + 1)} for n in language.BUCKETS}
+
+
+def test_kernels_equal_sets_of_n_grams(labelled, spark):
+    """Hashed presence kernels against cosines of the n-gram sets themselves."""
+    path, _, _ = labelled
+    texts = [r["text"][:400] for r in spark.read.parquet(f"{path}/documents.parquet").limit(40).collect()]
+    x, _ = language.spectra(pa.array(texts))
+    sets = [plain_spectrum(t) for t in texts]
+    cos = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+    want = np.array([[np.mean([cos(a[n], b[n]) for n in language.BUCKETS]) for b in sets] for a in sets])
+    assert np.abs(x @ x.T - want).max() < 0.05  # some n-grams share a bucket
+
+
+def test_language_model_equals_exact_kernel_ridge(labelled, spark):
+    """With every text a landmark, Nystroem features and the primal solution are kernel ridge regression itself."""
+    path, _, langs = labelled
+    rows = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 60").orderBy("doc_id").collect()
+    texts, names = [r["text"] for r in rows], [r["lang"] for r in rows]
+    ridge = 1e-3
+    model = language.fit(texts, names, landmarks=1000, ridge=ridge)
+    x = language.spectra(pa.array(texts))[0].astype(np.float64)
+    k = x @ x.T
+    n = len(texts)
+    h = np.eye(n) - 1 / n
+    y = np.where(np.array(names)[:, None] == np.array(sorted(set(names)))[None, :], 1.0, -1.0)
+    alpha = np.linalg.solve(h @ k @ h + ridge * n * np.eye(n), y - y.mean(axis=0))
+    other = spark.read.parquet(f"{path}/documents.parquet").where("doc_id >= 60").limit(50).collect()
+    z = language.spectra(pa.array([r["text"] for r in other]))[0].astype(np.float64)
+    centred = (z @ x.T - k.mean(axis=0)) @ h
+    want = centred @ alpha + y.mean(axis=0)
+    got = (z @ model.landmarks.T.astype(np.float64)) @ model.weights + model.centre
+    assert np.abs(got - want).max() < 0.02
+    assert [sorted(set(names))[i] for i in got.argmax(axis=1)] == [langs[r["doc_id"]] for r in other]
+
+
+def test_rare_languages_stay_within_bounds(spark):
+    rows = [(i, f"word{i} and more of it", f"l{i % 40}") for i in range(400)]
+    texts, langs = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4, 2, 3000, 12_000_000, 120_000, 7)
+    assert len(set(langs)) == 7 and len(language.fit(texts, langs, landmarks=4).landmarks) == 7
+
+
+def test_quality_picks_equal_a_pool_in_memory(spark, labelled):
+    """Co-training over all documents in Spark against the same rounds over arrays."""
+    path, _, _ = labelled
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    got = {r["doc_id"]: (r["score"], r["text_score"], r["meta_score"]) for r in quality.quality(docs, labels, per_round=7, rounds=4).collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    key = {r["doc_id"]: r["k"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    rows = {r["doc_id"]: r for r in docs.collect()}
+
+    def features(ids):
+        text = quality.text_features(pa.array([rows[i]["text"] for i in ids], pa.string())).astype(np.float32).astype(float)
+        meta = quality.meta_features([rows[i]["lang"] for i in ids], [rows[i]["source"] for i in ids], [rows[i]["n_chars"] for i in ids])
+        meta[:, -2] = meta[:, -2].astype(np.float32)
+        return text, meta
+
+    learn = sorted((i for i in rows if fold(i, 5)), key=lambda i: (key[i], i))
+    train, free = [i for i in learn if i in known], [i for i in learn if i not in known]
+    model = quality.co_train(*features(train), np.array([known[i] for i in train], float), *features(free), rounds=4, per_round=7)
+    ids = sorted(rows)
+    want = np.column_stack(model.score(*features(ids)))
+    assert np.abs(np.array([got[i] for i in ids]) - want).max() < 1e-6
+
+
 def test_quality_of_held_out_documents(spark, labelled):
     path, truth, _ = labelled
     got = quality.op3_quality(spark, path).collect()

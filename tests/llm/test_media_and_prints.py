@@ -60,6 +60,14 @@ def test_op10_query_and_odd_tables(spark, tables, clean, empty, all_null, clashi
     assert media.read_media(*media.store_media(clashing), media.describe, OUT).count() == len(rows)
 
 
+def test_chunks_depend_on_their_own_row(spark):
+    with pytest.raises(ValueError, match="min_chunk"):
+        media.store_media(spark.createDataFrame([(1, "a")], "doc_id long, text string"), min_chunk=16)
+    shared = "".join(chr(97 + i * i % 26) for i in range(5000))
+    alone, behind = media.cuts(pa.array([shared]), 32, 4096), media.cuts(pa.array(["x" * 31 + "y", shared]), 32, 4096)
+    assert alone[0] == behind[1]
+
+
 def test_damage_is_found(spark, docs):
     from pyspark.sql import functions as F
 
@@ -116,6 +124,27 @@ def test_op6_query(spark, tables, clean):
     assert sorted(got) == sorted(expected(sorted(clean, reverse=True)))
 
 
+def test_fingerprints_of_a_very_long_text(spark):
+    """A text of several MB, its neighbours in the order, and many ranges."""
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(20_000)]
+    rows = [(i, " ".join(rng.choices(words, k=400_000 if i == 7 else rng.randrange(60)))) for i in range(40)]
+    assert len(rows[7][1]) > 2_000_000
+    got = sorted(map(tuple, fingerprint.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(expected(sorted(rows, reverse=True)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
+def test_places_among_cuts(spark, n):
+    from pyspark.sql import functions as F
+
+    cuts = sorted({(k * 37) % 1000 - 300 for k in range(n)})
+    got = spark.range(-400, 800, 7).select("id", fingerprint.place_among(F.col("id"), cuts).alias("p")).collect()
+    assert all(r["p"] == sum(c <= r["id"] for c in cuts) for r in got)
+
+
 def test_fingerprints_of_odd_tables(spark, docs, rows, empty, all_null, clashing):
     assert fingerprint.compared(empty).count() == 0
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))

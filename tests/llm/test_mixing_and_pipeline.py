@@ -57,6 +57,14 @@ def test_quotas_are_met(spark, clean, budget):
     assert all(0 <= g["mix_at"] <= 1 for g in got)
 
 
+def test_more_sources_than_the_driver_takes(spark, clean):
+    """The same mixture whether the exponent is solved on the driver or by aggregations."""
+    df = spark.createDataFrame(clean, DOCS).repartition(3)
+    key = lambda r: (r["doc_id"], r["mix_epoch"], r["mix_block"], round(r["mix_weight"], 9), round(r["mix_at"], 6))
+    few, many = (sorted(map(key, mixing.mixed(df, max_sources=m, max_repeat=3.0, block_tokens=300).collect())) for m in (100, 2))
+    assert few == many and few
+
+
 def test_epochs_are_other_permutations(spark):
     rows = [(i, f"word{i} and more", "en", "s", 1) for i in range(200)]
     got = mixing.mixed(spark.createDataFrame(rows, DOCS), budget_tokens=1200, block_tokens=30, max_repeat=2.0).collect()
@@ -74,8 +82,27 @@ def test_mixing_odd_tables(spark, docs, rows, empty, all_null, clashing):
 
 
 def test_op2_query(spark, tables, clean):
+    """Weights, quotas and epochs of the query against brute force."""
     got = mixing.op2_mixing(spark, tables)
-    assert "text" not in got.columns and got.select("doc_id").distinct().count() > 0.5 * len(clean)
+    assert "text" not in got.columns
+    rows, size, total = got.collect(), {r[0]: n_tokens(r[1]) for r in clean}, Counter()
+    for r in clean:
+        total[r[3]] += size[r[0]]
+    live = [s for s in total if total[s]]
+    shares = [total[s] / sum(total.values()) for s in live]
+    a = mixing.solve_exponent(shares, 1.0, 0.95, 2.0)
+    raw = [s**a for s in shares]
+    for s, weight in zip(live, (r / sum(raw) for r in raw), strict=True):
+        mine = [g for g in rows if g["source"] == s]
+        quota = round(weight * sum(total.values()))
+        used = sum(g["mix_tokens"] for g in mine)
+        assert all(abs(g["mix_weight"] - weight) < 1e-9 and g["mix_tokens"] == size[g["doc_id"]] for g in mine)
+        assert quota - max(size[r[0]] for r in clean if r[3] == s) < used <= quota
+        copies = Counter(g["doc_id"] for g in mine if size[g["doc_id"]])
+        assert max(copies.values()) - min(copies[r[0]] for r in clean if r[3] == s and size[r[0]]) <= 1
+        assert max(copies.values()) <= math.ceil(2.0)
+    none = [s for s in total if not total[s]]
+    assert Counter(g["doc_id"] for g in rows if g["source"] in none) == Counter(r[0] for r in clean if r[3] in none)
 
 
 def test_stages_in_order(spark, tables, clean):
