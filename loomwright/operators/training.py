@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import global_rank
+
 
 def unordered_distinct(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Each pair once, whichever way round."""
     return pairs.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
 
 
-def both_directions(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.select(a, b).unionByName(pairs.select(F.col(b).alias(a), F.col(a).alias(b)))
+def both_directions(pairs: DataFrame, a: str, b: str, *others: str) -> DataFrame:
+    return pairs.select(a, b, *others).unionByName(pairs.select(F.col(b).alias(a), F.col(a).alias(b), *others))
 
 
 def triplets(pairs: DataFrame, negatives: DataFrame, a: str, b: str, seed: int = 0) -> DataFrame:
-    """Pairs with one negative each (column `negative`), drawn by a hash from the negatives' hash buckets."""
-    n = Window.partitionBy("__slot").orderBy("negative")
-    pool = negatives.select("negative", F.pmod(F.xxhash64("negative", F.lit(seed)), F.lit(64)).alias("__slot")).withColumn("__n", F.row_number().over(n))
-    first = pool.where("__n = 1").drop("__n")  # one candidate per bucket, 64 at most
-    slot = F.pmod(F.xxhash64(a, b, F.lit(seed)), F.lit(64))
-    return pairs.withColumn("__slot", slot).join(F.broadcast(first), "__slot", "left").drop("__slot")
+    """Both directions of each pair with one negative (column `negative`), drawn evenly from the distinct negatives by a
+    hash of the pair. Without negatives there are no triplets."""
+    pool = negatives.where(F.col("negative").isNotNull()).select("negative").distinct()
+    order = [F.md5(F.col("negative").cast("string")), F.col("negative")]
+    pool = global_rank(pool, order, "__rank").select("negative", (F.col("__rank") - 1).alias("__slot"))
+    n = pool.count()
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", a, b, F.lit(seed))), 1, 15), 16, 10).cast("long") % F.lit(max(n, 1))
+    return both_directions(pairs.withColumn("__at", drawn).join(pool, F.col("__at") == F.col("__slot")), a, b, "negative")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float, name: str = "is_test") -> DataFrame:

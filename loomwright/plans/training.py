@@ -20,7 +20,10 @@ def e02(v: Views) -> DataFrame:
     return ops.both_directions(v.edge, "a", "b")
 
 
-@query("e02b_triplets")
+@query(
+    "e02b_triplets",
+    ", pool AS (SELECT negative, row_number() OVER (ORDER BY md5(CAST(negative AS VARCHAR)), negative) - 1 AS slot FROM (SELECT DISTINCT vec_id AS negative FROM embeddings)), t AS (SELECT a, b, negative FROM edge JOIN pool ON slot = CAST('0x' || substr(md5(a || '|' || b || '|0'), 1, 15) AS BIGINT) % (SELECT count(*) FROM pool)) SELECT a, b, negative FROM t UNION ALL SELECT b, a, negative FROM t",
+)
 def e02b(v: Views) -> DataFrame:
     return ops.triplets(v.edge.select("a", "b"), v.embeddings.select(F.col("vec_id").alias("negative")), "a", "b")
 
