@@ -285,3 +285,29 @@ def test_first_k_gathers_k(spark):
     rows = [(i % 3, (i * 7) % 20, f"v{i}") for i in range(20)]
     got = ranking.first_k(spark.createDataFrame(rows, "g int, o int, v string"), ["g"], [F.col("o")], F.col("v"), 4, "vs").collect()
     assert {r["g"]: r["vs"] for r in got} == {g: [v for _, o, v in sorted((x for x in rows if x[0] == g), key=lambda x: x[1])][:4] for g in range(3)}
+
+
+def test_near_duplicates_merge_into_the_largest(spark):
+    rng = random.Random(3)
+    names = [rng.choice(["cheiro", "cheyro", "cheir", "canela", "canella", "canelas", "goa", "gao"]) for _ in range(60)]
+    rows = [(i, n, "PLACE" if i % 5 == 0 else "PLANT", rng.sample(range(6), rng.randrange(1, 3)), [n, rng.choice("xyz")]) for i, n in enumerate(names)]
+    mentions = [(i, rng.randrange(8)) for i in range(60)]
+    pairs = joins.near_duplicate_clusters(spark.createDataFrame(rows, "cluster_id long, canonical_name string, category string, books array<int>, names array<string>"))
+    got = {r["cluster_id"]: r["keeper"] for r in graph.merge_near_duplicates(spark.createDataFrame(mentions, "cluster_id long, total_mentions long"), pairs).collect()}
+    up = list(range(60))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in rows:
+        for b in rows:
+            sim = 1 - distance(a[1], b[1]) / max(len(a[1]), len(b[1]))
+            if a[0] < b[0] and a[2] == b[2] and round(sim, 6) >= (0.85 if a[2] == "PLACE" else 0.83) and (set(a[3]) & set(b[3]) or sim == 1 and set(a[4]) & set(b[4])):
+                up[find(a[0])] = find(b[0])
+    groups: dict = {}
+    for i in range(60):
+        groups.setdefault(find(i), []).append(i)
+    want = {i: min(g, key=lambda k: (-mentions[k][1], k)) for g in groups.values() if len(g) > 1 for i in g}
+    assert got == want and len(set(want.values())) < len(want)
