@@ -134,17 +134,20 @@ def edit_candidates(df: DataFrame, key: str, text: str, block: str, floor: float
     length = F.length(text)
     edits = F.floor((1 - floor) * length / floor + 1e-9).cast("int")  # to the longest text that can still be near
     runs = F.transform(F.sequence(F.lit(1), length - gram + 1), lambda i: F.substring(F.col(text), i, F.lit(gram)))
-    rows = df.where(F.col(text).isNotNull() & (length > 0)).select(F.col(key).alias("id"), F.col(block).alias("blk"), length.alias("n"), edits.alias("d"), F.col(text).alias("__text"), F.when(length >= gram, runs).otherwise(F.array().cast("array<string>")).alias("runs"))
+    none = F.array().cast("array<string>")
+    rows = df.where(F.col(text).isNotNull() & (length > 0)).select(
+        F.col(key).alias("id"), F.col(block).alias("blk"), length.alias("n"), edits.alias("d"), F.col(text).alias("whole"), F.when(length >= gram, runs).otherwise(none).alias("runs")
+    )
+    few = F.when(F.size("runs") <= gram * F.col("d"), F.lit(""))
+    equal = F.when(F.col("d") == 0, F.concat(F.lit("\u0002"), "whole"))
+    both = F.concat("runs", F.array_compact(F.array(few, equal)))
     # equal runs of one text are told apart by their number
-    each = rows.select("id", "blk", "n", "d", F.posexplode("runs").alias("i", "run"))
+    each = rows.select("id", "blk", "n", "d", F.size("runs").alias("m"), F.posexplode(both).alias("i", "run")).withColumn("special", F.col("i") >= F.col("m"))
     each = each.withColumn("k", F.row_number().over(Window.partitionBy("id", "blk", "run").orderBy("i")))
     often = each.groupBy("blk", "run", "k").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("id", "blk").orderBy("f", "run", "k")
-    prefix = each.join(often, ["blk", "run", "k"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= gram * F.col("d") + 1)
+    order = Window.partitionBy("id", "blk").orderBy("special", "f", "run", "k")
+    prefix = each.join(often, ["blk", "run", "k"]).withColumn("at", F.row_number().over(order)).where(F.col("special") | (F.col("at") <= gram * F.col("d") + 1))
     keys = prefix.select("id", "blk", "n", F.concat_ws("\u0001", "run", F.col("k").cast("string")).alias("x"))
-    short = rows.where(F.size("runs") <= gram * F.col("d")).select("id", "blk", "n", F.lit("").alias("x"))
-    equal = rows.where(F.col("d") == 0).select("id", "blk", "n", F.concat(F.lit("\u0002"), "__text").alias("x"))
-    keys = keys.unionByName(short).unionByName(equal)
     other = keys.select(F.col("id").alias("id2"), F.col("blk").alias("blk2"), F.col("n").alias("n2"), F.col("x").alias("x2"))
     close = F.least("n", "n2") >= floor * F.greatest("n", "n2") - 1e-9
     pairs = keys.join(other, (F.col("blk") == F.col("blk2")) & (F.col("x") == F.col("x2")) & (F.col("id") < F.col("id2")) & close)
