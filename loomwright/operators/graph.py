@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import contains_either, string_similarity
-from .joins import cut_lineage, vector_pairs
+from .joins import cut_lineage
+from .neighbours import vector_pairs
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

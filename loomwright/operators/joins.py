@@ -1,7 +1,7 @@
 """Similarity, lookup and pair joins.
 
-Every similarity join is an equi-join on a block (category, prefix, book) with the similarity as residual predicate, so
-Spark never plans a nested loop over the whole input.
+Every similarity join is an equi-join on a block (category, prefix, book) or on rare letter runs, so Spark never plans a
+nested loop over the whole input.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalise import name_text
 from ..functions.rules import plausible_merge
-from ..functions.similarity import contains_either, dot, edit_similarity, string_similarity
+from ..functions.similarity import contains_either, edit_similarity, string_similarity
 
 
 def renamed(df: DataFrame, suffix: str) -> DataFrame:
@@ -23,15 +23,6 @@ def renamed(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(c + suffix) for c in df.columns))
 
 
-def vector_pairs(df: DataFrame, key: str, vector: str, block: str, floor: float, digits: int = 6) -> DataFrame:
-    """Pairs a < b of one block whose vectors' dot product is at least floor: a, b, block, sim."""
-    a = df.select(F.col(key).alias("a"), F.col(block), F.col(vector).alias("__va"))
-    b = df.select(F.col(key).alias("b"), F.col(block).alias("__block"), F.col(vector).alias("__vb"))
-    sim = dot(F.col("__va"), F.col("__vb"))
-    pairs = a.join(b, (F.col(block) == F.col("__block")) & (F.col("a") < F.col("b")))
-    return pairs.withColumn("__sim", sim).where(F.col("__sim") >= floor).select("a", "b", block, F.round("__sim", digits).alias("sim"))
-
-
 def similar_within_book(
     entities: DataFrame, floor: float = 0.88, person_floor: float = 0.85, ease: float = 0.05, least_string: float = 0.3
 ) -> DataFrame:
@@ -48,14 +39,21 @@ def similar_across_books(entities: DataFrame, floor: float = 0.84, person_floor:
 
 
 def similar_pairs(entities: DataFrame, same_book: bool, floor: float, person_floor: float, ease: float, least_string: float, guard: bool) -> DataFrame:
-    """The blocked theta join under both of the above; guard drops implausible merges."""
-    a, b = renamed(entities, "_a"), renamed(entities, "_b")
-    on = F.col("category_a") == F.col("category_b")
-    if same_book:
-        on &= (F.col("book_id_a") == F.col("book_id_b")) & (F.col("id_a") < F.col("id_b"))
-    else:
-        on &= F.col("book_id_a") < F.col("book_id_b")
-    found = a.join(b, on).withColumn("sim", dot(F.col("vector_a"), F.col("vector_b")))
+    """The blocked theta join under both of the above; guard drops implausible merges.
+
+    Vectors meet in packs, as matrix products; names join only the pairs that are near enough.
+    """
+    from .neighbours import vector_pairs  # which uses this module
+
+    key = F.xxhash64("book_id", "id")  # an id may be a book's own
+    block = ["category", "book_id"] if same_book else ["category"]
+    keyed = entities.select(key.alias("key"), F.to_json(F.struct(*block)).alias("block"), "vector")
+    near = vector_pairs(keyed, "key", "vector", "block", min(floor, person_floor) - ease, 15).select("a", "b", "sim")
+    named = entities.select(key.alias("key"), "book_id", "id", "name", "category")
+    a, b = renamed(named, "_a"), renamed(named, "_b")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))  # the pair's order is by book or id
+    found = both.join(a, F.col("a") == F.col("key_a")).join(b, F.col("b") == F.col("key_b"))
+    found = found.where(F.col("id_a") < F.col("id_b") if same_book else F.col("book_id_a") < F.col("book_id_b"))
     base = F.when(F.col("category_a") == "PERSON", person_floor).otherwise(floor)
     found = found.where(F.col("sim") >= base - ease)
     found = found.withColumn("string_sim", string_similarity(F.col("name_a"), F.col("name_b")))

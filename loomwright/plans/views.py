@@ -105,7 +105,7 @@ class Views:
 
     @cached_property
     def edge(self) -> DataFrame:
-        from ..operators.joins import vector_pairs
+        from ..operators.neighbours import vector_pairs
 
         return vector_pairs(self.embeddings, "vec_id", "embedding", "label", EDGE_FLOOR).withColumnRenamed("label", "category")
 
