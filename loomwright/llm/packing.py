@@ -117,7 +117,7 @@ def packed(
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = 1 << 18,
     group_tokens: int = 1 << 22,
-    max_memo: int = 400_000,
+    max_memo: int = 800_000,
 ) -> DataFrame:
     """One row per piece of a document in a sequence, see SCHEMA; ids are unsigned 32-bit little-endian integers.
 
