@@ -13,7 +13,7 @@ Documents with equal sets form a class and enter once, by the smallest doc_id. L
      sketches or differences from a common pivot rule out.
 So every candidate pair is either in one component already or has been verified; a bucket of many copies of one text
 costs few verifications a member. Verification compares full sets. Sets are built only for documents that a sieve of
-fixed size passes, made of the ids in buckets; no text is shuffled.
+bounded size passes, made of the ids in buckets; no text is shuffled.
 """
 
 from __future__ import annotations
