@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, normalise
 from ..functions.similarity import char_jaccard, cosine, cosine_raw, cosine_smoothed, dot, edit_similarity, pair_score, prefix_length, string_similarity
+from ..operators.neighbours import block_scores
 from .filters import _NAMES2, _SIM, name_pairs
 from .joins import _DOT
 from .views import Views, query
@@ -184,28 +186,41 @@ def _vector_sql(score: str) -> str:
     return f"SELECT a.vec_id AS a, b.vec_id AS b, round({body}, 5) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"
 
 
-def _vector(v: Views, f) -> DataFrame:
-    a = v.embeddings.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    b = v.embeddings.select(F.col("vec_id").alias("b"), F.col("label").alias("l"), F.col("embedding").alias("y"))
-    j = a.join(b, (F.col("label") == F.col("l")) & (F.col("a") < F.col("b")))
-    return j.select("a", "b", F.round(f(F.col("x"), F.col("y")), 5).alias("sim"))
+def _vector(v: Views, f, score) -> DataFrame:
+    """f of each pair; `score` is the same on numpy arrays, from a dot product and two norms."""
+    e = v.embeddings.select("vec_id", "label", "embedding")
+    plain = F.size("embedding") * F.when(F.exists("embedding", lambda x: x.isNull()), -1).otherwise(1)
+    sizes = {r["n"]: r["count"] for r in e.groupBy(F.coalesce(plain, F.lit(-1)).alias("n")).count().orderBy(F.desc("count")).limit(1000).collect()}
+    dim = max((n for n in sizes if n > 0), key=sizes.get, default=0)
+    regular = F.coalesce((plain == dim) & (plain > 0), F.lit(False))
+    found = block_scores(e.where(regular), "vec_id", "embedding", "label", score)
+    if sizes.keys() <= {dim}:
+        return found
+    # vectors that are null, hold nulls or have another length don't go into a matrix
+    odd, even = e.where(~regular), e.where(regular)
+    for x, y in ((odd, e), (even, odd)):
+        a = x.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
+        b = y.select(F.col("vec_id").alias("b"), F.col("label").alias("l"), F.col("embedding").alias("y"))
+        j = a.join(b, (F.col("label") == F.col("l")) & (F.col("a") < F.col("b")))
+        found = found.unionByName(j.select("a", "b", F.round(f(F.col("x"), F.col("y")), 5).alias("sim")))
+    return found
 
 
 @query("v01_cosine", _vector_sql("CASE WHEN {n} = 0 THEN 0 ELSE {d} / {n} END"))
 def v01(v: Views) -> DataFrame:
-    return _vector(v, cosine)
+    return _vector(v, cosine, lambda d, x, y: np.where(x * y == 0, 0.0, d / (x * y)))
 
 
 @query("v02_cosine_smoothed", _vector_sql("{d} / ({n} + 1e-10)"))
 def v02(v: Views) -> DataFrame:
-    return _vector(v, cosine_smoothed)
+    return _vector(v, cosine_smoothed, lambda d, x, y: d / (x * y + 1e-10))
 
 
 @query("v03_dot", _vector_sql("{d}"))
 def v03(v: Views) -> DataFrame:
-    return _vector(v, dot)
+    return _vector(v, dot, lambda d, x, y: d)
 
 
 @query("v04_cosine_raw", _vector_sql("{d} / {n}"))
 def v04(v: Views) -> DataFrame:
-    return _vector(v, cosine_raw)
+    return _vector(v, cosine_raw, lambda d, x, y: np.where(x * y == 0, np.nan, d / (x * y)))

@@ -26,6 +26,7 @@ def both(spark, tmp_path):
         mine = sorted((tuple(plain(x) for x in r) for r in df.collect()), key=repr)
         return mine, sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
+    run.folder = str(tmp_path)
     return run
 
 
@@ -49,3 +50,12 @@ def test_a_name_within_another_ties_only_by_an_edge(both, far):
         embeddings=f"SELECT CAST(k AS BIGINT) AS vec_id, CAST(e AS FLOAT[]) AS embedding, CAST(1 AS INTEGER) AS label FROM (VALUES {vectors}) v(k, e)",
     )
     assert mine == theirs and len(mine) in (3, 4)
+
+
+@pytest.mark.parametrize("name", ["v01_cosine", "v02_cosine_smoothed", "v03_dot", "v04_cosine_raw"])
+def test_scores_of_all_pairs_in_packs(both, spark, name):
+    # the vectors of a label are up to 4 packs, one is null and one zero, and labels are null too; no lambda runs per pair
+    rows = "SELECT CAST(i AS BIGINT) AS vec_id, CAST(CASE i WHEN 5 THEN NULL WHEN 6 THEN [0, 0, 0, 0] ELSE [(hash(i) % 97) / 64 - 0.7, (hash(i * 3) % 89) / 64 - 0.7, 0.3, 0.1] END AS FLOAT[]) AS embedding, CAST(CASE WHEN i < 600 THEN 1 WHEN i < 700 THEN 2 END AS INTEGER) AS label FROM range(720) t(i)"
+    mine, theirs = both(name, embeddings=rows)
+    assert len(mine) == 600 * 599 // 2 + 100 * 99 // 2 and mine == theirs
+    assert "MapInArrow" in QUERIES[name](spark, both.folder)._jdf.queryExecution().executedPlan().toString()
