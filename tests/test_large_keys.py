@@ -59,3 +59,13 @@ def test_scores_of_all_pairs_in_packs(both, spark, name):
     mine, theirs = both(name, embeddings=rows)
     assert len(mine) == 600 * 599 // 2 + 100 * 99 // 2 and mine == theirs
     assert "MapInArrow" in QUERIES[name](spark, both.folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_places_of_many_books(both, spark):
+    # 700 books in 3 packs; a few clusters hold nearly all, most hold a few; one id stands for clusters of two categories
+    part = f"{PART} FROM (SELECT i AS k, 'n' || (i // 2) AS n, CASE i % 3 WHEN 0 THEN 'PROMO' WHEN 1 THEN 'x' END AS t, 1 AS s FROM range(400) r(i) UNION ALL SELECT 30, 'again', 'x', 1)"
+    line = "SELECT CAST(hash(i) % 700 AS BIGINT) AS l_suppkey, CAST(CASE WHEN i % 3 = 0 THEN 30 + i % 4 ELSE hash(i * 7) % 400 END AS BIGINT) AS l_partkey, 1.0::DOUBLE AS l_quantity, TIMESTAMP '2000-01-01' AS l_shipdate FROM range(6000) r(i)"
+    mine, theirs = both("j26_shared_books", part=part, lineitem=line)
+    assert mine == theirs and len(mine) > 50_000 and any(r[3] for r in mine)
+    plan = QUERIES["j26_shared_books"](spark, both.folder)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "book_id" not in plan  # no join of books with books
