@@ -90,3 +90,15 @@ def test_linkage_of_a_large_block_copies_and_rows_without_vectors(spark):
     assert time.time() - start < 60 and len(got) == 6093
     assert {k: v for k, v in got.items() if k < 90} == naive_linkage(x, list(range(90)), 0.4)
     assert all(got[k] == k for k in (1000, 1001, 1002))
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_links_of_neighbours_in_packs(both, spark, again):
+    # 600 vectors of one label in 3 packs, products at the floor itself, a null vector, and ids that occur twice
+    e = "SELECT CAST(i AS BIGINT) AS vec_id, CAST(CASE WHEN i = 5 THEN NULL WHEN i < 30 THEN [0.5, 0.6, 0, 0] WHEN i < 40 THEN [0.6, 0, 0, 0] ELSE [(hash(i) % 97) / 97 - 0.5, (hash(i * 3) % 89) / 89 - 0.5, (hash(i * 5) % 83) / 83 - 0.5, 0.1] END AS FLOAT[]) AS embedding, CAST(CASE WHEN i < 600 THEN 1 WHEN i < 700 THEN 2 END AS INTEGER) AS label FROM range(720) t(i)"
+    twice = " UNION ALL SELECT CAST(50 + i * 3 AS BIGINT), CAST([0.6, 0.6, 0, 0] AS FLOAT[]), CAST(1 + i % 2 AS INTEGER) FROM range(6) s(i)"
+    mine, theirs = both("j27_neighbour_links", embeddings=e + twice * again)
+    assert mine == theirs and len(mine) > 1000
+    if not again:
+        plan = QUERIES["j27_neighbour_links"](spark, both.folder)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "nbr" not in plan  # no join of edges with edges
