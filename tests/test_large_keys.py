@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loomwright.operators import graph
+from loomwright.operators import graph, neighbours
 from loomwright.plans import registry
 
 from .test_queries import plain
@@ -102,3 +102,20 @@ def test_links_of_neighbours_in_packs(both, spark, again):
     if not again:
         plan = QUERIES["j27_neighbour_links"](spark, both.folder)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "nbr" not in plan  # no join of edges with edges
+
+
+def test_graph_of_neighbours_sends_no_row_to_each_cell(spark):
+    x = np.random.default_rng(4).normal(size=(2000, 16))
+    x[100:400] = x[100]  # copies, whose neighbours are the smallest keys
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    graph_ = neighbours.knn_graph(df, "id", "nbr", "vector", 5, sample=500, block=64, block_mb=1, recall=1.0)
+    x = x.astype(np.float32).astype(float)
+    sim = np.round(x @ x.T, 4)
+    found: dict = {}
+    for r in graph_.collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["nbr"]))
+    want = lambda i: sorted((j for j in range(2000) if j != i), key=lambda j: (-sim[i, j], j))[:5]
+    share = [len({n for _, n in found[i]} & set(want(i))) / 5 for i in range(0, 2000, 7)]
+    assert np.mean(share) >= 0.95 and all(len(found[i]) == 5 for i in range(2000))
+    plan = graph_._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
