@@ -119,3 +119,22 @@ def test_graph_of_neighbours_sends_no_row_to_each_cell(spark):
     assert np.mean(share) >= 0.95 and all(len(found[i]) == 5 for i in range(2000))
     plan = graph_._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Join" not in plan
+
+
+VECTOR = "SELECT CAST(i AS BIGINT) AS vec_id, CAST(CASE WHEN i IN (5, 50) THEN NULL WHEN i IN (6, 100) THEN [0, 0, 0, 0] WHEN i IN (7, 150) THEN [0.5, 0.25] WHEN i IN (8, 200) THEN [NULL, 0.5, NULL, 1] WHEN i = 9 THEN [] WHEN i IN (10, 250) THEN [NULL, NULL, NULL, NULL] WHEN i = 11 THEN ['inf'::FLOAT, NULL, 1, 1] WHEN i = 12 THEN [1, 2, 3, 4, 5] WHEN i = 13 THEN [1] ELSE [(hash(i) % 97) / 64 - 0.7, (hash(i * 3) % 89) / 64 - 0.7, 0.3, 0.1] END AS FLOAT[]) AS embedding, CAST(1 AS INTEGER) AS label FROM range(-300, 1500) t(i) UNION ALL SELECT * FROM (VALUES (NULL, [1, 0, 0, 0], 1), (50, [1, 0, 0, 0], 1), (400, [0, 0.5, 0, 0], 1)) w(k, e, l)"
+
+
+def test_cosines_with_all_rows_of_any_vectors(both):
+    # several tiles; vectors that are null, zero, empty, shorter, longer, hold nulls or infinity; ids below 0, null and twice
+    mine, theirs = both("j34_full_cosine", embeddings=VECTOR)
+    assert len(mine) > 60_000 and mine == theirs
+
+
+def test_a_written_cosine_takes_a_few_bytes(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(7000, 16)).tolist())], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    QUERIES["j34_full_cosine"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    assert rows == 140 * 6999
+    assert sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < 4 * rows
