@@ -25,12 +25,19 @@ def char_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
-def string_similarity(a: Column, b: Column) -> Column:
-    """Half the shared prefix's share of the shorter name, and parts of character overlap and length ratio."""
-    a, b = F.lower(a), F.lower(b)
+def string_similarity(a: Column, b: Column, fold: bool = True, empty: float = 0.0) -> Column:
+    """Half the shared prefix's share of the shorter name, and parts of character overlap and length ratio.
+
+    Cases are folded on request; `empty` is the likeness where one of two names is empty. Tenths are whole numbers by 10,
+    as SQL's decimals: 0.3 * 3 is 0.8999999999999999 in doubles, and a sum at a floor falls on the other side of it.
+    """
+    if fold:
+        a, b = F.lower(a), F.lower(b)
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    mixed = 0.5 * prefix_length(a, b) / short + 0.3 * char_jaccard(a, b) + 0.2 * short / long
-    return F.when(a == b, 1.0).when(short == 0, 0.0).otherwise(mixed)
+    x, y = letters(a), letters(b)
+    overlap = 3 * F.size(F.array_intersect(x, y)) / 10 / F.size(F.array_union(x, y))
+    mixed = 0.5 * prefix_length(a, b) / short + overlap + 2 * short / 10 / long
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).when(short == 0, empty).otherwise(mixed)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

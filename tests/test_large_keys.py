@@ -56,6 +56,20 @@ def test_a_name_within_another_ties_only_by_an_edge(both, far):
     assert mine == theirs and len(mine) in (3, 4)
 
 
+@pytest.mark.parametrize("lead, sizes", [("large gear", "9"), ("hot rod", "9"), ("", "9"), ("large gear", "NULL")])
+def test_names_at_the_floor_tie_as_in_sql(both, lead, sizes):
+    # "large gear" and "hot rod" are a hair under the floor of 0.2, as the SQL adds; 1 leads, if it has a size
+    names = ["large gear", "hot rod", "Large Gear", "HOT ROD", "", "cold plate", "xq", None, "large gear"]
+    rows = ", ".join(f"({i + 2}, {'NULL' if n is None else repr(n)}, 'x', 5)" for i, n in enumerate(names))
+    vectors = "CASE k WHEN 1 THEN [1.0, 0.5, 0] ELSE [0.9, 0.1, k / 20] END"
+    mine, theirs = both(
+        "g03_star_across",
+        part=f"{PART} FROM (VALUES (1, '{lead}', 'x', {sizes}), {rows}) v(k, n, t, s)",
+        embeddings=f"SELECT CAST(k AS BIGINT) AS vec_id, CAST({vectors} AS FLOAT[]) AS embedding, CAST(1 AS INTEGER) AS label FROM range(1, 11) v(k)",
+    )
+    assert mine == theirs and len(mine) > 2
+
+
 @pytest.mark.parametrize("name", ["v01_cosine", "v02_cosine_smoothed", "v03_dot", "v04_cosine_raw"])
 def test_scores_of_all_pairs_in_packs(both, spark, name):
     # the vectors of a label are up to 4 packs, one is null and one zero, and labels are null too; no lambda runs per pair
