@@ -152,3 +152,24 @@ def test_a_written_cosine_takes_a_few_bytes(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/out").count()
     assert rows == 140 * 6999
     assert sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < 4 * rows
+
+
+def test_a_written_score_takes_a_few_bytes(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    QUERIES["v03_dot"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    assert rows == 4000 * 3999 // 2
+    assert sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < 4 * rows
+
+
+def test_scores_in_packs_by_rising_keys(spark):
+    # packs and tiles far smaller than blocks; ids that occur twice lie in one pack or in two
+    rng = np.random.default_rng(6)
+    keys = [int(k) for k in rng.integers(-60, 60, 150)]
+    rows = [(k, [float(v) for v in rng.integers(-9, 10, 4) / 4], i % 3 if i % 50 else None) for i, k in enumerate(keys)]
+    got = neighbours.block_scores(spark.createDataFrame(rows, "id long, v array<float>, g int"), "id", "v", "g", lambda d, x, y: d, pack=8, tile=3)
+    want = [(a, b, plain(np.dot(x, y))) for a, x, g in rows for b, y, h in rows if g == h and g is not None and a < b]
+    assert sorted((r["a"], r["b"], plain(r["sim"])) for r in got.collect()) == sorted(want)
