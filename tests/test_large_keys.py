@@ -173,3 +173,18 @@ def test_scores_in_packs_by_rising_keys(spark):
     got = neighbours.block_scores(spark.createDataFrame(rows, "id long, v array<float>, g int"), "id", "v", "g", lambda d, x, y: d, pack=8, tile=3)
     want = [(a, b, plain(np.dot(x, y))) for a, x, g in rows for b, y, h in rows if g == h and g is not None and a < b]
     assert sorted((r["a"], r["b"], plain(r["sim"])) for r in got.collect()) == sorted(want)
+
+
+def test_a_written_link_takes_half_a_byte(spark, tmp_path):
+    # near each other by and large, and many more rows than vectors
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(330, 64)) + 0.8 * rng.normal(size=64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i * 11, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    QUERIES["j27_neighbour_links"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    x = x.astype(np.float32).astype(float)
+    near = (x @ x.T >= 0.3) & ~np.eye(330, dtype=bool)
+    assert rows == np.einsum("ij,jk,ki->", *[near.astype(int)] * 3) // 2 and rows > 1_000_000
+    assert sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < 0.6 * rows
